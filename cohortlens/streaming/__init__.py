@@ -1,0 +1,6 @@
+"""Streaming.
+
+The analyses are batch queries over an event log; the source system has no
+watermarks, windows or state (its "real-time" dashboard re-queries stored
+tables on request). Nothing streaming-specific is implemented here.
+"""
