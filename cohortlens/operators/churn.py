@@ -13,8 +13,13 @@ FEATURE_COLUMNS = ("unique_events", "total_event_count") + tuple(c for c, _ in A
 
 def churn_features(users: DataFrame, events: DataFrame) -> DataFrame:
     """One row per users row: channel, signup_date and the activity flags (zeros without events)."""
-    per_user = activity_flags(events)
-    return users.select("user_id", "channel", "signup_date").join(per_user, "user_id", "left").select(
+    joined = users.select("user_id", "channel", "signup_date").join(activity_flags(events), "user_id", "left")
+    return features_table(joined)
+
+
+def features_table(joined: DataFrame) -> DataFrame:
+    """From users rows LEFT JOIN ``activity_flags``: NULL flags become 0."""
+    return joined.select(
         "user_id", "channel", "signup_date",
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in FEATURE_COLUMNS],
     )

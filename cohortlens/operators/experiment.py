@@ -33,6 +33,11 @@ def ab_readout(
     """[segments...], experiment_group, users_in_group, activated_users, activation_rate_pct."""
     flags = stage_flags(events, [("activated", activation_event)])
     counts = segment_user_counts(users, flags, [*segments, "experiment_group"], ["activated"])
+    return readout_table(counts, segments)
+
+
+def readout_table(counts: DataFrame, segments: Sequence[str] = ()) -> DataFrame:
+    """From (segments..., experiment_group, users, activated) counts."""
     return counts.select(
         *segments,
         "experiment_group",

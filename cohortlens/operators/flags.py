@@ -64,24 +64,29 @@ def user_activity_flags(
     )
 
 
-def segment_user_counts(
-    users: DataFrame, flags: DataFrame, segment_cols: Sequence[str], flag_cols: Sequence[str]
-) -> DataFrame:
+def segment_counts(joined: DataFrame, segment_cols: Sequence[str], flag_cols: Sequence[str]) -> DataFrame:
     """Per segment: distinct users and distinct users with each flag.
 
-    Equals ``COUNT(DISTINCT u.user_id)`` and ``COUNT(DISTINCT CASE WHEN ...
-    THEN e.user_id END)`` over ``users LEFT JOIN events`` without the Expand
-    of a multi-distinct aggregate: the first aggregate de-duplicates
-    (segment, user) and is clustered like the join (hash of ``user_id``), so
-    it adds no exchange; the second is a small partial/final aggregate.
+    ``joined`` has the segment columns, ``user_id`` and nullable 0/1 flag
+    columns (a users row LEFT JOIN per-user flags). Equals ``COUNT(DISTINCT
+    u.user_id)`` and ``COUNT(DISTINCT CASE WHEN ... THEN e.user_id END)`` over
+    ``users LEFT JOIN events`` without the Expand of a multi-distinct
+    aggregate: the first aggregate de-duplicates (segment, user) and is
+    clustered like a shuffle join on ``user_id`` (no extra exchange there);
+    the second is a small partial/final aggregate.
     """
-    members = users.select(*segment_cols, "user_id")
-    per_user = (
-        members.join(flags, "user_id", "left")
-        .groupBy(*segment_cols, "user_id")
-        .agg(*[F.max(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in flag_cols])
+    per_user = joined.groupBy(*segment_cols, "user_id").agg(
+        *[F.max(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in flag_cols]
     )
     return per_user.groupBy(*segment_cols).agg(
         F.count("user_id").alias("users"),
         *[F.sum(c).cast("bigint").alias(c) for c in flag_cols],
     )
+
+
+def segment_user_counts(
+    users: DataFrame, flags: DataFrame, segment_cols: Sequence[str], flag_cols: Sequence[str]
+) -> DataFrame:
+    """``segment_counts`` of users LEFT JOIN per-user flags."""
+    joined = users.select(*segment_cols, "user_id").join(flags, "user_id", "left")
+    return segment_counts(joined, segment_cols, flag_cols)

@@ -42,7 +42,11 @@ def funnel_by_channel(users: DataFrame, events: DataFrame, segment: str = "chann
 
     A zero denominator gives NULL instead of an error.
     """
-    counts = funnel_counts(users, events, segment)
+    return funnel_table(funnel_counts(users, events, segment), segment)
+
+
+def funnel_table(counts: DataFrame, segment: str = "channel") -> DataFrame:
+    """Rates and order from (segment, signups, <stage>...) counts."""
     rates = {out: pct(num, den, d) for out, num, den, d in RATE_COLUMNS}
     cols = [rates[c].alias(c) if c in rates else F.col(c) for c in FUNNEL_COLUMNS]
     return counts.select(segment, *cols).orderBy(F.desc("overall_conversion_pct"), F.asc(segment))

@@ -23,8 +23,14 @@ def revenue_by_channel(
 
     A segment without subscriptions has NULL revenue (not 0).
     """
+    joined = users.select(segment, "user_id").join(subscriptions_per_user(subscriptions, annual_plan), "user_id", "left")
+    return revenue_table(joined, segment)
+
+
+def subscriptions_per_user(subscriptions: DataFrame, annual_plan: str = K.ANNUAL_PLAN) -> DataFrame:
+    """(user_id, rev, annual_rev, n_subs): prices summed as DECIMAL(18,2)."""
     price = F.col("price_usd").cast("decimal(18,2)")
-    per_user = (
+    return (
         subscriptions.where(F.col("user_id").isNotNull())
         .groupBy("user_id")
         .agg(
@@ -33,11 +39,14 @@ def revenue_by_channel(
             F.count(F.lit(1)).alias("n_subs"),
         )
     )
+
+
+def revenue_table(joined: DataFrame, segment: str = "channel") -> DataFrame:
+    """From users rows LEFT JOIN ``subscriptions_per_user`` (segment, user_id, rev, annual_rev, n_subs)."""
     # (segment, user) level: de-duplicates users like COUNT(DISTINCT) while
     # keeping one revenue contribution per users row, as the joined SUM does.
     per_member = (
-        users.select(segment, "user_id")
-        .join(per_user, "user_id", "left")
+        joined
         .groupBy(segment, "user_id")
         .agg(
             F.sum("rev").alias("rev"),

@@ -16,27 +16,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.model import Model
-from . import churn, experiment, funnel, quality, retention, revenue
+from . import churn, experiment, flags, funnel, quality, retention, revenue
 
 
 class Analyses:
-    """The analyses of one model, built lazily and shared between sections."""
+    """The analyses of one model, sharing one per-user fact table.
+
+    ``facts`` = users LEFT JOIN per-user activity flags LEFT JOIN per-user
+    subscription sums: one shuffle of the event log and one of the
+    subscriptions, both reduced to one row per user before the join. Funnel,
+    readout, revenue and churn are small aggregates over it; inside one query
+    the identical fact subtrees of the subqueries reuse the same exchanges.
+    """
 
     def __init__(self, model: Model):
         self.model = model
         u, e, s = model
-        self.funnel = funnel.funnel_by_channel(u, e)
-        self.revenue = revenue.revenue_by_channel(u, s)
-        self.readout = experiment.ab_readout(u, e)
+        facts = (
+            u.select("user_id", "channel", "experiment_group", "signup_date")
+            .join(flags.activity_flags(e), "user_id", "left")
+            .join(revenue.subscriptions_per_user(s), "user_id", "left")
+        )
+        self.facts = facts
+        stage_cols = [F.col(src).alias(dst) for dst, src in FUNNEL_FROM_FACTS]
+        self.funnel = funnel.funnel_table(
+            flags.segment_counts(facts.select("channel", "user_id", *stage_cols), ["channel"],
+                                 [d for d, _ in FUNNEL_FROM_FACTS]).withColumnRenamed("users", "signups")
+        )
+        self.revenue = revenue.revenue_table(facts.select("channel", "user_id", "rev", "annual_rev", "n_subs"))
+        self.readout = experiment.readout_table(
+            flags.segment_counts(
+                facts.select("experiment_group", "user_id", F.col("has_onboarded").alias("activated")),
+                ["experiment_group"], ["activated"],
+            )
+        )
         self.stats = experiment.two_proportion_stats(experiment.align_arms(self.readout))
         self.ab = experiment.publish(self.stats)
         self.retention = retention.cohort_retention(u, e)
         self.report = quality.quality_report(u, e, s)
-        self.scores = churn.churn_scores(churn.churn_features(u, e))
+        self.scores = churn.churn_scores(churn.features_table(facts))
         self.rollup = churn.churn_rollup(self.scores)
         self.at_risk = churn.at_risk_users(self.scores)
 
 
+# funnel stage column <- fact column (activation = onboarding, as in the default stages)
+FUNNEL_FROM_FACTS = (
+    ("onboarded", "has_onboarded"), ("edited", "has_edited"), ("trialed", "has_trialed"), ("subscribed", "is_subscribed"),
+)
+
+
 def _scalar(df: DataFrame, *cols) -> Column:
     """One-row frame -> a struct-valued scalar subquery column."""
     return df.select(F.struct(*cols).alias("v")).scalar()

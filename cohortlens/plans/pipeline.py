@@ -1,0 +1,49 @@
+"""The analyze run: materialise the model once, then run every analysis.
+
+1. derive users / events / subscriptions from the stored tables and write
+   them (``out/model``); every later job reads these files, so the lineage is
+   cut at a shared, durable folder;
+2. funnel, cohort and revenue tables as CSV; the A/B text report; the
+   dashboard JSON payload; the event-log layout.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from ..operators import experiment, funnel, retention, revenue, summary
+from ..sources import sinks
+from ..sources.model import Model, load_model
+from ..sources.tables import read_model_table
+from .catalog import SAVED_SQL
+
+
+def stored_model(spark: SparkSession, model_dir: str) -> Model:
+    return Model(
+        read_model_table(spark, model_dir, "users"),
+        read_model_table(spark, model_dir, "events"),
+        read_model_table(spark, model_dir, "subscriptions"),
+    )
+
+
+def analyze(spark: SparkSession, data_dir: str, out_dir: str) -> dict[str, str]:
+    """Run the whole analysis; returns the written paths by name."""
+    model_dir = f"{out_dir}/model"
+    sinks.write_model(load_model(spark, data_dir), model_dir)
+    m = stored_model(spark, model_dir)
+    paths = {
+        "funnel_csv": f"{out_dir}/output_funnel",
+        "cohort_csv": f"{out_dir}/output_cohort",
+        "revenue_csv": f"{out_dir}/output_revenue",
+        "ab_text": f"{out_dir}/ab_test_result",
+        "payload_json": f"{out_dir}/data_json",
+        "event_layout": f"{out_dir}/events_by_month",
+    }
+    # Analysis results are bounded by dimensions (channels, cohort months), so one file each.
+    sinks.export_csv(funnel.funnel_by_channel(m.users, m.events), paths["funnel_csv"], single_file=True)
+    sinks.export_csv(retention.cohort_retention(m.users, m.events), paths["cohort_csv"], single_file=True)
+    sinks.export_csv(revenue.revenue_by_channel(m.users, m.subscriptions), paths["revenue_csv"], single_file=True)
+    sinks.write_text(experiment.ab_summary_text(m.users, m.events), "summary", paths["ab_text"])
+    sinks.write_text(summary.dashboard_payload(m, SAVED_SQL), "payload", paths["payload_json"])
+    sinks.write_event_layout(m.events, paths["event_layout"])
+    return paths

@@ -35,9 +35,27 @@ PARAMS = Params()
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
+_MODELS: dict[str, tuple[SparkSession, object]] = {}
+
+
+def model_for(spark: SparkSession, d: str):
+    """The derived model of a data folder, built once per session.
+
+    Only the logical plan is kept (nothing is cached or collected): every
+    action still reads the stored tables; this saves rebuilding the same
+    plan (hundreds of Py4J calls and a bounded size check) for each query.
+    """
+    hit = _MODELS.get(d)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    model = load_model(spark, d)
+    _MODELS[d] = (spark, model)
+    return model
+
+
 def _m(fn):
     """Builder over the derived model (users, events, subscriptions)."""
-    return lambda spark, d: fn(load_model(spark, d))
+    return lambda spark, d: fn(model_for(spark, d))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +82,7 @@ def _normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_views(spark: SparkSession, d: str):
-    register_model_views(spark, load_model(spark, d))
+    register_model_views(spark, model_for(spark, d))
 
 
 def _adhoc(spark: SparkSession, d: str) -> DataFrame:
