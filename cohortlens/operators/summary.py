@@ -1,9 +1,8 @@
 """KPI row and dashboard payload.
 
 Each section is a one-row aggregate of an analysis. The sections are combined
-with scalar subqueries (``DataFrame.scalar()``), not with cross joins: each
-section is planned and run as its own subquery and its single value is
-inlined into one output row. Lists inside the payload come from analyses whose
+in one plan by ``combine_rows`` (union + one global aggregate), not with
+cross joins or per-value subqueries. Lists inside the payload come from analyses whose
 size is bounded by a dimension (channels, cohort months x 4, arms, five
 checks, top 10), never from raw rows.
 """
@@ -26,7 +25,7 @@ class Analyses:
     subscription sums: one shuffle of the event log and one of the
     subscriptions, both reduced to one row per user before the join. Funnel,
     readout, revenue and churn are small aggregates over it; inside one query
-    the identical fact subtrees of the subqueries reuse the same exchanges.
+    the identical fact subtrees of the sections reuse the same exchanges.
     """
 
     def __init__(self, model: Model):
@@ -65,84 +64,100 @@ FUNNEL_FROM_FACTS = (
 )
 
 
-def _scalar(df: DataFrame, *cols) -> Column:
-    """One-row frame -> a struct-valued scalar subquery column."""
-    return df.select(F.struct(*cols).alias("v")).scalar()
+def combine_rows(frames: Sequence[DataFrame]) -> DataFrame:
+    """Put one-row frames with distinct columns side by side, in one plan.
+
+    ``unionByName`` (missing columns become NULL) followed by one global
+    aggregate that keeps the single non-NULL value of every column. Unlike a
+    chain of cross joins or scalar subqueries this is a single query: the
+    sections' shared subtrees (the fact table) are planned once and their
+    exchanges reused, and the final aggregate sees one row per section.
+    """
+    stacked = frames[0]
+    for f in frames[1:]:
+        stacked = stacked.unionByName(f, allowMissingColumns=True)
+    cols = [c for f in frames for c in f.columns]
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
-def kpi_columns(a: Analyses) -> list[Column]:
-    totals = _scalar(
+def kpi_sections(a: Analyses) -> list[DataFrame]:
+    return [
         a.funnel.agg(
             F.sum("signups").cast("bigint").alias("total_signups"),
             F.sum("subscribed").cast("bigint").alias("total_paying_users"),
         ),
-        "total_signups", "total_paying_users",
-    )
-    rev = _scalar(a.revenue.agg(F.round(F.sum("total_revenue_usd"), 2).alias("total_revenue")), "total_revenue")
-    ab = _scalar(a.ab, "abs_lift_pp", "p_value", "is_significant")
-    dq = _scalar(quality.all_passed(a.report), "all_passed")
-    ch = _scalar(a.rollup, "avg_churn_risk_pct", "high_risk_count")
-    signups, paid = totals.getField("total_signups"), totals.getField("total_paying_users")
+        a.revenue.agg(F.round(F.sum("total_revenue_usd"), 2).alias("total_revenue")),
+        a.ab.select(
+            F.col("abs_lift_pp").alias("ab_lift_pp"),
+            F.col("p_value").alias("ab_p_value"),
+            F.col("is_significant").alias("ab_is_significant"),
+        ),
+        quality.all_passed(a.report).select(F.col("all_passed").alias("dq_all_passed")),
+        a.rollup.select("avg_churn_risk_pct", F.col("high_risk_count").alias("high_churn_users_count")),
+    ]
+
+
+def kpi_columns() -> list[Column]:
+    signups, paid = F.col("total_signups"), F.col("total_paying_users")
     conversion = F.when(
         signups > 0, F.round(paid.cast("double") / signups * F.lit(100.0), 2)
     ).otherwise(F.lit(0.0))
     return [
         signups.alias("total_signups"),
-        rev.getField("total_revenue").alias("total_revenue"),
+        F.col("total_revenue"),
         paid.alias("total_paying_users"),
         conversion.alias("overall_conversion_pct"),
-        ab.getField("abs_lift_pp").alias("ab_lift_pp"),
-        ab.getField("p_value").alias("ab_p_value"),
-        ab.getField("is_significant").alias("ab_is_significant"),
-        dq.getField("all_passed").alias("dq_all_passed"),
-        ch.getField("avg_churn_risk_pct").alias("avg_churn_risk_pct"),
-        ch.getField("high_risk_count").alias("high_churn_users_count"),
+        F.col("ab_lift_pp"),
+        F.col("ab_p_value"),
+        F.col("ab_is_significant"),
+        F.col("dq_all_passed"),
+        F.col("avg_churn_risk_pct"),
+        F.col("high_churn_users_count"),
     ]
 
 
 def kpi_summary(model: Model) -> DataFrame:
-    a = Analyses(model)
-    # The outer one-row frame is the quality report's conjunction; every value is a subquery.
-    return quality.all_passed(a.report).select(*kpi_columns(a))
+    """total signups / revenue / paying users, overall conversion, A/B lift and p,
+    decision, all checks passed, mean churn risk, high-risk users: one row."""
+    return combine_rows(kpi_sections(Analyses(model))).select(*kpi_columns())
 
 
-def _sorted_list(df: DataFrame, order: Sequence[Column], cols: Sequence[str]) -> Column:
-    """Bounded section as an ordered array of structs (sort key first, then dropped)."""
+def _sorted_list(df: DataFrame, order: Sequence[Column], cols: Sequence[str], name: str) -> DataFrame:
+    """Bounded section as a one-row frame holding an ordered array of structs."""
     keyed = df.select(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], F.struct(*cols).alias("row")).alias("x"))
-    arr = keyed.agg(F.sort_array(F.collect_list("x")).alias("a")).select(
-        F.transform("a", lambda x: x.getField("row")).alias("a")
-    )
-    return arr.scalar()
+    return keyed.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.getField("row")).alias(name))
 
 
 def dashboard_payload(model: Model, saved_sql: Mapping[str, str], title: str = "product analytics") -> DataFrame:
     """One row, column ``payload``: the whole dashboard document as JSON."""
     a = Analyses(model)
-    kpis = kpi_columns(a)
-    funnel_rows = _sorted_list(a.funnel, [-F.col("overall_conversion_pct"), F.col("channel")], a.funnel.columns)
-    cohort_rows = _sorted_list(a.retention, [F.col("cohort_month"), F.col("month_number")], a.retention.columns)
-    revenue_rows = _sorted_list(a.revenue, [-F.col("revenue_per_signup_usd"), F.col("channel")], a.revenue.columns)
-    group_rows = _sorted_list(a.readout, [F.col("experiment_group")], a.readout.columns)
-    dq_rows = _sorted_list(a.report, [F.col("check_order")], ["check_name", "passed", "details"])
-    risk_rows = _sorted_list(a.at_risk, [-F.col("risk_score"), F.col("user_id")], a.at_risk.columns)
-    result = _scalar(a.ab, *a.ab.columns)
-    rollup = _scalar(a.rollup, *a.rollup.columns)
+    sections = kpi_sections(a) + [
+        _sorted_list(a.funnel, [-F.col("overall_conversion_pct"), F.col("channel")], a.funnel.columns, "funnel"),
+        _sorted_list(a.retention, [F.col("cohort_month"), F.col("month_number")], a.retention.columns, "cohort"),
+        _sorted_list(a.revenue, [-F.col("revenue_per_signup_usd"), F.col("channel")], a.revenue.columns, "revenue"),
+        _sorted_list(a.readout, [F.col("experiment_group")], a.readout.columns, "groups"),
+        _sorted_list(a.report, [F.col("check_order")], ["check_name", "passed", "details"], "data_quality"),
+        _sorted_list(a.at_risk, [-F.col("risk_score"), F.col("user_id")], a.at_risk.columns, "at_risk_users"),
+        a.ab.select(F.struct(*a.ab.columns).alias("result")),
+        a.rollup.select(*[F.col(c).alias(f"churn_{c}") for c in a.rollup.columns]),
+    ]
+    wide = combine_rows(sections)
     queries = F.create_map(*[F.lit(x) for kv in sorted(saved_sql.items()) for x in kv])
     doc = F.struct(
         F.lit(title).alias("title"),
-        F.struct(*kpis).alias("summary"),
-        funnel_rows.alias("funnel"),
-        cohort_rows.alias("cohort"),
-        F.struct(group_rows.alias("groups"), result.alias("result")).alias("ab_test"),
-        revenue_rows.alias("revenue"),
+        F.struct(*kpi_columns()).alias("summary"),
+        F.col("funnel"),
+        F.col("cohort"),
+        F.struct(F.col("groups"), F.col("result")).alias("ab_test"),
+        F.col("revenue"),
         queries.alias("queries"),
-        dq_rows.alias("data_quality"),
+        F.col("data_quality"),
         F.struct(
-            rollup.getField("high_risk_count").alias("high_risk_count"),
-            rollup.getField("medium_risk_count").alias("medium_risk_count"),
-            rollup.getField("low_risk_count").alias("low_risk_count"),
-            rollup.getField("avg_churn_risk_pct").alias("avg_churn_risk_pct"),
-            risk_rows.alias("at_risk_users"),
+            F.col("churn_high_risk_count").alias("high_risk_count"),
+            F.col("churn_medium_risk_count").alias("medium_risk_count"),
+            F.col("churn_low_risk_count").alias("low_risk_count"),
+            F.col("churn_avg_churn_risk_pct").alias("avg_churn_risk_pct"),
+            F.col("at_risk_users"),
         ).alias("churn"),
     )
-    return quality.all_passed(a.report).select(F.to_json(doc).alias("payload"))
+    return wide.select(F.to_json(doc).alias("payload"))
