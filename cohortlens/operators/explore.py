@@ -56,7 +56,16 @@ def adhoc_result(
 
 
 def explain_plan(spark: SparkSession, sql_text: str, mode: str = "FORMATTED") -> DataFrame:
-    """One row, column ``plan``: Spark's plan for the query (errors come back as text)."""
+    """One row, column ``plan``: Spark's plan for the query.
+
+    A query that does not analyze comes back as plan text carrying the
+    analyzer's message (Spark's own EXPLAIN drops the message).
+    """
+    try:
+        spark.sql(query_only(sql_text))  # parse + analyze only; nothing runs
+    except Exception as exc:
+        message = f"Error occurred during query planning: {exc}"
+        return spark.createDataFrame([(message,)], "plan STRING")
     return spark.sql(f"EXPLAIN {mode} {query_only(sql_text)}")
 
 

@@ -22,7 +22,9 @@ def user_pk_duplicates(users: DataFrame) -> DataFrame:
 def orphan_rows(child: DataFrame, users: DataFrame) -> DataFrame:
     """Rows of ``child`` whose non-NULL user_id is not in ``users``."""
     per_key = child.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    keys = users.select("user_id").where(F.col("user_id").isNotNull())
+    # distinct keys: copies of a user collapse map-side, and the anti join
+    # reuses this aggregate's user_id partitioning (no further exchange)
+    keys = users.select("user_id").where(F.col("user_id").isNotNull()).distinct()
     return per_key.join(keys, "user_id", "left_anti").agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orphan_count")
     )
@@ -31,11 +33,17 @@ def orphan_rows(child: DataFrame, users: DataFrame) -> DataFrame:
 def events_before_signup(users: DataFrame, events: DataFrame) -> DataFrame:
     """Joined rows with event_date < signup_date (equal is allowed; NULL dates are not counted).
 
-    Events are first counted per (user, timestamp) with partial aggregation,
-    so a user owning a large share of the log reaches the join as one row per
-    distinct timestamp (per day for date-grained logs), weighted by its count.
+    Both sides are counted before the join with partial aggregation: events
+    per (user, timestamp) and users rows per (user, signup date). A user
+    owning a large share of the log, or a key copied over many users rows,
+    reaches the join as one weighted row per distinct value; the count is the
+    sum of the products of the weights (exactly the joined row count).
     """
-    u = users.select("user_id", "signup_date").where(F.col("signup_date").isNotNull())
+    u = (
+        users.where(F.col("user_id").isNotNull() & F.col("signup_date").isNotNull())
+        .groupBy("user_id", "signup_date")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
     e = (
         events.where(F.col("user_id").isNotNull() & F.col("event_date").isNotNull())
         .groupBy("user_id", "event_date")
@@ -44,7 +52,7 @@ def events_before_signup(users: DataFrame, events: DataFrame) -> DataFrame:
     return (
         e.join(u, "user_id")
         .where(F.col("event_date") < F.col("signup_date"))
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("invalid_date_count"))
+        .agg(F.coalesce(F.sum(F.col("n") * F.col("copies")), F.lit(0)).cast("bigint").alias("invalid_date_count"))
     )
 
 

@@ -78,3 +78,11 @@ def test_weighted_assignment(spark):
     r = df.agg(F.min("b"), F.max("b"), F.avg((F.col("arm") == "c").cast("double"))).first()
     assert r[0] >= 0 and r[1] < 10000
     assert r[2] == pytest.approx(0.5, abs=0.02)
+
+
+def test_explain_reports_errors_as_text_and_accepts_semicolon(spark):
+    registry._with_views(spark, SF001)
+    ok = X.explain_plan(spark, "SELECT channel FROM m_users;").collect()[0].plan
+    assert "Physical Plan" in ok
+    bad = X.explain_plan(spark, "SELECT no_such_column FROM m_users").collect()[0].plan
+    assert "no_such_column" in bad

@@ -72,3 +72,13 @@ def test_table_counts(spark):
     counts = {r.table_name: r.row_count for r in registry.QUERIES["table_counts"](spark, SF001).collect()}
     assert set(counts) == {"users", "events", "subscriptions"}
     assert counts["users"] > 0 and counts["events"] > 0
+
+
+def test_many_copies_of_one_user(make):
+    users = make("users", [(1, ts("2025-01-10"), "referral", None, None, None)] * 50
+                 + [(2, ts("2025-01-10"), "referral", None, None, None)])
+    events = make("events", [(1, "app_open", ts("2025-01-01"))] * 3 + [(1, "app_open", ts("2025-01-02"))]
+                  + [(7, "app_open", ts("2025-01-02"))])
+    assert one(Q.user_pk_duplicates(users)) == 49
+    assert one(Q.events_before_signup(users, events)) == 4 * 50
+    assert one(Q.orphan_rows(events, users)) == 1
