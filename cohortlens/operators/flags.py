@@ -68,12 +68,12 @@ def segment_counts(joined: DataFrame, segment_cols: Sequence[str], flag_cols: Se
     """Per segment: distinct users and distinct users with each flag.
 
     ``joined`` has the segment columns, ``user_id`` and nullable 0/1 flag
-    columns (a users row LEFT JOIN per-user flags). Equals ``COUNT(DISTINCT
+    columns (user rows LEFT JOIN per-user flags). Equals ``COUNT(DISTINCT
     u.user_id)`` and ``COUNT(DISTINCT CASE WHEN ... THEN e.user_id END)`` over
     ``users LEFT JOIN events`` without the Expand of a multi-distinct
-    aggregate: the first aggregate de-duplicates (segment, user) and is
-    clustered like a shuffle join on ``user_id`` (no extra exchange there);
-    the second is a small partial/final aggregate.
+    aggregate: the first aggregate keeps one row per (segment, user) and is
+    clustered like the ``user_id`` join before it (no exchange); the second is
+    a small partial/final aggregate.
     """
     per_user = joined.groupBy(*segment_cols, "user_id").agg(
         *[F.max(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in flag_cols]
@@ -84,9 +84,18 @@ def segment_counts(joined: DataFrame, segment_cols: Sequence[str], flag_cols: Se
     )
 
 
+def members(users: DataFrame, segment_cols: Sequence[str]) -> DataFrame:
+    """Distinct (segment..., user_id) rows of ``users``.
+
+    Copies of a user key collapse in the map-side partial aggregate, so a key
+    repeated over a large share of the users rows never reaches one join task.
+    """
+    return users.select(*segment_cols, "user_id").distinct()
+
+
 def segment_user_counts(
     users: DataFrame, flags: DataFrame, segment_cols: Sequence[str], flag_cols: Sequence[str]
 ) -> DataFrame:
-    """``segment_counts`` of users LEFT JOIN per-user flags."""
-    joined = users.select(*segment_cols, "user_id").join(flags, "user_id", "left")
+    """``segment_counts`` of distinct (segment, user) rows LEFT JOIN per-user flags."""
+    joined = members(users, segment_cols).join(flags, "user_id", "left")
     return segment_counts(joined, segment_cols, flag_cols)

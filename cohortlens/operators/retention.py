@@ -47,9 +47,10 @@ def cohort_retention(
     """cohort_month, cohort_users, month_number, retained_users, retention_pct.
 
     Plan: activity events are first reduced to distinct (user, activity
-    month) pairs (partial aggregation, so a hot user is at most one row per
-    month), then joined to the cohorts, bucketed, de-duplicated per (cohort,
-    month, user) on the join's user partitioning and counted. Cohort sizes are
+    month) pairs and users to distinct cohort rows (partial aggregation, so a
+    hot user is at most one row per month and copies of a user one row), then
+    joined, bucketed, de-duplicated per (cohort, month, user) on the join's
+    user partitioning and counted. Cohort sizes are
     a per-month aggregate; AQE turns that join into a broadcast at runtime.
     Absent cells stay absent rows.
     """
@@ -59,8 +60,9 @@ def cohort_retention(
         .distinct()
     )
     lo, hi = min(months), max(months)
+    # distinct cohort rows: copies of a user collapse map-side before the join
     cells = (
-        active_months.join(cohorts(users), "user_id")
+        active_months.join(cohorts(users).distinct(), "user_id")
         .select("cohort_month", "user_id", month_number(F.col("event_month"), F.col("signup_month"), days).alias("month_number"))
         .where(F.col("month_number").between(lo, hi))
     )

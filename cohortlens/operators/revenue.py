@@ -23,7 +23,10 @@ def revenue_by_channel(
 
     A segment without subscriptions has NULL revenue (not 0).
     """
-    joined = users.select(segment, "user_id").join(subscriptions_per_user(subscriptions, annual_plan), "user_id", "left")
+    # users rows counted per (segment, user): copies collapse map-side and
+    # weight the revenue, as each copied row would repeat it in the joined SUM
+    weighted = users.groupBy(segment, "user_id").agg(F.count(F.lit(1)).alias("copies"))
+    joined = weighted.join(subscriptions_per_user(subscriptions, annual_plan), "user_id", "left")
     return revenue_table(joined, segment)
 
 
@@ -42,15 +45,19 @@ def subscriptions_per_user(subscriptions: DataFrame, annual_plan: str = K.ANNUAL
 
 
 def revenue_table(joined: DataFrame, segment: str = "channel") -> DataFrame:
-    """From users rows LEFT JOIN ``subscriptions_per_user`` (segment, user_id, rev, annual_rev, n_subs)."""
-    # (segment, user) level: de-duplicates users like COUNT(DISTINCT) while
-    # keeping one revenue contribution per users row, as the joined SUM does.
+    """From (segment, user_id, copies) rows LEFT JOIN ``subscriptions_per_user``.
+
+    ``copies`` is the number of users rows a row stands for.
+    """
+    # (segment, user) level: one row per user like COUNT(DISTINCT), revenue
+    # counted once per users row as in the joined SUM. Clustered like the
+    # user_id join before it, so no exchange.
     per_member = (
         joined
         .groupBy(segment, "user_id")
         .agg(
-            F.sum("rev").alias("rev"),
-            F.sum(F.coalesce(F.col("annual_rev"), F.lit(0))).alias("annual_rev"),
+            F.sum(F.col("rev") * F.col("copies")).alias("rev"),
+            F.sum(F.coalesce(F.col("annual_rev"), F.lit(0)) * F.col("copies")).alias("annual_rev"),
             F.max(F.when(F.col("n_subs").isNotNull(), F.lit(1)).otherwise(F.lit(0))).alias("paying"),
         )
     )

@@ -21,9 +21,10 @@ from . import churn, experiment, flags, funnel, quality, retention, revenue
 class Analyses:
     """The analyses of one model, sharing one per-user fact table.
 
-    ``facts`` = users LEFT JOIN per-user activity flags LEFT JOIN per-user
-    subscription sums: one shuffle of the event log and one of the
-    subscriptions, both reduced to one row per user before the join. Funnel,
+    ``facts`` = distinct users rows (with their number of copies) LEFT JOIN
+    per-user activity flags LEFT JOIN per-user subscription sums: the event
+    log and the subscriptions are each reduced to one row per user before the
+    join, and copies of a user key to one weighted row. Funnel,
     readout, revenue and churn are small aggregates over it; inside one query
     the identical fact subtrees of the sections reuse the same exchanges.
     """
@@ -31,9 +32,12 @@ class Analyses:
     def __init__(self, model: Model):
         self.model = model
         u, e, s = model
+        # distinct users rows with their number of copies (collapsed map-side)
+        rows = u.groupBy("user_id", "channel", "experiment_group", "signup_date").agg(
+            F.count(F.lit(1)).alias("copies")
+        )
         facts = (
-            u.select("user_id", "channel", "experiment_group", "signup_date")
-            .join(flags.activity_flags(e), "user_id", "left")
+            rows.join(flags.activity_flags(e), "user_id", "left")
             .join(revenue.subscriptions_per_user(s), "user_id", "left")
         )
         self.facts = facts
@@ -42,7 +46,7 @@ class Analyses:
             flags.segment_counts(facts.select("channel", "user_id", *stage_cols), ["channel"],
                                  [d for d, _ in FUNNEL_FROM_FACTS]).withColumnRenamed("users", "signups")
         )
-        self.revenue = revenue.revenue_table(facts.select("channel", "user_id", "rev", "annual_rev", "n_subs"))
+        self.revenue = revenue.revenue_table(facts.select("channel", "user_id", "rev", "annual_rev", "n_subs", "copies"))
         self.readout = experiment.readout_table(
             flags.segment_counts(
                 facts.select("experiment_group", "user_id", F.col("has_onboarded").alias("activated")),
@@ -53,8 +57,8 @@ class Analyses:
         self.ab = experiment.publish(self.stats)
         self.retention = retention.cohort_retention(u, e)
         self.report = quality.quality_report(u, e, s)
-        self.scores = churn.churn_scores(churn.features_table(facts))
-        self.rollup = churn.churn_rollup(self.scores)
+        self.scores = churn.churn_scores(churn.features_table(facts, ("copies",)), ("copies",))
+        self.rollup = churn.churn_rollup(self.scores, weight="copies")
         self.at_risk = churn.at_risk_users(self.scores)
 
 

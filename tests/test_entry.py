@@ -62,3 +62,22 @@ def test_kpi_and_payload(spark):
     assert len(doc["data_quality"]) == 5 and len(doc["churn"]["at_risk_users"]) == 10
     assert set(doc["queries"]) == {"funnel", "cohort", "ab_test", "revenue"}
     assert doc["summary"]["total_signups"] == 150
+
+
+def test_kpi_with_copied_users_rows(spark, make):
+    from cohortlens.operators import churn, funnel, revenue, summary
+    from cohortlens.sources.model import Model
+    from conftest import ts
+    u = [(1, ts("2025-01-01"), "referral", "iOS", "US", "control_self_serve"),
+         (2, ts("2025-01-01"), "referral", "iOS", "US", "treatment_guided_edit")]
+    e = [(1, "signup", ts("2025-01-01")), (2, "onboarding_complete", ts("2025-01-02"))]
+    s = [(1, ts("2025-01-05"), "annual", 79.99)]
+    m = Model(make("users", u + [u[0]] * 4), make("events", e), make("subscriptions", s))
+    k = summary.kpi_summary(m).collect()[0]
+    f = funnel.funnel_by_channel(m.users, m.events).collect()
+    r = revenue.revenue_by_channel(m.users, m.subscriptions).collect()
+    roll = churn.churn_rollup(churn.churn_scores(churn.churn_features(m.users, m.events))).collect()[0]
+    assert k.total_signups == sum(x.signups for x in f) == 2
+    assert k.total_revenue == r[0].total_revenue_usd == round(5 * 79.99, 2)
+    assert k.avg_churn_risk_pct == roll.avg_churn_risk_pct
+    assert k.high_churn_users_count == roll.high_risk_count == 5  # user 1 (94) in five rows; user 2 scores 69

@@ -48,3 +48,11 @@ def test_revenue_decimal_sums_at_sf01(spark):
     a = rows["AUTOMOBILE"]
     assert (a.total_signups, a.paying_users, a.total_revenue_usd, a.revenue_per_signup_usd, a.pct_revenue_from_annual) == (
         3045, 1474, 69409.36, 22.795, 80.3)
+
+
+def test_copied_users_rows_count_once_as_signups_but_repeat_revenue(make):
+    users = make("users", U + [U[0]] * 3)  # user 1 stored four times
+    ref = V.revenue_by_channel(users, make("subscriptions", S)).collect()[0]
+    assert (ref.total_signups, ref.paying_users) == (2, 2)
+    # the joined SUM sees user 1's subscriptions once per stored users row
+    assert ref.total_revenue_usd == round(4 * (79.99 + 9.99) + 9.99, 2)
