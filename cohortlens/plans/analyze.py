@@ -1,19 +1,23 @@
 """The analyze run: materialise the model once, then run every analysis.
 
 1. derive users / events / subscriptions from the stored tables and write
-   them (``out/model``); every later job reads these files, so the lineage is
-   cut at a shared, durable folder;
+   them under the cluster's shared checkpoint folder (``spark.checkpoint.dir``);
+   every later job reads these files, so the lineage is cut at a shared,
+   durable folder and a lost executor costs a file re-read;
 2. funnel, cohort and revenue tables as CSV; the A/B text report; the
    dashboard JSON payload; the event-log layout.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 from ..operators import experiment, funnel, retention, revenue, summary
 from ..sources import sinks
 from ..sources.model import Model, load_model
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_model_table
 from .catalog import SAVED_SQL
 
@@ -28,10 +32,11 @@ def stored_model(spark: SparkSession, model_dir: str) -> Model:
 
 def analyze(spark: SparkSession, data_dir: str, out_dir: str) -> dict[str, str]:
     """Run the whole analysis; returns the written paths by name."""
-    model_dir = f"{out_dir}/model"
+    model_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortlens-model-{uuid.uuid4().hex}"
     sinks.write_model(load_model(spark, data_dir), model_dir)
     m = stored_model(spark, model_dir)
     paths = {
+        "model": model_dir,
         "funnel_csv": f"{out_dir}/output_funnel",
         "cohort_csv": f"{out_dir}/output_cohort",
         "revenue_csv": f"{out_dir}/output_revenue",

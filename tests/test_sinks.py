@@ -5,7 +5,7 @@ import os
 import tempfile
 
 from conftest import SF001
-from cohortlens.plans.pipeline import analyze, stored_model
+from cohortlens.plans.analyze import analyze, stored_model
 from cohortlens.sources import sinks
 
 
@@ -31,7 +31,7 @@ def test_analyze_writes_everything(spark):
         "pct_edit_to_trial", "subscribed", "pct_trial_to_paid", "overall_conversion_pct"]
     report = "".join(open(p).read() for p in sorted(glob.glob(f"{paths['ab_text']}/part-*")))
     assert report.startswith("Control activation:") and "Cohen's h:" in report
-    m = stored_model(spark, f"{out}/model")
+    m = stored_model(spark, paths["model"])
     assert m.users.count() == 150
     months = [os.path.basename(p) for p in glob.glob(f"{paths['event_layout']}/event_month=*")]
     assert months and all(p.startswith("event_month=") for p in months)
