@@ -249,11 +249,19 @@ FROM scores""",
 })
 
 
-def _with(final_sql: str) -> str:
-    ctes = ",\n".join(f"{name} AS ({body}\n)" for name, body in CTES.items())
+def _with(final_sql: str, model: bool = True) -> str:
+    """``final_sql`` after all CTEs; ``model=False`` leaves out the derivation
+    of m_users / m_events / m_subscriptions so that they resolve to tables."""
+    body = CTES if model else {k: v for k, v in CTES.items() if k not in MODEL_CTES}
+    ctes = ",\n".join(f"{name} AS ({text}\n)" for name, text in body.items())
     return f"WITH {ctes}\n{final_sql}"
 
 
+def analysis_sql(final_sql: str) -> str:
+    """Brute-force SQL over existing m_users / m_events / m_subscriptions tables."""
+    return _with(final_sql, model=False)
+
+
 def _assign(salt: str, weights, key: str = "c_custkey") -> str:
     from ..functions.columns import cumulative_cuts
 
