@@ -76,3 +76,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def sort_bounded(df: DataFrame, *order) -> DataFrame:
+    """Total order for a result bounded by a dimension (channels, cohort months,
+    event types): one partition sorted locally.
+
+    Only for outputs of an aggregate whose row count is bounded by a dimension,
+    never for raw or per-user rows (those use ``orderBy``, a distributed range
+    sort). It skips the range partitioner's sampling job.
+    """
+    return df.repartition(1).sortWithinPartitions(*order)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import map_lookup, pct
+from ..functions.columns import map_lookup, pct, sort_bounded
 from .flags import segment_user_counts, stage_flags
 
 RATE_COLUMNS = (
@@ -49,7 +49,7 @@ def funnel_table(counts: DataFrame, segment: str = "channel") -> DataFrame:
     """Rates and order from (segment, signups, <stage>...) counts."""
     rates = {out: pct(num, den, d) for out, num, den, d in RATE_COLUMNS}
     cols = [rates[c].alias(c) if c in rates else F.col(c) for c in FUNNEL_COLUMNS]
-    return counts.select(segment, *cols).orderBy(F.desc("overall_conversion_pct"), F.asc(segment))
+    return sort_bounded(counts.select(segment, *cols), F.desc("overall_conversion_pct"), F.asc(segment))
 
 
 def filter_segment(funnel: DataFrame, value: str | None, segment: str = "channel") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import pct
+from ..functions.columns import pct, sort_bounded
 
 
 def month_start(ts: Column) -> Column:
@@ -73,7 +73,7 @@ def cohort_retention(
             "cohort_month", "cohort_users", "month_number", "retained_users",
             pct("retained_users", "cohort_users", 1).alias("retention_pct"),
         )
-        .orderBy("cohort_month", "month_number")
+        .transform(lambda df: sort_bounded(df, "cohort_month", "month_number"))
     )
 
 
@@ -82,7 +82,7 @@ def retention_curve(retention: DataFrame) -> DataFrame:
     return (
         retention.groupBy("month_number")
         .agg(F.round(F.avg("retention_pct"), 4).alias("avg_retention_pct"), F.count(F.lit(1)).alias("n_cohorts"))
-        .orderBy("month_number")
+        .transform(lambda df: sort_bounded(df, "month_number"))
     )
 
 
@@ -103,4 +103,4 @@ def cohort_heatmap(retention: DataFrame, months: Sequence[int] = K.RETENTION_MON
     )
     pcts = [F.col(f"`{m}`").alias(f"m{m}") for m in months]
     classes = [heat_class(F.col(f"`{m}`")).alias(f"m{m}_class") for m in months]
-    return wide.select("cohort_month", "cohort_users", *pcts, *classes).orderBy("cohort_month")
+    return sort_bounded(wide.select("cohort_month", "cohort_users", *pcts, *classes), "cohort_month")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import map_lookup
+from ..functions.columns import map_lookup, sort_bounded
 
 
 def revenue_by_channel(
@@ -74,7 +74,7 @@ def revenue_table(joined: DataFrame, segment: str = "channel") -> DataFrame:
         F.round("rev", 2).alias("total_revenue_usd"),
         F.round(F.col("rev") / F.nullif(F.col("total_signups"), F.lit(0)), 3).alias("revenue_per_signup_usd"),
         F.round(F.col("annual_rev") / F.nullif(F.col("rev"), F.lit(0.0)) * F.lit(100.0), 1).alias("pct_revenue_from_annual"),
-    ).orderBy(F.desc("revenue_per_signup_usd"), F.asc(segment))
+    ).transform(lambda df: sort_bounded(df, F.desc("revenue_per_signup_usd"), F.asc(segment)))
 
 
 def revenue_share(revenue: DataFrame, segment: str = "channel") -> DataFrame:
@@ -100,4 +100,4 @@ def revenue_labelled(revenue: DataFrame, segment: str = "channel") -> DataFrame:
         segment, display_name(segment).alias("channel_name"),
         map_lookup(segment, K.CHANNEL_LABELS).alias("channel_label"),
         "revenue_per_signup_usd",
-    ).orderBy(F.desc("revenue_per_signup_usd"), F.asc(segment))
+    ).transform(lambda df: sort_bounded(df, F.desc("revenue_per_signup_usd"), F.asc(segment)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import hash_bucket, weighted_choice
+from ..functions.columns import hash_bucket, sort_bounded, weighted_choice
 from ..operators import churn, experiment, explore, flags, funnel, quality, retention, revenue, summary
 from ..sources.model import load_model, raw_event_log, register_model_views
 from ..sources.tables import read_table
@@ -129,8 +129,9 @@ QUERIES: dict[str, Builder] = {
     "funnel_for_channel": _m(lambda m: funnel.filter_segment(_funnel(m), PARAMS.channel)),
     "conversion_tiers": _m(lambda m: funnel.conversion_tiers(_funnel(m))),
     "funnel_long": _m(lambda m: funnel.funnel_long(_funnel(m))),
-    "event_counts": lambda s, d: _events(s, d).groupBy("event_name").agg(F.count(F.lit(1)).alias("event_count"))
-    .orderBy(F.desc("event_count"), F.asc("event_name")),
+    "event_counts": lambda s, d: sort_bounded(
+        _events(s, d).groupBy("event_name").agg(F.count(F.lit(1)).alias("event_count")),
+        F.desc("event_count"), F.asc("event_name")),
     "channel_labels": _m(lambda m: funnel.channel_labels(_funnel(m))),
     # retention
     "cohort_size": _m(lambda m: retention.cohort_size(m.users)),
