@@ -48,6 +48,7 @@ def activity_flags(events: DataFrame, flags: Sequence[tuple[str, str]] = ACTIVIT
         .agg(
             F.countDistinct("event_name").alias("unique_events"),
             F.count("event_name").alias("total_event_count"),
+            F.count(F.lit(1)).alias("event_rows"),
             *[F.max(_flag(ev)).alias(col) for col, ev in flags],
         )
     )

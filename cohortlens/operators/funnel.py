@@ -45,11 +45,12 @@ def funnel_by_channel(users: DataFrame, events: DataFrame, segment: str = "chann
     return funnel_table(funnel_counts(users, events, segment), segment)
 
 
-def funnel_table(counts: DataFrame, segment: str = "channel") -> DataFrame:
-    """Rates and order from (segment, signups, <stage>...) counts."""
+def funnel_table(counts: DataFrame, segment: str = "channel", ordered: bool = True) -> DataFrame:
+    """Rates (and, if ``ordered``, the best-first order) from (segment, signups, <stage>...) counts."""
     rates = {out: pct(num, den, d) for out, num, den, d in RATE_COLUMNS}
     cols = [rates[c].alias(c) if c in rates else F.col(c) for c in FUNNEL_COLUMNS]
-    return sort_bounded(counts.select(segment, *cols), F.desc("overall_conversion_pct"), F.asc(segment))
+    table = counts.select(segment, *cols)
+    return sort_bounded(table, F.desc("overall_conversion_pct"), F.asc(segment)) if ordered else table
 
 
 def filter_segment(funnel: DataFrame, value: str | None, segment: str = "channel") -> DataFrame:

@@ -43,6 +43,7 @@ def cohort_retention(
     activity_event: str = K.EV_APP_OPEN,
     months: Sequence[int] = K.RETENTION_MONTHS,
     days: float = K.DAYS_PER_MONTH_BUCKET,
+    ordered: bool = True,
 ) -> DataFrame:
     """cohort_month, cohort_users, month_number, retained_users, retention_pct.
 
@@ -73,7 +74,7 @@ def cohort_retention(
             "cohort_month", "cohort_users", "month_number", "retained_users",
             pct("retained_users", "cohort_users", 1).alias("retention_pct"),
         )
-        .transform(lambda df: sort_bounded(df, "cohort_month", "month_number"))
+        .transform(lambda df: sort_bounded(df, "cohort_month", "month_number") if ordered else df)
     )
 
 

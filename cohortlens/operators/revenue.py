@@ -44,7 +44,7 @@ def subscriptions_per_user(subscriptions: DataFrame, annual_plan: str = K.ANNUAL
     )
 
 
-def revenue_table(joined: DataFrame, segment: str = "channel") -> DataFrame:
+def revenue_table(joined: DataFrame, segment: str = "channel", ordered: bool = True) -> DataFrame:
     """From (segment, user_id, copies) rows LEFT JOIN ``subscriptions_per_user``.
 
     ``copies`` is the number of users rows a row stands for.
@@ -74,7 +74,7 @@ def revenue_table(joined: DataFrame, segment: str = "channel") -> DataFrame:
         F.round("rev", 2).alias("total_revenue_usd"),
         F.round(F.col("rev") / F.nullif(F.col("total_signups"), F.lit(0)), 3).alias("revenue_per_signup_usd"),
         F.round(F.col("annual_rev") / F.nullif(F.col("rev"), F.lit(0.0)) * F.lit(100.0), 1).alias("pct_revenue_from_annual"),
-    ).transform(lambda df: sort_bounded(df, F.desc("revenue_per_signup_usd"), F.asc(segment)))
+    ).transform(lambda df: sort_bounded(df, F.desc("revenue_per_signup_usd"), F.asc(segment)) if ordered else df)
 
 
 def revenue_share(revenue: DataFrame, segment: str = "channel") -> DataFrame:

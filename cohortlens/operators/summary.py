@@ -36,17 +36,19 @@ class Analyses:
         rows = u.groupBy("user_id", "channel", "experiment_group", "signup_date").agg(
             F.count(F.lit(1)).alias("copies")
         )
-        facts = (
-            rows.join(flags.activity_flags(e), "user_id", "left")
-            .join(revenue.subscriptions_per_user(s), "user_id", "left")
-        )
+        per_user_events = flags.activity_flags(e)
+        per_user_subs = revenue.subscriptions_per_user(s)
+        facts = rows.join(per_user_events, "user_id", "left").join(per_user_subs, "user_id", "left")
         self.facts = facts
         stage_cols = [F.col(src).alias(dst) for dst, src in FUNNEL_FROM_FACTS]
         self.funnel = funnel.funnel_table(
             flags.segment_counts(facts.select("channel", "user_id", *stage_cols), ["channel"],
-                                 [d for d, _ in FUNNEL_FROM_FACTS]).withColumnRenamed("users", "signups")
+                                 [d for d, _ in FUNNEL_FROM_FACTS]).withColumnRenamed("users", "signups"),
+            ordered=False,
+        )
+        self.revenue = revenue.revenue_table(
+            facts.select("channel", "user_id", "rev", "annual_rev", "n_subs", "copies"), ordered=False
         )
-        self.revenue = revenue.revenue_table(facts.select("channel", "user_id", "rev", "annual_rev", "n_subs", "copies"))
         self.readout = experiment.readout_table(
             flags.segment_counts(
                 facts.select("experiment_group", "user_id", F.col("has_onboarded").alias("activated")),
@@ -55,8 +57,13 @@ class Analyses:
         )
         self.stats = experiment.two_proportion_stats(experiment.align_arms(self.readout))
         self.ab = experiment.publish(self.stats)
-        self.retention = retention.cohort_retention(u, e)
-        self.report = quality.quality_report(u, e, s)
+        self.retention = retention.cohort_retention(u, e, ordered=False)  # the payload sorts its lists
+        # the foreign-key checks reuse the per-user aggregates of the fact table
+        self.report = quality.quality_report(
+            u, e, s,
+            event_counts=per_user_events.select("user_id", F.col("event_rows").alias("n")),
+            subscription_counts=per_user_subs.select("user_id", F.col("n_subs").alias("n")),
+        )
         self.scores = churn.churn_scores(churn.features_table(facts, ("copies",)), ("copies",))
         self.rollup = churn.churn_rollup(self.scores, weight="copies")
         self.at_risk = churn.at_risk_users(self.scores)
