@@ -71,3 +71,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return folder
+
+
+def sizing_conf(
+    input_bytes: int,
+    split_bytes: int = 1 << 30,
+    input_bytes_per_shuffle_partition: int = 1 << 30,
+    max_shuffle_partitions: int = 50_000,
+    advisory_bytes: int = 256 << 20,
+    min_partitions: int = 8,
+) -> dict[str, str]:
+    """Scan and shuffle sizing for an input of ``input_bytes``.
+
+    Scans split files at ``split_bytes``. The first shuffle gets one partition
+    per ``input_bytes_per_shuffle_partition`` of input, capped so that
+    (map tasks x reduce partitions) shuffle blocks stay manageable; AQE then
+    coalesces every stage to ``advisory_bytes`` and splits skewed partitions.
+    For 100 TB: ~100,000 scan tasks of 1 GB and 50,000 initial shuffle
+    partitions.
+    """
+    parts = -(-int(input_bytes) // int(input_bytes_per_shuffle_partition))
+    parts = max(min_partitions, min(max_shuffle_partitions, parts))
+    return {
+        "spark.sql.files.maxPartitionBytes": f"{int(split_bytes)}b",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{int(advisory_bytes)}b",
+    }

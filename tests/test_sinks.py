@@ -39,3 +39,14 @@ def test_analyze_writes_everything(spark):
     assert laid.count() == m.events.count()
     payload = spark.read.text(paths["payload_json"]).count()
     assert payload == 1
+
+
+def test_sizing_conf():
+    from cohortlens.session import sizing_conf
+    small = sizing_conf(10 * 1024 ** 2)
+    assert small["spark.sql.shuffle.partitions"] == "8"
+    big = sizing_conf(100 * 1024 ** 4)
+    assert big["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "50000"
+    mid = sizing_conf(2 * 1024 ** 4)
+    assert mid["spark.sql.shuffle.partitions"] == "2048"
+    assert big["spark.sql.files.maxPartitionBytes"] == str(1 << 30) + "b"
