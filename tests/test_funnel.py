@@ -1,6 +1,5 @@
 """Funnel, flags, tiers, long form."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01, ts

@@ -1,6 +1,5 @@
 """Revenue segmentation."""
 
-import pytest
 
 from conftest import SF01, ts
 from cohortlens.operators import revenue as V
