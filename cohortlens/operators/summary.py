@@ -127,10 +127,11 @@ def kpi_columns() -> list[Column]:
     ]
 
 
-def kpi_summary(model: Model) -> DataFrame:
+def kpi_summary(model: Model, analyses: Analyses | None = None) -> DataFrame:
     """total signups / revenue / paying users, overall conversion, A/B lift and p,
     decision, all checks passed, mean churn risk, high-risk users: one row."""
-    return combine_rows(kpi_sections(Analyses(model))).select(*kpi_columns())
+    a = analyses or Analyses(model)
+    return combine_rows(kpi_sections(a)).select(*kpi_columns())
 
 
 def _sorted_list(df: DataFrame, order: Sequence[Column], cols: Sequence[str], name: str) -> DataFrame:
@@ -139,9 +140,11 @@ def _sorted_list(df: DataFrame, order: Sequence[Column], cols: Sequence[str], na
     return keyed.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.getField("row")).alias(name))
 
 
-def dashboard_payload(model: Model, saved_sql: Mapping[str, str], title: str = "product analytics") -> DataFrame:
+def dashboard_payload(
+    model: Model, saved_sql: Mapping[str, str], title: str = "product analytics", analyses: Analyses | None = None
+) -> DataFrame:
     """One row, column ``payload``: the whole dashboard document as JSON."""
-    a = Analyses(model)
+    a = analyses or Analyses(model)
     sections = kpi_sections(a) + [
         _sorted_list(a.funnel, [-F.col("overall_conversion_pct"), F.col("channel")], a.funnel.columns, "funnel"),
         _sorted_list(a.retention, [F.col("cohort_month"), F.col("month_number")], a.retention.columns, "cohort"),

@@ -53,6 +53,19 @@ def model_for(spark: SparkSession, d: str):
     return model
 
 
+_ANALYSES: dict[int, tuple[object, summary.Analyses]] = {}
+
+
+def analyses_for(model) -> summary.Analyses:
+    """The shared analyses of a model (logical plans only), built once."""
+    hit = _ANALYSES.get(id(model))
+    if hit is not None and hit[0] is model:
+        return hit[1]
+    a = summary.Analyses(model)
+    _ANALYSES[id(model)] = (model, a)
+    return a
+
+
 def _m(fn):
     """Builder over the derived model (users, events, subscriptions)."""
     return lambda spark, d: fn(model_for(spark, d))
@@ -173,8 +186,8 @@ QUERIES: dict[str, Builder] = {
     "explain_plan": _explain,
     "result_search": _m(lambda m: explore.result_search(_funnel(m), PARAMS.search_term)),
     # summary
-    "kpi_summary": _m(summary.kpi_summary),
-    "dashboard_payload": _m(lambda m: summary.dashboard_payload(m, catalog.SAVED_SQL)),
+    "kpi_summary": _m(lambda m: summary.kpi_summary(m, analyses_for(m))),
+    "dashboard_payload": _m(lambda m: summary.dashboard_payload(m, catalog.SAVED_SQL, analyses=analyses_for(m))),
 }
 
 # Keys checked by row count only (no SQL restatement).

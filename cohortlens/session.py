@@ -18,6 +18,10 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # no Python call-site capture per DataFrame/Column call (several Py4J
+    # round trips each); plans are built faster, error messages lack the
+    # Python line of the failing call
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
