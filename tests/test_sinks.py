@@ -50,3 +50,21 @@ def test_sizing_conf():
     mid = sizing_conf(2 * 1024 ** 4)
     assert mid["spark.sql.shuffle.partitions"] == "2048"
     assert big["spark.sql.files.maxPartitionBytes"] == str(1 << 30) + "b"
+
+
+def test_event_layout_files_hold_disjoint_user_ranges(spark):
+    import pyarrow.parquet as pq
+    from cohortlens.plans.registry import model_for
+    out = scratch()
+    sinks.write_event_layout(model_for(spark, SF001).events, f"{out}/layout", num_files=16)
+    months = glob.glob(f"{out}/layout/event_month=*")
+    assert len(months) > 1
+    for month in months:
+        ranges = []
+        for f in glob.glob(f"{month}/*.parquet"):
+            col = pq.read_table(f, columns=["user_id"]).column("user_id").to_pylist()
+            assert col == sorted(col)  # sorted by user inside the file
+            ranges.append((min(col), max(col)))
+        ranges.sort()
+        for (lo1, hi1), (lo2, hi2) in zip(ranges, ranges[1:]):
+            assert hi1 <= lo2  # contiguous user ranges: min/max statistics prune point lookups
