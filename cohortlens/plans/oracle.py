@@ -2,8 +2,8 @@
 
 The oracle restates each analysis the plain relational way (LEFT JOIN of raw
 rows, COUNT(DISTINCT ...), scalar subqueries) over the same Parquet tables, so
-it checks the Spark plans (pre-aggregation, two-level distinct counts, scalar
-subqueries) against straightforward SQL. Dialect notes: DuckDB rounds on
+it checks the Spark plans (pre-aggregation, copy collapsing, two-level
+distinct counts, union-combined summaries) against straightforward SQL. Dialect notes: DuckDB rounds on
 CAST(double AS INT), so the month bucket truncates first; literals such as
 ``100.0`` are DECIMAL there, so doubles are written as CAST(... AS DOUBLE).
 """
