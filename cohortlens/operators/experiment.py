@@ -136,35 +136,40 @@ def ab_power(users: DataFrame, events: DataFrame, alpha: float = K.ALPHA) -> Dat
     )
 
 
-def whatif_z(p1: Column, p2: Column, n_per_arm: int) -> Column:
-    """Pooled z for two equal arms of ``n_per_arm`` users with rates p1, p2."""
+def whatif_z(p1: Column, p2: Column, n_per_arm) -> Column:
+    """Pooled z for two equal arms of ``n_per_arm`` users (a number or a column) with rates p1, p2."""
+    n = n_per_arm.cast("double") if isinstance(n_per_arm, Column) else F.lit(float(n_per_arm))
     p_pool = (p1 + p2) / F.lit(2.0)
-    se = F.sqrt(p_pool * (F.lit(1.0) - p_pool) * (F.lit(2.0) / F.lit(float(n_per_arm))))
+    se = F.sqrt(p_pool * (F.lit(1.0) - p_pool) * (F.lit(2.0) / n))
     return (p2 - p1) / F.nullif(se, F.lit(0.0))
 
 
 def ab_whatif(
     users: DataFrame, events: DataFrame, segment: str = "channel",
-    n_per_arm: int = K.WHATIF_N_PER_ARM, alpha: float = K.ALPHA,
+    n_per_arm: int | Sequence[int] = K.WHATIF_N_PER_ARM, alpha: float = K.ALPHA,
 ) -> DataFrame:
     """Significance calculator applied to each segment's observed arm rates.
 
-    For every segment: the observed control / treatment activation rates, and
-    the z, two-sided p and decision the test would give with ``n_per_arm``
-    users per arm.
+    For every segment (and every per-arm sample size when ``n_per_arm`` is a
+    list): the observed control / treatment activation rates, and the z,
+    two-sided p and decision the test would give with that many users per arm.
+    Several sizes are expanded with a generator (``explode``), not a join.
     """
+    sizes = [n_per_arm] if isinstance(n_per_arm, int) else list(n_per_arm)
     aligned = align_arms(ab_readout(users, events, segments=[segment]), segments=[segment])
     p1 = F.col("x_control") / F.nullif(F.col("n_control").cast("double"), F.lit(0.0))
     p2 = F.col("x_treatment") / F.nullif(F.col("n_treatment").cast("double"), F.lit(0.0))
+    n = F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in sizes])) if len(sizes) > 1 else F.lit(int(sizes[0])).cast("bigint")
+    rates = aligned.select(segment, p1.alias("p1"), p2.alias("p2"), n.alias("n_per_arm"))
     # z is projected first and the tail expression reads the column, so the
     # (long) tail polynomial is not expanded over the z expression.
-    staged = aligned.select(segment, p1.alias("p1"), p2.alias("p2"), whatif_z(p1, p2, n_per_arm).alias("z"))
+    staged = rates.select("*", whatif_z(F.col("p1"), F.col("p2"), F.col("n_per_arm")).alias("z"))
     p = two_sided_p(F.col("z"))
     return staged.select(
         segment,
         F.round(F.col("p1") * F.lit(100.0), 2).alias("p1_pct"),
         F.round(F.col("p2") * F.lit(100.0), 2).alias("p2_pct"),
-        F.lit(n_per_arm).cast("bigint").alias("n_per_arm"),
+        "n_per_arm",
         F.round("z", 3).alias("z_stat"),
         F.round(p, 5).alias("p_value"),
         (p < F.lit(alpha)).alias("is_significant"),

@@ -121,3 +121,21 @@ def test_normal_tail_accuracy(spark):
 
 def test_z_critical():
     assert X.z_critical(0.05) == pytest.approx(1.959964, abs=1e-6)
+
+
+def test_whatif_sizes(spark, make):
+    from conftest import ts
+    users = make("users", [(i, ts("2025-01-01"), "referral", None, None,
+                            "control_self_serve" if i % 2 == 0 else "treatment_guided_edit") for i in range(40)])
+    events = make("events", [(i, "onboarding_complete", ts("2025-01-02")) for i in range(40) if i % 4 != 0 or i % 2 == 1])
+    one = X.ab_whatif(users, events).collect()
+    grid = {r.n_per_arm: r for r in X.ab_whatif(users, events, n_per_arm=[100, 3000, 100000]).collect()}
+    assert len(one) == 1 and one[0].n_per_arm == 3000
+    assert set(grid) == {100, 3000, 100000}
+    assert grid[3000].z_stat == one[0].z_stat
+    # same rates, more users per arm: |z| grows with sqrt(n)
+    assert abs(grid[100000].z_stat) > abs(grid[3000].z_stat) > abs(grid[100].z_stat)
+    p1, p2 = 0.5, 1.0  # control: half activated; treatment: all
+    pool = (p1 + p2) / 2
+    z = (p2 - p1) / math.sqrt(pool * (1 - pool) * 2 / 3000)
+    assert grid[3000].z_stat == pytest.approx(round(z, 3))
