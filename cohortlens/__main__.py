@@ -1,4 +1,4 @@
-"""Job entry point (for ``spark-submit`` or ``python -m cohortlens``).
+"""Job entry point (``python -m cohortlens``).
 
     python -m cohortlens analyze DATA_DIR OUT_DIR   # all analyses, CSV / text / JSON / layout
     python -m cohortlens quality DATA_DIR           # the five checks; exit code 1 on failure
