@@ -69,9 +69,14 @@ def explain_plan(spark: SparkSession, sql_text: str, mode: str = "FORMATTED") ->
     return spark.sql(f"EXPLAIN {mode} {query_only(sql_text)}")
 
 
+# Fixed value: the whitespace stripped around an id (ASCII whitespace, as str.strip()).
+ID_WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def normalise_user_id(text: Column) -> Column:
-    """trim, lower, drop 'user_', strip leading zeros, empty -> '1', then to bigint (NULL if not a number)."""
-    cleaned = F.ltrim(F.replace(F.lower(F.trim(text)), F.lit("user_"), F.lit("")), F.lit("0"))
+    """trim whitespace, lower, drop 'user_', strip leading zeros, empty -> '1', then to bigint (NULL if not a number)."""
+    stripped = F.trim(text, F.lit(ID_WHITESPACE))
+    cleaned = F.ltrim(F.replace(F.lower(stripped), F.lit("user_"), F.lit("")), F.lit("0"))
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("1")).try_cast("bigint")
 
 

@@ -454,7 +454,8 @@ def oracle_queries(params) -> dict[str, str]:
         ),
         "normalise_user_id": (
             f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, raw_id, "
-            "TRY_CAST(COALESCE(NULLIF(ltrim(replace(lower(trim(raw_id)), 'user_', ''), '0'), ''), '1') AS BIGINT) "
+            "TRY_CAST(COALESCE(NULLIF(ltrim(replace(lower(trim(raw_id, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), "
+            "'user_', ''), '0'), ''), '1') AS BIGINT) "
             "AS user_id FROM (SELECT c_custkey, ' User_000' || CAST(c_custkey AS VARCHAR) || ' ' AS raw_id FROM customer)"
         ),
         "user_profile": _with(

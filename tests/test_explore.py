@@ -10,9 +10,9 @@ from cohortlens.plans import registry
 
 
 def test_normalise_user_id(spark):
-    df = spark.createDataFrame([(" user_0042 ",), ("000",), ("USER_7",), ("",), ("abc",)], "t STRING")
+    df = spark.createDataFrame([(" user_0042 ",), ("000",), ("USER_7",), ("",), ("abc",), ("\tuser_09\n",)], "t STRING")
     got = [r[0] for r in df.select(X.normalise_user_id(F.col("t"))).collect()]
-    assert got == [42, 1, 7, 1, None]
+    assert got == [42, 1, 7, 1, None, 9]
 
 
 def test_adhoc_sql_is_query_only_with_bound_args(spark):
