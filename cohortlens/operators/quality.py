@@ -138,10 +138,14 @@ def quality_report(
     """
     up, ep, sp = _profiles(users, events, subscriptions)
     key = F.col("user_id").isNotNull()
-    duplicates = up.agg(
-        (F.coalesce(F.sum(F.when(key, F.col("copies"))), F.lit(0)) - F.countDistinct("user_id")).alias("duplicate_count")
-    )
     keys = up.where(key).select("user_id").distinct()
+    # keyed rows minus distinct keys; the distinct keys are the ones the
+    # foreign-key checks anti-join against (one shared aggregate)
+    keyed_rows = up.where(key).agg(F.sum("copies").alias("v"))
+    key_count = keys.agg((-F.count(F.lit(1))).alias("v"))
+    duplicates = keyed_rows.unionByName(key_count).agg(
+        F.coalesce(F.sum("v"), F.lit(0)).cast("bigint").alias("duplicate_count")
+    )
     ev = event_counts if event_counts is not None else ep.where(key).groupBy("user_id").agg(F.sum("n").alias("n"))
     sb = subscription_counts if subscription_counts is not None else sp.where(key).select("user_id", "n")
     dated_users = up.where(key & F.col("signup_date").isNotNull()).select("user_id", "signup_date", "copies")
