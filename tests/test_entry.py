@@ -81,3 +81,37 @@ def test_kpi_with_copied_users_rows(spark, make):
     assert k.total_revenue == r[0].total_revenue_usd == round(5 * 79.99, 2)
     assert k.avg_churn_risk_pct == roll.avg_churn_risk_pct
     assert k.high_churn_users_count == roll.high_risk_count == 5  # user 1 (94) in five rows; user 2 scores 69
+
+
+def test_payload_sections_equal_the_sql_oracle(spark):
+    """The rows-only payload, section by section, against the oracle SQL of each analysis."""
+    con = duckdb.connect()
+    for t in TABLE_NAMES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(SF001, t)}')")
+    o = entry_mod.oracle_sql()
+    doc = json.loads(entry_mod.queries()["dashboard_payload"](spark, SF001).collect()[0].payload)
+
+    def oracle_rows(key):
+        res = con.execute(o[key])
+        cols = [d[0] for d in res.description]
+        return [dict(zip(cols, r)) for r in res.fetchall()]
+
+    def same(section, key, cols):
+        mine = sorted(tuple(_norm(r[c]) for c in cols) for r in section)
+        theirs = sorted(tuple(_norm(r[c]) for c in cols) for r in oracle_rows(key))
+        assert mine == theirs, key
+
+    same(doc["funnel"], "funnel_by_channel", ["channel", "signups", "subscribed", "overall_conversion_pct"])
+    same(doc["cohort"], "cohort_retention", ["cohort_month", "month_number", "retained_users", "retention_pct"])
+    same(doc["revenue"], "revenue_by_channel", ["channel", "total_revenue_usd", "revenue_per_signup_usd"])
+    same(doc["ab_test"]["groups"], "ab_readout", ["experiment_group", "users_in_group", "activated_users"])
+    same([doc["ab_test"]["result"]], "ab_ztest", ["z_stat", "p_value", "ci_lower_pp", "ci_upper_pp", "cohens_h"])
+    same(doc["data_quality"], "dq_report", ["check_name", "passed", "details"])
+    churn = doc["churn"]
+    same([churn], "churn_rollup", ["high_risk_count", "medium_risk_count", "low_risk_count", "avg_churn_risk_pct"])
+    kpi = oracle_rows("kpi_summary")[0]
+    for c in ("total_signups", "total_revenue", "overall_conversion_pct", "ab_p_value", "dq_all_passed"):
+        assert _norm(doc["summary"][c]) == _norm(kpi[c]), c
+    # payload lists keep the analyses' order
+    assert [r["overall_conversion_pct"] for r in doc["funnel"]] == sorted(
+        (r["overall_conversion_pct"] for r in doc["funnel"]), reverse=True)
