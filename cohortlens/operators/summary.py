@@ -108,25 +108,49 @@ def kpi_sections(a: Analyses) -> list[DataFrame]:
     ]
 
 
-def kpi_columns() -> list[Column]:
-    signups, paid = F.col("total_signups"), F.col("total_paying_users")
+def kpi_columns(
+    signups: Column | None = None,
+    paid: Column | None = None,
+    revenue_total: Column | None = None,
+    ab_lift: Column | None = None,
+    ab_p: Column | None = None,
+    ab_sig: Column | None = None,
+    dq_passed: Column | None = None,
+    churn_mean: Column | None = None,
+    churn_high: Column | None = None,
+) -> list[Column]:
+    """The KPI row from its inputs (by default the columns of ``kpi_sections``)."""
+
+    def c(value, name):
+        return F.col(name) if value is None else value
+
+    signups, paid = c(signups, "total_signups"), c(paid, "total_paying_users")
+    revenue_total, ab_lift, ab_p = c(revenue_total, "total_revenue"), c(ab_lift, "ab_lift_pp"), c(ab_p, "ab_p_value")
+    ab_sig, dq_passed = c(ab_sig, "ab_is_significant"), c(dq_passed, "dq_all_passed")
+    churn_mean, churn_high = c(churn_mean, "avg_churn_risk_pct"), c(churn_high, "high_churn_users_count")
     conversion = F.when(
         signups > 0, F.round(paid.cast("double") / signups * F.lit(100.0), 2)
     ).otherwise(F.lit(0.0))
     return [
         signups.alias("total_signups"),
-        F.col("total_revenue"),
+        revenue_total.alias("total_revenue"),
         paid.alias("total_paying_users"),
         conversion.alias("overall_conversion_pct"),
-        F.col("ab_lift_pp"),
-        F.col("ab_p_value"),
-        F.col("ab_is_significant"),
-        F.col("dq_all_passed"),
-        F.col("avg_churn_risk_pct"),
-        F.col("high_churn_users_count"),
+        ab_lift.alias("ab_lift_pp"),
+        ab_p.alias("ab_p_value"),
+        ab_sig.alias("ab_is_significant"),
+        dq_passed.alias("dq_all_passed"),
+        churn_mean.alias("avg_churn_risk_pct"),
+        churn_high.alias("high_churn_users_count"),
     ]
 
 
+def _array_sum(arr: Column, field: str, zero: Column) -> Column:
+    """SQL SUM over one field of an array of structs: NULLs skipped, NULL if all are NULL."""
+    total = F.aggregate(arr, zero, lambda acc, x: acc + F.coalesce(x[field], zero))
+    return F.when(F.exists(arr, lambda x: x[field].isNotNull()), total)
+
+
 def kpi_summary(model: Model, analyses: Analyses | None = None) -> DataFrame:
     """total signups / revenue / paying users, overall conversion, A/B lift and p,
     decision, all checks passed, mean churn risk, high-risk users: one row."""
@@ -145,7 +169,8 @@ def dashboard_payload(
 ) -> DataFrame:
     """One row, column ``payload``: the whole dashboard document as JSON."""
     a = analyses or Analyses(model)
-    sections = kpi_sections(a) + [
+    # the KPI block is derived from the lists below (no separate sections)
+    sections = [
         _sorted_list(a.funnel, [-F.col("overall_conversion_pct"), F.col("channel")], a.funnel.columns, "funnel"),
         _sorted_list(a.retention, [F.col("cohort_month"), F.col("month_number")], a.retention.columns, "cohort"),
         _sorted_list(a.revenue, [-F.col("revenue_per_signup_usd"), F.col("channel")], a.revenue.columns, "revenue"),
@@ -159,7 +184,17 @@ def dashboard_payload(
     queries = F.create_map(*[F.lit(x) for kv in sorted(saved_sql.items()) for x in kv])
     doc = F.struct(
         F.lit(title).alias("title"),
-        F.struct(*kpi_columns()).alias("summary"),
+        F.struct(*kpi_columns(
+            signups=_array_sum(F.col("funnel"), "signups", F.lit(0).cast("bigint")),
+            paid=_array_sum(F.col("funnel"), "subscribed", F.lit(0).cast("bigint")),
+            revenue_total=F.round(_array_sum(F.col("revenue"), "total_revenue_usd", F.lit(0.0)), 2),
+            ab_lift=F.col("result.abs_lift_pp"),
+            ab_p=F.col("result.p_value"),
+            ab_sig=F.col("result.is_significant"),
+            dq_passed=F.forall(F.col("data_quality"), lambda x: x["passed"]),
+            churn_mean=F.col("churn_avg_churn_risk_pct"),
+            churn_high=F.col("churn_high_risk_count"),
+        )).alias("summary"),
         F.col("funnel"),
         F.col("cohort"),
         F.struct(F.col("groups"), F.col("result")).alias("ab_test"),
