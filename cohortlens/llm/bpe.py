@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -282,7 +283,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def _sizes(lists: pa.Array) -> np.ndarray:
-    return pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def digest(decoded: DataFrame) -> DataFrame:

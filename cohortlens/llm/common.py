@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +47,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package: where PYTHONPATH does not name it, Spark
+    sends them its source files, once an application."""
+    root = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    path = Path(tempfile.mkdtemp(prefix="llm-code-"), "cohortlens_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted((root / "cohortlens").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string) of ``docs``; null text: empty. Other columns are left out,
     so that no name of theirs can clash."""
+    ship(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -56,7 +79,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
     """Slices of the batches whose ``column`` holds at most ``max_bytes`` (one row at least), so
     that what a task unpacks at once is bounded by the slice and the longest text."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         begin = total = 0
         for i, size in enumerate(sizes):
             if i > begin and total + (size or 0) > max_bytes:
@@ -70,6 +93,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
 def finite_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id long, vec array<double>) without rows whose id or vector is null or whose vector
     is empty or holds a null or non-finite component."""
+    ship(vectors.sparkSession)
     x = F.col("vec")
     ok = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return (

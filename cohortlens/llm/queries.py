@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, token_store
+from . import ann_tree, bpe, exact_topk, packing, simhash, sql, token_store, url_rules
 from .common import new_path
 from .encoder import vocabulary
 
@@ -13,6 +14,35 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op1_exact_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 largest inner products of floor(64 x) for every 20th vector, against all."""
+    vectors = exact_topk.whole_numbers(_table(spark, d, "embeddings"), 64.0)
+    return exact_topk.exact_topk(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
+
+
+def op2_kmeans_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest found for every 100th vector, among all."""
+    vectors = ann_tree.searchable(_table(spark, d, "embeddings"))
+    return ann_tree.nearest_neighbours(vectors.where(F.col("vec_id") % 100 == 0), vectors, k=10)
+
+
+def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, d, "documents"), shingle=4, max_bits=4)
+
+
+def op4_url_rules(spark: SparkSession, d: str) -> DataFrame:
+    return url_rules.judge(_table(spark, d, "pages"), url_rules.rule_table(spark, URL_RULES))
+
+
 def op6_token_store(spark: SparkSession, d: str) -> DataFrame:
     """Write all documents' ids to a store of its own, read it back, one row a document."""
     folder = new_path(spark, "token-store")
@@ -30,6 +60,10 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op2_kmeans_tree": op2_kmeans_tree,
+    "op3_simhash": op3_simhash,
+    "op4_url_rules": op4_url_rules,
     "op6_token_store": op6_token_store,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -41,4 +75,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
