@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, bpe, exact_topk, packing, simhash, sql, token_store, url_rules
+from . import ann_tree, bpe, exact_topk, packing, simhash, sql, substring, token_store, url_rules
 from .common import new_path
 from .encoder import vocabulary
 
@@ -43,6 +43,10 @@ def op4_url_rules(spark: SparkSession, d: str) -> DataFrame:
     return url_rules.judge(_table(spark, d, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
+def op5_substring(spark: SparkSession, d: str) -> DataFrame:
+    return substring.digest(_table(spark, d, "documents"))
+
+
 def op6_token_store(spark: SparkSession, d: str) -> DataFrame:
     """Write all documents' ids to a store of its own, read it back, one row a document."""
     folder = new_path(spark, "token-store")
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_kmeans_tree": op2_kmeans_tree,
     "op3_simhash": op3_simhash,
     "op4_url_rules": op4_url_rules,
+    "op5_substring": op5_substring,
     "op6_token_store": op6_token_store,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
