@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, bpe, exact_topk, packing, simhash, sql, substring, token_store, url_rules
+from . import ann_tree, bpe, exact_topk, langid, packing, pii, simhash, sql, substring, token_store, url_rules
 from .common import new_path
 from .encoder import vocabulary
 
@@ -54,11 +54,19 @@ def op6_token_store(spark: SparkSession, d: str) -> DataFrame:
     return token_store.digest(token_store.read_tokens(spark, folder))
 
 
+def op7_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.digest(pii.personal_data(_table(spark, d, "documents")))
+
+
 def op8_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_50k.tiktoken")
     return bpe.digest(bpe.decode(bpe.encode(_table(spark, d, "documents"), ranks), ranks))
 
 
+def op9_language(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(_table(spark, d, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -70,7 +78,9 @@ QUERIES = {
     "op4_url_rules": op4_url_rules,
     "op5_substring": op5_substring,
     "op6_token_store": op6_token_store,
+    "op7_pii": op7_pii,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_language": op9_language,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, shared_folder, stored, texts_of
@@ -242,3 +242,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (of rows that share it, the one whose
+    text hashes lowest). Rows without a doc_id stay only where their whole component has none: one row a fingerprint."""
+    found = near_duplicates(docs, shingle, max_bits)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first")).distinct()
+    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("__first"))
+    order = Window.partitionBy("__first").orderBy(F.xxhash64("text"))
+    kept = kept.withColumn("__turn", F.row_number().over(order)).where(F.col("__turn") == 1).select(*docs.columns)
+    unnamed = docs.where(F.col("doc_id").isNull())
+    if unnamed.isEmpty():
+        return kept
+    alone = found.where(F.col("component_id").isNull()).select("fingerprint").distinct()
+    prints = fingerprints_of(unnamed, shingle).join(alone, "fingerprint", "left_semi")
+    turn = Window.partitionBy("fingerprint").orderBy(F.xxhash64("text"))
+    return kept.unionByName(prints.withColumn("__turn", F.row_number().over(turn)).where(F.col("__turn") == 1).select(*docs.columns))
+
+
+def fingerprints_of(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` with a column fingerprint (16 hex digits)."""
+
+    def hashed(batches):
+        for part in chunks(batches, "text", SLICE_BYTES):
+            fps = [f"{fingerprint((t or '').encode(), shingle):016x}" for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps, pa.string())], [*part.schema.names, "fingerprint"])
+
+    return docs.drop("fingerprint").mapInArrow(hashed, docs.drop("fingerprint").schema.add("fingerprint", "string"))
