@@ -1,4 +1,4 @@
-"""Standard normal tail probabilities as Spark columns (and as SQL text).
+"""Standard normal tail probabilities as Spark columns.
 
 Spark has no ``erf``/``erfc``; a rational approximation keeps the p-value a
 plain JVM column expression (whole-stage codegen, no Python). The form is the
@@ -8,8 +8,6 @@ maximum relative error against ``erfc`` on [0, 8): about 1e-8.
 
 ``upper_tail(x)`` is Q(|x|) = P(Z > |x|). Using the tail directly avoids the
 cancellation of ``1 - cdf(|z|)`` that turns p-values of large z into 0.
-The SQL builder emits the same arithmetic in the same order, so Spark and the
-SQL oracle agree to the last bits.
 """
 
 from __future__ import annotations
@@ -75,36 +73,3 @@ def two_sided_p(z: Column) -> Column:
 def cdf(y: Column) -> Column:
     """Phi(y) for a signed argument."""
     return F.when(y >= 0, F.lit(1.0) - upper_tail(y)).otherwise(upper_tail(y))
-
-
-# --- the same arithmetic as SQL text (used by the SQL oracle) ------------------
-
-
-def _horner_sql(coefs, x: str) -> str:
-    acc = repr(coefs[0])
-    for c in coefs[1:]:
-        acc = f"(({acc}) * {x} + {c!r})"
-    return acc
-
-
-def upper_tail_sql(x: str) -> str:
-    ax = f"abs(CAST({x} AS DOUBLE))"
-    e = f"exp(-({ax} * {ax}) / 2.0)"
-    rational = f"({e} * {_horner_sql(_NUM, ax)} / {_horner_sql(_DEN, ax)})"
-    cf = f"({ax} + {_CF_TAIL!r})"
-    for k in _CF_TERMS:
-        cf = f"({ax} + {k!r} / {cf})"
-    continued = f"({e} / {cf} / {_SQRT_2PI!r})"
-    return (
-        f"(CASE WHEN {ax} < {_SWITCH!r} THEN {rational} "
-        f"WHEN {ax} <= {_CUTOFF!r} THEN {continued} "
-        f"WHEN {ax} IS NOT NULL THEN 0.0 END)"
-    )
-
-
-def two_sided_p_sql(z: str) -> str:
-    return f"(2.0 * {upper_tail_sql(z)})"
-
-
-def cdf_sql(y: str) -> str:
-    return f"(CASE WHEN {y} >= 0 THEN 1.0 - {upper_tail_sql(y)} ELSE {upper_tail_sql(y)} END)"

@@ -6,23 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .flags import ACTIVITY_FLAGS, activity_flags
+from .flags import ACTIVITY_FLAGS, activity_flags, people, zero_filled
 
 FEATURE_COLUMNS = ("unique_events", "total_event_count") + tuple(c for c, _ in ACTIVITY_FLAGS)
 
 
 def churn_features(users: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per users row: channel, signup_date and the activity flags (zeros without events)."""
-    joined = users.select("user_id", "channel", "signup_date").join(activity_flags(events), "user_id", "left")
-    return features_table(joined)
-
-
-def features_table(joined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """From users rows LEFT JOIN ``activity_flags``: NULL flags become 0."""
-    return joined.select(
-        "user_id", "channel", "signup_date", *keep,
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in FEATURE_COLUMNS],
-    )
+    """One row per user_id: channel, signup_date and the activity flags (zeros without events)."""
+    joined = people(users).join(activity_flags(events), "user_id", "left")
+    return joined.select("user_id", "channel", "signup_date", *zero_filled(FEATURE_COLUMNS))
 
 
 def risk_score(
@@ -42,9 +34,9 @@ def risk_score(
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), masked))
 
 
-def churn_scores(features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def churn_scores(features: DataFrame) -> DataFrame:
     return features.select(
-        "user_id", "channel", "has_onboarded", "has_edited", "has_trialed", "is_subscribed", "total_event_count", *keep,
+        "user_id", "channel", "has_onboarded", "has_edited", "has_trialed", "is_subscribed", "total_event_count",
         risk_score(
             F.col("has_onboarded"), F.col("has_edited"), F.col("has_trialed"), F.col("is_subscribed"),
             F.col("total_event_count"),
@@ -64,23 +56,14 @@ def churn_tiers(scores: DataFrame) -> DataFrame:
     return scores.select("user_id", "channel", "risk_score", risk_tier(F.col("risk_score")).alias("risk_tier"))
 
 
-def churn_rollup(scores: DataFrame, weight: str | None = None) -> DataFrame:
-    """Counts per tier and mean score (1 dp); zeros for empty input.
-
-    ``weight`` names a column holding how many users rows a row stands for.
-    """
+def churn_rollup(scores: DataFrame) -> DataFrame:
+    """Users per tier and mean score (1 dp); zeros for empty input."""
     s = F.col("risk_score")
-    w = F.col(weight) if weight else F.lit(1)
-
-    def count_where(cond):
-        return F.coalesce(F.sum(F.when(cond, w).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
-
-    mean = F.sum(s * w) / F.nullif(F.sum(w), F.lit(0)) if weight else F.avg(s)
     return scores.agg(
-        count_where(s >= K.CHURN_HIGH).alias("high_risk_count"),
-        count_where((s >= K.CHURN_MEDIUM) & (s < K.CHURN_HIGH)).alias("medium_risk_count"),
-        count_where(s < K.CHURN_MEDIUM).alias("low_risk_count"),
-        F.coalesce(F.round(mean, 1), F.lit(0.0)).alias("avg_churn_risk_pct"),
+        F.count_if(s >= K.CHURN_HIGH).alias("high_risk_count"),
+        F.count_if((s >= K.CHURN_MEDIUM) & (s < K.CHURN_HIGH)).alias("medium_risk_count"),
+        F.count_if(s < K.CHURN_MEDIUM).alias("low_risk_count"),
+        F.coalesce(F.round(F.avg(s), 1), F.lit(0.0)).alias("avg_churn_risk_pct"),
     )
 
 

@@ -78,9 +78,10 @@ def two_proportion_stats(aligned: DataFrame, alpha: float = K.ALPHA, segments: S
     p2 = x2 / F.nullif(n2, F.lit(0.0))
     lift = p2 - p1
     p_pool = (x1 + x2) / F.nullif(n1 + n2, F.lit(0.0))
-    se_pool = F.sqrt(p_pool * (F.lit(1.0) - p_pool) * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
+    m1, m2 = F.nullif(n1, F.lit(0.0)), F.nullif(n2, F.lit(0.0))  # an arm without users gives NULL
+    se_pool = F.sqrt(p_pool * (F.lit(1.0) - p_pool) * (F.lit(1.0) / m1 + F.lit(1.0) / m2))
     z = (p2 - p1) / F.nullif(se_pool, F.lit(0.0))
-    se_unpooled = F.sqrt((p1 * (F.lit(1.0) - p1) / n1) + (p2 * (F.lit(1.0) - p2) / n2))
+    se_unpooled = F.sqrt((p1 * (F.lit(1.0) - p1) / m1) + (p2 * (F.lit(1.0) - p2) / m2))
     zc = F.lit(z_critical(alpha))
     h = F.abs(F.lit(2.0) * F.asin(F.sqrt(p2)) - F.lit(2.0) * F.asin(F.sqrt(p1)))
     stats = aligned.select(
@@ -121,7 +122,7 @@ def ab_ztest(
 
 def power_column(h: Column, n1: Column, n2: Column, alpha: float) -> Column:
     """Power of the two-sided test: Phi(|h| * sqrt(1 / (1/n1 + 1/n2)) - z_crit)."""
-    n1, n2 = n1.cast("double"), n2.cast("double")
+    n1, n2 = (F.nullif(n.cast("double"), F.lit(0.0)) for n in (n1, n2))
     arg = F.abs(h) * F.sqrt(F.lit(1.0) / (F.lit(1.0) / n1 + F.lit(1.0) / n2)) - F.lit(z_critical(alpha))
     return cdf(arg)
 

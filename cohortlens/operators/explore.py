@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Mapping, Sequence
 from typing import Any
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import stored
+
+# strings and names in quotes, comments, semicolons, single characters
+_PIECES = re.compile(r"""(?P<skip>--[^\n]*|/\*.*?\*/|;)|(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|.)""", re.S)
 
 
 def query_only(sql_text: str) -> str:
@@ -18,12 +23,14 @@ def query_only(sql_text: str) -> str:
     ``spark.sql`` executes commands eagerly (a DROP acts before any action);
     inside ``SELECT * FROM ( ... )`` the parser refuses DDL/DML, SHOW and a
     closing-parenthesis injection, while SELECT, WITH, VALUES, inner ORDER BY,
-    trailing comments and bound parameters keep working.
+    trailing comments and bound parameters keep working. Semicolons at the
+    end go, also with comments behind them.
     """
-    body = sql_text.strip()
-    while body.endswith(";"):
-        body = body[:-1].rstrip()
-    return f"SELECT * FROM (\n{body}\n)"
+    end = 0
+    for piece in _PIECES.finditer(sql_text):
+        if piece.lastgroup == "text" and not piece[0].isspace():
+            end = piece.end()
+    return f"SELECT * FROM (\n{sql_text[:end].strip()}\n)"
 
 
 def adhoc_sql(spark: SparkSession, sql_text: str, args: Mapping[str, Any] | None = None) -> DataFrame:
@@ -32,25 +39,23 @@ def adhoc_sql(spark: SparkSession, sql_text: str, args: Mapping[str, Any] | None
 
 
 def adhoc_result(
-    spark: SparkSession, sql_text: str, args: Mapping[str, Any] | None = None, max_rows: int = 1000
+    spark: SparkSession, sql_text: str, args: Mapping[str, Any] | None = None, path: str | None = None
 ) -> dict:
-    """Result shape of the query endpoint: status, elapsed_ms, count, columns, rows.
+    """Result shape of the query endpoint: status, elapsed_ms, columns and every row.
 
-    ``count`` is computed on the cluster; only the first ``max_rows`` rows
-    reach the driver (display paging).
+    Without ``path`` the rows are a DataFrame (``rows``), which the caller writes, counts or shows. With ``path`` the whole
+    result is written there as Parquet, and ``count`` is the number of written rows.
     """
     start = time.perf_counter()
     try:
         df = adhoc_sql(spark, sql_text, args)
-        count = df.count()
-        rows = [r.asDict(recursive=True) for r in df.limit(max_rows).collect()]
-        return {
-            "status": "success",
-            "elapsed_ms": round((time.perf_counter() - start) * 1000, 2),
-            "count": count,
-            "columns": df.columns,
-            "rows": rows,
-        }
+        result = {"status": "success", "columns": df.columns, "rows": df}
+        if path is not None:
+            df.write.parquet(path)
+            result["rows"] = spark.read.schema(df.schema).parquet(path)
+            result |= {"path": path, "count": result["rows"].count()}
+        result["elapsed_ms"] = round((time.perf_counter() - start) * 1000, 2)
+        return result
     except Exception as exc:  # reported to the caller, as the endpoint does
         return {"status": "error", "error_message": str(exc)}
 
@@ -80,8 +85,14 @@ def normalise_user_id(text: Column) -> Column:
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("1")).try_cast("bigint")
 
 
-def user_profile(users: DataFrame, user_id: int) -> DataFrame:
-    return users.where(F.col("user_id") == F.lit(user_id)).select(
+def is_user(user_id: int | str) -> Column:
+    """Rows of a user given by number, or by text as a person types it (" user_0042 ")."""
+    wanted = normalise_user_id(F.lit(user_id)) if isinstance(user_id, str) else F.lit(user_id)
+    return F.col("user_id") == wanted
+
+
+def user_profile(users: DataFrame, user_id: int | str) -> DataFrame:
+    return users.where(is_user(user_id)).select(
         "user_id", "signup_date", "channel", "platform", "country", "experiment_group"
     )
 
@@ -90,26 +101,27 @@ def event_label(name: Column) -> Column:
     return F.upper(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
-def user_timeline(events: DataFrame, user_id: int, tie_break: Sequence[str] = ("event_name",)) -> DataFrame:
+def user_timeline(events: DataFrame, user_id: int | str, tie_break: Sequence[str] = ("event_name",)) -> DataFrame:
     """One user's events in time order with display labels (a distributed sort)."""
     cols = ["user_id", "event_name", "event_date", *[c for c in tie_break if c != "event_name"]]
     return (
-        events.where(F.col("user_id") == F.lit(user_id))
+        events.where(is_user(user_id))
         .select(*cols, event_label(F.col("event_name")).alias("event_label"))
         .orderBy("event_date", *tie_break)
     )
 
 
-def user_subscription(users: DataFrame, subscriptions: DataFrame, user_id: int) -> DataFrame:
+def first_subscriptions(subscriptions: DataFrame) -> DataFrame:
+    """(user_id, s): the earliest subscription of each user, then by plan and price."""
+    return subscriptions.groupBy("user_id").agg(F.min(F.struct("subscribed_date", "plan", "price_usd")).alias("s"))
+
+
+def user_subscription(users: DataFrame, subscriptions: DataFrame, user_id: int | str) -> DataFrame:
     """First subscription of a user (earliest, then plan) with its label, or 'Free Tier'."""
-    first = (
-        subscriptions.where(F.col("user_id") == F.lit(user_id))
-        .groupBy("user_id")
-        .agg(F.min(F.struct("subscribed_date", "plan", "price_usd")).alias("s"))
-    )
+    first = first_subscriptions(subscriptions.where(is_user(user_id)))
     label = F.concat(F.col("s.plan"), F.lit(" ($"), F.col("s.price_usd").cast("string"), F.lit(")"))
     return (
-        users.where(F.col("user_id") == F.lit(user_id))
+        users.where(is_user(user_id))
         .select("user_id")
         .join(first, "user_id", "left")
         .select(
@@ -141,6 +153,34 @@ def user_journeys(events: DataFrame, order_key: str = "event_id") -> DataFrame:
     )
 
 
+def user_journeys_events(users: DataFrame, events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """The journeys of all users, one row per (user, event): profile, event with label, first plan.
+
+    Flat and range-sorted by (user_id, event_date, event_name), so a user with very many events is spread
+    over several tasks and no list is built. Users without events have one row with NULL event columns.
+    """
+    first = first_subscriptions(subscriptions.where(F.col("user_id").isNotNull()))
+    # copies of a users row collapse to one before the join with the log
+    profile = users.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+        *(F.min(c).alias(c) for c in ("signup_date", "channel", "platform", "country", "experiment_group"))
+    )
+    label = F.concat(F.col("s.plan"), F.lit(" ($"), F.col("s.price_usd").cast("string"), F.lit(")"))
+    people = profile.join(first, "user_id", "left")
+    people = people.select(
+        *profile.columns,
+        F.col("s.subscribed_date").alias("subscribed_date"),
+        F.col("s.plan").alias("plan"),
+        F.col("s.price_usd").alias("price_usd"),
+        F.coalesce(label, F.lit(K.FREE_TIER_LABEL)).alias("plan_label"),
+    )
+    # stored, so that both sides of the join are shuffled for it alone: AQE then splits the log of one user
+    people = stored(people, "people")
+    log = events.select("user_id", "event_name", "event_date", event_label(F.col("event_name")).alias("event_label"))
+    silent = people.join(events.select("user_id").distinct(), "user_id", "left_anti")
+    found = log.join(people, "user_id").unionByName(silent, allowMissingColumns=True)
+    return found.select(*people.columns, "event_name", "event_date", "event_label").orderBy("user_id", "event_date", "event_name")
+
+
 def result_search(df: DataFrame, term: str) -> DataFrame:
     """Rows whose text (all columns joined by spaces) contains ``term``, case-insensitive."""
     text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns]))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -40,29 +40,47 @@ def stage_flags(events: DataFrame, stages: Sequence[tuple[str, str]]) -> DataFra
     )
 
 
-def activity_flags(events: DataFrame, flags: Sequence[tuple[str, str]] = ACTIVITY_FLAGS) -> DataFrame:
-    """Per user with events: distinct event names, event count and 0/1 flags."""
+def activity_flags(
+    events: DataFrame, flags: Sequence[tuple[str, str]] = ACTIVITY_FLAGS, extra: Sequence[Column] = (), nameless: bool = False
+) -> DataFrame:
+    """Per user with events: distinct event names, event count, 0/1 flags and ``extra`` aggregates; with
+    ``nameless`` also a row for the events without a user_id."""
     return (
-        events.where(F.col("user_id").isNotNull())
+        (events if nameless else events.where(F.col("user_id").isNotNull()))
         .groupBy("user_id")
         .agg(
             F.countDistinct("event_name").alias("unique_events"),
             F.count("event_name").alias("total_event_count"),
             F.count(F.lit(1)).alias("event_rows"),
             *[F.max(_flag(ev)).alias(col) for col, ev in flags],
+            *extra,
         )
     )
 
 
+def people(users: DataFrame) -> DataFrame:
+    """One row per user_id: ``copies`` rows it stands for, least channel and signup date.
+
+    The analyses per user group the joined rows by user_id: a user key that is repeated is one
+    user, whose events count once per copy.
+    """
+    return users.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("channel").alias("channel"), F.min("signup_date").alias("signup_date")
+    )
+
+
 def user_activity_flags(
     users: DataFrame, events: DataFrame, flags: Sequence[tuple[str, str]] = ACTIVITY_FLAGS
 ) -> DataFrame:
-    """One row per users row; users without events get zeros (LEFT JOIN semantics)."""
-    per_user = activity_flags(events, flags)
-    cols = ["unique_events", "total_event_count"] + [c for c, _ in flags]
-    return users.select("user_id").join(per_user, "user_id", "left").select(
-        "user_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cols]
-    )
+    """One row per user_id; users without events get zeros (LEFT JOIN semantics)."""
+    joined = people(users).join(activity_flags(events, flags), "user_id", "left")
+    return joined.select("user_id", *zero_filled(["unique_events", "total_event_count"] + [c for c, _ in flags]))
+
+
+def zero_filled(columns: Sequence[str]) -> list[Column]:
+    """The columns of users LEFT JOIN ``activity_flags``: NULL is 0, events count once per copy."""
+    value = {c: F.coalesce(F.col(c), F.lit(0)) for c in columns}
+    return [(v * F.col("copies") if c == "total_event_count" else v).alias(c) for c, v in value.items()]
 
 
 def segment_counts(joined: DataFrame, segment_cols: Sequence[str], flag_cols: Sequence[str]) -> DataFrame:

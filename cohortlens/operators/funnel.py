@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import map_lookup, pct, sort_bounded
+from ..functions.columns import map_lookup, pct
 from .flags import segment_user_counts, stage_flags
 
 RATE_COLUMNS = (
@@ -50,7 +50,7 @@ def funnel_table(counts: DataFrame, segment: str = "channel", ordered: bool = Tr
     rates = {out: pct(num, den, d) for out, num, den, d in RATE_COLUMNS}
     cols = [rates[c].alias(c) if c in rates else F.col(c) for c in FUNNEL_COLUMNS]
     table = counts.select(segment, *cols)
-    return sort_bounded(table, F.desc("overall_conversion_pct"), F.asc(segment)) if ordered else table
+    return table.orderBy(F.desc_nulls_last("overall_conversion_pct"), F.asc(segment)) if ordered else table
 
 
 def filter_segment(funnel: DataFrame, value: str | None, segment: str = "channel") -> DataFrame:
@@ -58,17 +58,19 @@ def filter_segment(funnel: DataFrame, value: str | None, segment: str = "channel
     return funnel if value is None else funnel.where(F.col(segment) == F.lit(value))
 
 
-def conversion_tier(overall: Column) -> Column:
+def conversion_tier(overall: Column, tiers: Sequence[tuple[float, str]] = K.CONVERSION_TIERS) -> Column:
+    """The label of the first bound that is exceeded (bounds from high to low), else the default."""
     expr = None
-    for bound, label in K.CONVERSION_TIERS:
+    for bound, label in tiers:
         expr = F.when(overall > bound, F.lit(label)) if expr is None else expr.when(overall > bound, F.lit(label))
     return expr.otherwise(F.lit(K.CONVERSION_TIER_DEFAULT))
 
 
-def conversion_tiers(funnel: DataFrame, segment: str = "channel") -> DataFrame:
-    return funnel.select(
-        segment, "overall_conversion_pct", conversion_tier(F.col("overall_conversion_pct")).alias("conversion_tier")
-    )
+def conversion_tiers(
+    funnel: DataFrame, segment: str = "channel", tiers: Sequence[tuple[float, str]] = K.CONVERSION_TIERS
+) -> DataFrame:
+    tier = conversion_tier(F.col("overall_conversion_pct"), tiers)
+    return funnel.select(segment, "overall_conversion_pct", tier.alias("conversion_tier"))
 
 
 def funnel_long(funnel: DataFrame, segment: str = "channel") -> DataFrame:

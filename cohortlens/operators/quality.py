@@ -1,7 +1,6 @@
 """Data-quality checks on users / events / subscriptions.
 
-Each check is a one-row aggregate; the report stacks them with
-``unionByName`` and derives all five from one profile aggregate per table.
+Each check is a one-row aggregate; the report derives them from one stored row per user.
 Foreign-key checks reduce the child table to one row per key (partial
 aggregation) and anti-join distinct keys, so a key holding a large share of
 the rows skews neither side of the join.
@@ -13,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import stored
+
+SALTS = 32
 
 
 def user_pk_duplicates(users: DataFrame) -> DataFrame:
@@ -47,27 +49,36 @@ def _orphans_by_keys(per_key: DataFrame, keys: DataFrame) -> DataFrame:
 def events_before_signup(users: DataFrame, events: DataFrame) -> DataFrame:
     """Joined rows with event_date < signup_date (equal is allowed; NULL dates are not counted).
 
-    Both sides are counted before the join with partial aggregation: events
-    per (user, timestamp) and users rows per (user, signup date). A user
-    owning a large share of the log, or a key copied over many users rows,
-    reaches the join as one weighted row per distinct value; the count is the
-    sum of the products of the weights (exactly the joined row count).
+    Two steps: the first event of each user against the last signup date finds the users who break the
+    rule; only their events are read again and counted.
+    """
+    last = users.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.max("signup_date").alias("last_signup"))
+    first = events.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.min("event_date").alias("first_event"))
+    broken = last.join(first, "user_id").where(F.col("first_event") < F.col("last_signup")).select("user_id")
+    return count_early_events(users, events, stored(broken, "early_users"))
+
+
+def count_early_events(users: DataFrame, events: DataFrame, broken: DataFrame) -> DataFrame:
+    """One row, invalid_date_count, from the users who break the rule (a stored table of user_id).
+
+    Users without a breach need no second look: with none the count is 0. Else the breakers' events are salted by
+    their date and their signup dates repeated for each salt, so the events of one user meet in ``SALTS`` tasks.
     """
-    u = (
-        users.where(F.col("user_id").isNotNull() & F.col("signup_date").isNotNull())
+    if broken.isEmpty():
+        return broken.agg(F.count(F.lit(1)).alias("invalid_date_count"))
+    dates = (
+        users.join(broken, "user_id", "left_semi")
+        .where(F.col("signup_date").isNotNull())
         .groupBy("user_id", "signup_date")
         .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    e = (
-        events.where(F.col("user_id").isNotNull() & F.col("event_date").isNotNull())
-        .groupBy("user_id", "event_date")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return (
-        e.join(u, "user_id")
-        .where(F.col("event_date") < F.col("signup_date"))
-        .agg(F.coalesce(F.sum(F.col("n") * F.col("copies")), F.lit(0)).cast("bigint").alias("invalid_date_count"))
-    )
+    salt = F.pmod(F.xxhash64("event_date"), F.lit(SALTS)).cast("int")
+    dated = events.where(F.col("user_id").isNotNull() & F.col("event_date").isNotNull())
+    own = dated.withColumn("salt", salt).groupBy("user_id", "salt", "event_date").agg(F.count(F.lit(1)).alias("n"))
+    early = own.join(dates, ["user_id", "salt"]).where(F.col("event_date") < F.col("signup_date"))
+    total = F.sum(F.col("n") * F.col("copies"))
+    return early.agg(F.coalesce(total, F.lit(0)).cast("bigint").alias("invalid_date_count"))
 
 
 def _any_null(*cols: str) -> Column:
@@ -87,91 +98,65 @@ def mandatory_nulls(users: DataFrame, events: DataFrame, subscriptions: DataFram
     return stacked.agg(F.sum("n").cast("bigint").alias("null_count"))
 
 
-def _check_row(counts: DataFrame, count_col: str, key: str, order: int) -> DataFrame:
-    name, ok_msg, fail_fmt = K.DQ_CHECKS[key]
-    n = F.col(count_col)
-    return counts.select(
-        F.lit(order).alias("check_order"),
-        F.lit(name).alias("check_name"),
-        (n == 0).alias("passed"),
-        F.when(n == 0, F.lit(ok_msg)).otherwise(F.format_string(fail_fmt.replace("{}", "%d"), n)).alias("details"),
-    )
-
-
-def _profiles(users: DataFrame, events: DataFrame, subscriptions: DataFrame):
-    """One partially aggregated pass per table, feeding all five checks.
-
-    * users per (user_id, signup_date): rows (``copies``) and rows with a NULL channel;
-    * events per (user_id, event_date): rows and rows with a NULL event name;
-    * subscriptions per user_id: rows and rows with a NULL price.
-    NULL keys form their own groups, so NULL counts stay exact.
-    """
-    up = users.groupBy("user_id", "signup_date").agg(
-        F.count(F.lit(1)).alias("copies"), F.count_if(F.col("channel").isNull()).alias("bad")
+def user_profile(users: DataFrame, events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """One stored row per user_id of any relation: rows, rows with a NULL, first event, last signup. One pass over
+    each relation; NULL keys form a row of their own."""
+    up = users.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_users"),
+        F.max("signup_date").alias("last_signup"),
+        F.count_if(_any_null("user_id", "signup_date", "channel")).alias("bad_users"),
     )
-    ep = events.groupBy("user_id", "event_date").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_name").isNull()).alias("bad")
+    ep = events.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.min("event_date").alias("first_event"),
+        F.count_if(_any_null("user_id", "event_name", "event_date")).alias("bad_events"),
     )
     sp = subscriptions.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("price_usd").isNull()).alias("bad")
+        F.count(F.lit(1)).alias("n_bills"), F.count_if(_any_null("user_id", "price_usd")).alias("bad_bills")
     )
-    return up, ep, sp
-
-
-def _nulls_from(profile: DataFrame, weight: str, keys: tuple[str, ...]) -> DataFrame:
-    """Rows with a NULL in ``keys`` (whole group) or in the profiled column (``bad``)."""
-    key_null = _any_null(*keys)
-    n = F.when(key_null, F.col(weight)).otherwise(F.col("bad"))
-    return profile.agg(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("n"))
+    return stored(up.join(ep, "user_id", "full_outer").join(sp, "user_id", "full_outer"), "user_profile")
 
 
-def quality_report(
-    users: DataFrame, events: DataFrame, subscriptions: DataFrame,
-    event_counts: DataFrame | None = None, subscription_counts: DataFrame | None = None,
-) -> DataFrame:
-    """check_order, check_name, passed, details for the five checks.
-
-    Every check is derived from one profile aggregate per table (``_profiles``),
-    so the report passes over each table once. ``event_counts`` /
-    ``subscription_counts`` optionally pass (user_id, n) rows-per-user
-    aggregates that another analysis of the same plan already computes.
-    """
-    up, ep, sp = _profiles(users, events, subscriptions)
+def quality_report(users: DataFrame, events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """check_order, check_name, passed, details for the five checks, from one profile of all users."""
+    profile = user_profile(users, events, subscriptions)
     key = F.col("user_id").isNotNull()
-    keys = up.where(key).select("user_id").distinct()
-    # keyed rows minus distinct keys; the distinct keys are the ones the
-    # foreign-key checks anti-join against (one shared aggregate)
-    keyed_rows = up.where(key).agg(F.sum("copies").alias("v"))
-    key_count = keys.agg((-F.count(F.lit(1))).alias("v"))
-    duplicates = keyed_rows.unionByName(key_count).agg(
-        F.coalesce(F.sum("v"), F.lit(0)).cast("bigint").alias("duplicate_count")
-    )
-    ev = event_counts if event_counts is not None else ep.where(key).groupBy("user_id").agg(F.sum("n").alias("n"))
-    sb = subscription_counts if subscription_counts is not None else sp.where(key).select("user_id", "n")
-    dated_users = up.where(key & F.col("signup_date").isNotNull()).select("user_id", "signup_date", "copies")
-    dated_events = ep.where(key & F.col("event_date").isNotNull()).select("user_id", "event_date", "n")
-    before = (
-        dated_events.join(dated_users, "user_id")
-        .where(F.col("event_date") < F.col("signup_date"))
-        .agg(F.coalesce(F.sum(F.col("n") * F.col("copies")), F.lit(0)).cast("bigint").alias("invalid_date_count"))
+    orphan = key & F.col("n_users").isNull()
+    counts = profile.agg(
+        F.sum(F.when(key, F.col("n_users") - 1)).alias("duplicate_count"),
+        F.sum(F.when(orphan, F.col("n_events"))).alias("orphan_events"),
+        F.sum(F.when(orphan, F.col("n_bills"))).alias("orphan_bills"),
+        *(F.sum(c).alias(c) for c in ("bad_users", "bad_events", "bad_bills")),
     )
-    nulls = (
-        _nulls_from(up, "copies", ("user_id", "signup_date"))
-        .unionByName(_nulls_from(ep, "n", ("user_id", "event_date")))
-        .unionByName(_nulls_from(sp, "n", ("user_id",)))
-        .agg(F.sum("n").cast("bigint").alias("null_count"))
+    broken = profile.where(key & (F.col("first_event") < F.col("last_signup"))).select("user_id")
+    return report_table(counts, count_early_events(users, events, broken))
+
+
+def report_table(counts: DataFrame, early: DataFrame) -> DataFrame:
+    """The report from one row (duplicate_count, orphan_events, orphan_bills, bad...) and one of ``count_early_events``."""
+    bad = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts.columns if c.startswith("bad")), F.lit(0))
+    values = (("user_pk", F.col("duplicate_count")), ("events_fk", F.col("orphan_events")), ("subscriptions_fk", F.col("orphan_bills")), ("non_null", bad))
+    order = list(K.DQ_CHECKS)
+    found = counts.select(
+        F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(v, F.lit(0)).cast("bigint").alias("n")) for k, v in values))).alias("x")
+    ).select("x.key", "x.n")
+    rows = found.unionByName(early.select(F.lit("event_temporal").alias("key"), F.col("invalid_date_count").alias("n")))
+    n, key = F.col("n"), F.col("key")
+
+    def of_key(values):
+        out = F.lit(None)
+        for k in order:
+            out = F.when(key == k, values(k)).otherwise(out)
+        return out
+
+    ok = of_key(lambda k: F.lit(K.DQ_CHECKS[k][1]))
+    failed = of_key(lambda k: F.format_string(K.DQ_CHECKS[k][2].replace("{}", "%d"), n))
+    return rows.select(
+        of_key(lambda k: F.lit(order.index(k) + 1)).alias("check_order"),
+        of_key(lambda k: F.lit(K.DQ_CHECKS[k][0])).alias("check_name"),
+        (n == 0).alias("passed"),
+        F.when(n == 0, ok).otherwise(failed).alias("details"),
     )
-    rows = [
-        _check_row(duplicates, "duplicate_count", "user_pk", 1),
-        _check_row(_orphans_by_keys(ev, keys), "orphan_count", "events_fk", 2),
-        _check_row(_orphans_by_keys(sb, keys), "orphan_count", "subscriptions_fk", 3),
-        _check_row(before, "invalid_date_count", "event_temporal", 4),
-        _check_row(nulls, "null_count", "non_null", 5),
-    ]
-    report = rows[0]
-    for r in rows[1:]:
-        report = report.unionByName(r)
-    return report
 
 
 def all_passed(report: DataFrame) -> DataFrame:

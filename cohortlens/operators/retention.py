@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import pct, sort_bounded
+from ..functions.columns import pct
 
 
 def month_start(ts: Column) -> Column:
@@ -60,21 +60,22 @@ def cohort_retention(
         .select("user_id", month_start(F.col("event_date")).alias("event_month"))
         .distinct()
     )
-    lo, hi = min(months), max(months)
     # distinct cohort rows: copies of a user collapse map-side before the join
     cells = (
         active_months.join(cohorts(users).distinct(), "user_id")
         .select("cohort_month", "user_id", month_number(F.col("event_month"), F.col("signup_month"), days).alias("month_number"))
-        .where(F.col("month_number").between(lo, hi))
+        .where(F.col("month_number").isin(*months))
     )
     retained = cells.groupBy("cohort_month", "month_number").agg(F.countDistinct("user_id").alias("retained_users"))
-    return (
-        retained.join(cohort_size(users), "cohort_month")
-        .select(
-            "cohort_month", "cohort_users", "month_number", "retained_users",
-            pct("retained_users", "cohort_users", 1).alias("retention_pct"),
-        )
-        .transform(lambda df: sort_bounded(df, "cohort_month", "month_number") if ordered else df)
+    table = retention_table(retained, cohort_size(users))
+    return table.orderBy("cohort_month", "month_number") if ordered else table
+
+
+def retention_table(retained: DataFrame, sizes: DataFrame) -> DataFrame:
+    """From (cohort_month, month_number, retained_users) and (cohort_month, cohort_users)."""
+    return retained.join(sizes, "cohort_month").select(
+        "cohort_month", "cohort_users", "month_number", "retained_users",
+        pct("retained_users", "cohort_users", 1).alias("retention_pct"),
     )
 
 
@@ -83,7 +84,7 @@ def retention_curve(retention: DataFrame) -> DataFrame:
     return (
         retention.groupBy("month_number")
         .agg(F.round(F.avg("retention_pct"), 4).alias("avg_retention_pct"), F.count(F.lit(1)).alias("n_cohorts"))
-        .transform(lambda df: sort_bounded(df, "month_number"))
+        .orderBy("month_number")
     )
 
 
@@ -104,4 +105,4 @@ def cohort_heatmap(retention: DataFrame, months: Sequence[int] = K.RETENTION_MON
     )
     pcts = [F.col(f"`{m}`").alias(f"m{m}") for m in months]
     classes = [heat_class(F.col(f"`{m}`")).alias(f"m{m}_class") for m in months]
-    return sort_bounded(wide.select("cohort_month", "cohort_users", *pcts, *classes), "cohort_month")
+    return wide.select("cohort_month", "cohort_users", *pcts, *classes).orderBy("cohort_month")

@@ -2,17 +2,19 @@
 
 Subscriptions are reduced to one row per user before the join (so a user
 with many subscriptions never multiplies join rows), prices are summed as
-DECIMAL(18,2) so totals do not depend on partitioning, then cast to double
-for the ratios.
+DECIMAL(28,8), wide enough to keep them as they are, so totals do not depend on
+partitioning, then cast to double for the ratios and rounded last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import map_lookup, sort_bounded
+from ..functions.columns import map_lookup
 
 
 def revenue_by_channel(
@@ -30,16 +32,20 @@ def revenue_by_channel(
     return revenue_table(joined, segment)
 
 
-def subscriptions_per_user(subscriptions: DataFrame, annual_plan: str = K.ANNUAL_PLAN) -> DataFrame:
-    """(user_id, rev, annual_rev, n_subs): prices summed as DECIMAL(18,2)."""
-    price = F.col("price_usd").cast("decimal(18,2)")
+def subscriptions_per_user(
+    subscriptions: DataFrame, annual_plan: str = K.ANNUAL_PLAN, extra: Sequence[Column] = (), nameless: bool = False
+) -> DataFrame:
+    """(user_id, rev, annual_rev, n_subs, extra...): prices summed as DECIMAL(28,8); with ``nameless`` also a row for
+    the subscriptions without a user_id."""
+    price = F.col("price_usd").cast("decimal(28,8)")
     return (
-        subscriptions.where(F.col("user_id").isNotNull())
+        (subscriptions if nameless else subscriptions.where(F.col("user_id").isNotNull()))
         .groupBy("user_id")
         .agg(
             F.sum(price).alias("rev"),
             F.sum(F.when(F.col("plan") == annual_plan, price).otherwise(F.lit(0))).alias("annual_rev"),
             F.count(F.lit(1)).alias("n_subs"),
+            *extra,
         )
     )
 
@@ -67,14 +73,20 @@ def revenue_table(joined: DataFrame, segment: str = "channel", ordered: bool = T
         F.sum("rev").cast("double").alias("rev"),
         F.sum("annual_rev").cast("double").alias("annual_rev"),
     )
-    return seg.select(
+    return revenue_rates(seg, segment, ordered)
+
+
+def revenue_rates(seg: DataFrame, segment: str = "channel", ordered: bool = True) -> DataFrame:
+    """From (segment, total_signups, paying_users, rev, annual_rev), doubles."""
+    table = seg.select(
         segment,
         "total_signups",
         "paying_users",
         F.round("rev", 2).alias("total_revenue_usd"),
         F.round(F.col("rev") / F.nullif(F.col("total_signups"), F.lit(0)), 3).alias("revenue_per_signup_usd"),
         F.round(F.col("annual_rev") / F.nullif(F.col("rev"), F.lit(0.0)) * F.lit(100.0), 1).alias("pct_revenue_from_annual"),
-    ).transform(lambda df: sort_bounded(df, F.desc("revenue_per_signup_usd"), F.asc(segment)) if ordered else df)
+    )
+    return table.orderBy(F.desc_nulls_last("revenue_per_signup_usd"), F.asc(segment)) if ordered else table
 
 
 def revenue_share(revenue: DataFrame, segment: str = "channel") -> DataFrame:
@@ -100,4 +112,4 @@ def revenue_labelled(revenue: DataFrame, segment: str = "channel") -> DataFrame:
         segment, display_name(segment).alias("channel_name"),
         map_lookup(segment, K.CHANNEL_LABELS).alias("channel_label"),
         "revenue_per_signup_usd",
-    ).transform(lambda df: sort_bounded(df, F.desc("revenue_per_signup_usd"), F.asc(segment)))
+    ).orderBy(F.desc_nulls_last("revenue_per_signup_usd"), F.asc(segment))

@@ -1,10 +1,9 @@
-"""KPI row and dashboard payload.
+"""KPI row and dashboard payload, both from one stored fact table and its sums.
 
-Each section is a one-row aggregate of an analysis. The sections are combined
-in one plan by ``combine_rows`` (union + one global aggregate), not with
-cross joins or per-value subqueries. Lists inside the payload come from analyses whose
-size is bounded by a dimension (channels, cohort months x 4, arms, five
-checks, top 10), never from raw rows.
+``Analyses`` reads the model once (``facts.user_facts``), adds it up once (``facts.summary_cells``, a few
+rows a channel, arm and cohort month) and derives every section from these few rows. The
+lists in the payload are bounded by dimensions (channels, cohort months x 4, arms, five checks, top 10): one
+JSON document holds them all, so their dimensions are assumed to be such that one document can.
 """
 
 from __future__ import annotations
@@ -15,74 +14,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.model import Model
-from . import churn, experiment, flags, funnel, quality, retention, revenue
+from . import churn, experiment, facts, funnel, quality, retention, revenue
 
 
 class Analyses:
-    """The analyses of one model, sharing one per-user fact table.
-
-    ``facts`` = distinct users rows (with their number of copies) LEFT JOIN
-    per-user activity flags LEFT JOIN per-user subscription sums: the event
-    log and the subscriptions are each reduced to one row per user before the
-    join, and copies of a user key to one weighted row. Funnel,
-    readout, revenue and churn are small aggregates over it; inside one query
-    the identical fact subtrees of the sections reuse the same exchanges.
-    """
+    """The analyses of one model, from its facts and their sums."""
 
     def __init__(self, model: Model):
         self.model = model
-        u, e, s = model
-        # distinct users rows with their number of copies (collapsed map-side)
-        rows = u.groupBy("user_id", "channel", "experiment_group", "signup_date").agg(
-            F.count(F.lit(1)).alias("copies")
-        )
-        per_user_events = flags.activity_flags(e)
-        per_user_subs = revenue.subscriptions_per_user(s)
-        facts = rows.join(per_user_events, "user_id", "left").join(per_user_subs, "user_id", "left")
-        self.facts = facts
-        stage_cols = [F.col(src).alias(dst) for dst, src in FUNNEL_FROM_FACTS]
+        self.facts = facts.user_facts(model)
+        cells = self.cells = facts.summary_cells(self.facts)
+
+        def of(kind: str) -> DataFrame:
+            return cells.where(F.col("kind") == kind)
+
+        stages = [dst for dst, _ in facts.STAGES]
         self.funnel = funnel.funnel_table(
-            flags.segment_counts(facts.select("channel", "user_id", *stage_cols), ["channel"],
-                                 [d for d, _ in FUNNEL_FROM_FACTS]).withColumnRenamed("users", "signups"),
-            ordered=False,
+            of("channel").select(F.col("k1").alias("channel"), F.col("users").alias("signups"), *stages), ordered=False
         )
-        self.revenue = revenue.revenue_table(
-            facts.select("channel", "user_id", "rev", "annual_rev", "n_subs", "copies"), ordered=False
+        self.revenue = revenue.revenue_rates(
+            of("channel").select(
+                F.col("k1").alias("channel"), F.col("users").alias("total_signups"), F.col("paying").alias("paying_users"), "rev", "annual_rev"
+            ),
+            ordered=False,
         )
         self.readout = experiment.readout_table(
-            flags.segment_counts(
-                facts.select("experiment_group", "user_id", F.col("has_onboarded").alias("activated")),
-                ["experiment_group"], ["activated"],
-            )
+            of("group").select(F.col("k1").alias("experiment_group"), "users", F.col("onboarded").alias("activated"))
         )
         self.stats = experiment.two_proportion_stats(experiment.align_arms(self.readout))
         self.ab = experiment.publish(self.stats)
-        self.retention = retention.cohort_retention(u, e, ordered=False)  # the payload sorts its lists
-        # the foreign-key checks reuse the per-user aggregates of the fact table
-        self.report = quality.quality_report(
-            u, e, s,
-            event_counts=per_user_events.select("user_id", F.col("event_rows").alias("n")),
-            subscription_counts=per_user_subs.select("user_id", F.col("n_subs").alias("n")),
+        self.retention = retention.retention_table(
+            of("active").select(F.col("k1").alias("cohort_month"), F.col("k2").alias("month_number"), F.col("users").alias("retained_users")),
+            of("cohort").select(F.col("k1").alias("cohort_month"), F.col("users").alias("cohort_users")),
         )
-        self.scores = churn.churn_scores(churn.features_table(facts, ("copies",)), ("copies",))
-        self.rollup = churn.churn_rollup(self.scores, weight="copies")
-        self.at_risk = churn.at_risk_users(self.scores)
-
-
-# funnel stage column <- fact column (activation = onboarding, as in the default stages)
-FUNNEL_FROM_FACTS = (
-    ("onboarded", "has_onboarded"), ("edited", "has_edited"), ("trialed", "has_trialed"), ("subscribed", "is_subscribed"),
-)
+        everyone = of("all")
+        counts = everyone.agg(
+            F.sum(F.col("copies") - F.col("users")).alias("duplicate_count"),
+            F.sum("orphan_events").alias("orphan_events"),
+            F.sum("orphan_bills").alias("orphan_bills"),
+            F.sum("bad").alias("bad"),
+        )
+        broken = self.facts.where(F.col("first_event") < F.col("last_signup")).select("user_id").distinct()
+        self.report = quality.report_table(counts, quality.count_early_events(model.users, model.events, broken))
+        # a row for an empty model, too
+        self.rollup = everyone.agg(
+            *(F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_risk_count") for c in ("high", "medium", "low")),
+            F.coalesce(F.round(F.sum("risk") / F.nullif(F.sum(F.col("high") + F.col("medium") + F.col("low")), F.lit(0)), 1), F.lit(0.0)).alias("avg_churn_risk_pct"),
+        )
+        people = facts.scored(self.facts.where(F.col("person") & (F.col("in_user") == 1)))
+        self.at_risk = churn.at_risk_users(people.withColumn("channel", F.col("one_channel")))
 
 
 def combine_rows(frames: Sequence[DataFrame]) -> DataFrame:
     """Put one-row frames with distinct columns side by side, in one plan.
 
     ``unionByName`` (missing columns become NULL) followed by one global
-    aggregate that keeps the single non-NULL value of every column. Unlike a
-    chain of cross joins or scalar subqueries this is a single query: the
-    sections' shared subtrees (the fact table) are planned once and their
-    exchanges reused, and the final aggregate sees one row per section.
+    aggregate that keeps the single non-NULL value of every column. The final
+    aggregate sees one row per section; every section reads the few stored sums.
     """
     stacked = frames[0]
     for f in frames[1:]:
@@ -158,6 +146,11 @@ def kpi_summary(model: Model, analyses: Analyses | None = None) -> DataFrame:
     return combine_rows(kpi_sections(a)).select(*kpi_columns())
 
 
+def _down(column: str) -> list[Column]:
+    """Sort keys for descending order, NULL last."""
+    return [F.col(column).isNull(), -F.col(column)]
+
+
 def _sorted_list(df: DataFrame, order: Sequence[Column], cols: Sequence[str], name: str) -> DataFrame:
     """Bounded section as a one-row frame holding an ordered array of structs."""
     keyed = df.select(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], F.struct(*cols).alias("row")).alias("x"))
@@ -171,12 +164,12 @@ def dashboard_payload(
     a = analyses or Analyses(model)
     # the KPI block is derived from the lists below (no separate sections)
     sections = [
-        _sorted_list(a.funnel, [-F.col("overall_conversion_pct"), F.col("channel")], a.funnel.columns, "funnel"),
+        _sorted_list(a.funnel, [*_down("overall_conversion_pct"), F.col("channel")], a.funnel.columns, "funnel"),
         _sorted_list(a.retention, [F.col("cohort_month"), F.col("month_number")], a.retention.columns, "cohort"),
-        _sorted_list(a.revenue, [-F.col("revenue_per_signup_usd"), F.col("channel")], a.revenue.columns, "revenue"),
+        _sorted_list(a.revenue, [*_down("revenue_per_signup_usd"), F.col("channel")], a.revenue.columns, "revenue"),
         _sorted_list(a.readout, [F.col("experiment_group")], a.readout.columns, "groups"),
         _sorted_list(a.report, [F.col("check_order")], ["check_name", "passed", "details"], "data_quality"),
-        _sorted_list(a.at_risk, [-F.col("risk_score"), F.col("user_id")], a.at_risk.columns, "at_risk_users"),
+        _sorted_list(a.at_risk, [*_down("risk_score"), F.col("user_id")], a.at_risk.columns, "at_risk_users"),
         a.ab.select(F.struct(*a.ab.columns).alias("result")),
         a.rollup.select(*[F.col(c).alias(f"churn_{c}") for c in a.rollup.columns]),
     ]
@@ -209,4 +202,34 @@ def dashboard_payload(
             F.col("at_risk_users"),
         ).alias("churn"),
     )
-    return wide.select(F.to_json(doc).alias("payload"))
+    return wide.select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def payload_long(model: Model, analyses: Analyses | None = None) -> DataFrame:
+    """The payload's lists as rows (section, position, key, value): position from 1 in the list's order, value as
+    text, a row a field, NULL values included."""
+    a = analyses or Analyses(model)
+    lists = [
+        ("funnel", a.funnel, [*_down("overall_conversion_pct"), F.col("channel")], a.funnel.columns),
+        ("cohort", a.retention, [F.col("cohort_month"), F.col("month_number")], a.retention.columns),
+        ("revenue", a.revenue, [*_down("revenue_per_signup_usd"), F.col("channel")], a.revenue.columns),
+        ("groups", a.readout, [F.col("experiment_group")], a.readout.columns),
+        ("data_quality", a.report, [F.col("check_order")], ["check_name", "passed", "details"]),
+        ("at_risk_users", a.at_risk, [*_down("risk_score"), F.col("user_id")], a.at_risk.columns),
+    ]
+    out = None
+    for name, df, order, cols in lists:
+        fields = F.array(*(F.struct(F.lit(c).alias("key"), as_text(df, c).alias("value")) for c in cols))
+        listed = _sorted_list(df.select("*", fields.alias("fields")), order, ["fields"], "rows")
+        rows = listed.select(F.posexplode("rows").alias("at", "row")).select(
+            F.lit(name).alias("section"), (F.col("at") + 1).alias("position"), F.explode("row.fields").alias("f")
+        )
+        rows = rows.select("section", "position", "f.key", "f.value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def as_text(df: DataFrame, c: str) -> Column:
+    """Numbers with four decimals, other values as they are."""
+    kind = df.schema[c].dataType.typeName()
+    return F.format_string("%.4f", F.col(c).cast("double")) if kind in ("double", "long", "integer") else F.col(c).cast("string")

@@ -7,6 +7,7 @@ parameters (a user id, a channel, a salt, a search term) only select or label.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import hash_bucket, sort_bounded, weighted_choice
+from ..functions.columns import hash_bucket, map_lookup, weighted_choice
 from ..operators import churn, experiment, explore, flags, funnel, quality, retention, revenue, summary
+from ..session import shared_folder
+from ..sources import sinks
 from ..sources.model import load_model, raw_event_log, register_model_views
 from ..sources.tables import read_table
 from . import catalog, oracle
@@ -29,46 +32,19 @@ class Params:
     salt: str = "exp1"
     min_users: int = 10
     search_term: str = "build"
+    typed_id: str = " user_0011 "
+    tiers: tuple[tuple[float, str], ...] = ((50.0, "High Conv"), (45.0, "Converted"))
 
 
 PARAMS = Params()
+# The segments of the order tables under the channel names that have display labels.
+SEGMENT_CHANNELS = dict(zip(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), K.CHANNEL_LABELS))
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
-_MODELS: dict[str, tuple[SparkSession, object]] = {}
-
-
-def model_for(spark: SparkSession, d: str):
-    """The derived model of a data folder, built once per session.
-
-    Only the logical plan is kept (nothing is cached or collected): every
-    action still reads the stored tables; this saves rebuilding the same
-    plan (hundreds of Py4J calls and a bounded size check) for each query.
-    """
-    hit = _MODELS.get(d)
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    model = load_model(spark, d)
-    _MODELS[d] = (spark, model)
-    return model
-
-
-_ANALYSES: dict[int, tuple[object, summary.Analyses]] = {}
-
-
-def analyses_for(model) -> summary.Analyses:
-    """The shared analyses of a model (logical plans only), built once."""
-    hit = _ANALYSES.get(id(model))
-    if hit is not None and hit[0] is model:
-        return hit[1]
-    a = summary.Analyses(model)
-    _ANALYSES[id(model)] = (model, a)
-    return a
-
-
 def _m(fn):
-    """Builder over the derived model (users, events, subscriptions)."""
-    return lambda spark, d: fn(model_for(spark, d))
+    """Builder over the derived model (users, events, subscriptions), planned anew for each call."""
+    return lambda spark, d: fn(load_model(spark, d))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +71,7 @@ def _normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_views(spark: SparkSession, d: str):
-    register_model_views(spark, model_for(spark, d))
+    register_model_views(spark, load_model(spark, d))
 
 
 def _adhoc(spark: SparkSession, d: str) -> DataFrame:
@@ -107,9 +83,39 @@ def _adhoc(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _explain(spark: SparkSession, d: str) -> DataFrame:
-    _with_views(spark, d)
-    return explore.explain_plan(spark, catalog.SAVED_SQL["funnel"])
+def _saved(name: str) -> Builder:
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        _with_views(spark, d)
+        return catalog.run_saved(spark, name)
+
+    return build
+
+
+def _named(m):
+    """The model with its five segments under the names of the five channels."""
+    return m._replace(users=m.users.withColumn("channel", map_lookup("channel", SEGMENT_CHANNELS)))
+
+
+def _repeated(m):
+    """All subscriptions as the users relation: repeated keys, users who never subscribed are unknown, and events
+    precede the date."""
+    none = F.lit(None).cast("string")
+    return m.subscriptions.select(
+        "user_id", F.col("subscribed_date").alias("signup_date"), F.col("plan").alias("channel"),
+        none.alias("platform"), none.alias("country"), none.alias("experiment_group"),
+    )
+
+
+def _layout(table: str, write) -> Builder:
+    """Write the relation's layout and read it back."""
+
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/layout-{uuid.uuid4().hex}"
+        relation = getattr(load_model(spark, d), table)
+        write(relation, path)
+        return spark.read.parquet(path).select(*relation.columns)
+
+    return build
 
 
 def _funnel(m):
@@ -142,10 +148,10 @@ QUERIES: dict[str, Builder] = {
     "funnel_for_channel": _m(lambda m: funnel.filter_segment(_funnel(m), PARAMS.channel)),
     "conversion_tiers": _m(lambda m: funnel.conversion_tiers(_funnel(m))),
     "funnel_long": _m(lambda m: funnel.funnel_long(_funnel(m))),
-    "event_counts": lambda s, d: sort_bounded(
-        _events(s, d).groupBy("event_name").agg(F.count(F.lit(1)).alias("event_count")),
+    "event_counts": lambda s, d: _events(s, d).groupBy("event_name").agg(F.count(F.lit(1)).alias("event_count")).orderBy(
         F.desc("event_count"), F.asc("event_name")),
-    "channel_labels": _m(lambda m: funnel.channel_labels(_funnel(m))),
+    "conversion_tiers_custom": _m(lambda m: funnel.conversion_tiers(_funnel(m), tiers=PARAMS.tiers)),
+    "channel_labels": _m(lambda m: funnel.channel_labels(_funnel(_named(m)))),
     # retention
     "cohort_size": _m(lambda m: retention.cohort_size(m.users)),
     "cohort_retention": _m(_retention),
@@ -161,7 +167,7 @@ QUERIES: dict[str, Builder] = {
     # revenue
     "revenue_by_channel": _m(_revenue),
     "revenue_share": _m(lambda m: revenue.revenue_share(_revenue(m))),
-    "revenue_labelled": _m(lambda m: revenue.revenue_labelled(_revenue(m))),
+    "revenue_labelled": _m(lambda m: revenue.revenue_labelled(_revenue(_named(m)))),
     # data quality
     "dq_user_pk": _m(lambda m: quality.user_pk_duplicates(m.users)),
     "dq_events_fk": _m(lambda m: quality.orphan_rows(m.events, m.users)),
@@ -170,28 +176,42 @@ QUERIES: dict[str, Builder] = {
     "dq_non_null": _m(lambda m: quality.mandatory_nulls(*m)),
     "dq_report": _m(lambda m: quality.quality_report(*m)),
     "dq_all_passed": _m(lambda m: quality.all_passed(quality.quality_report(*m))),
+    "dq_report_failing": _m(lambda m: quality.quality_report(_repeated(m), m.events, m.subscriptions)),
     # churn
     "churn_features": _m(lambda m: churn.churn_features(m.users, m.events)),
     "churn_scores": _m(_scores),
     "churn_tiers": _m(lambda m: churn.churn_tiers(_scores(m))),
     "churn_rollup": _m(lambda m: churn.churn_rollup(_scores(m))),
+    "churn_rollup_repeated_keys": _m(lambda m: churn.churn_rollup(churn.churn_scores(churn.churn_features(_repeated(m), m.events)))),
     "at_risk_users": _m(lambda m: churn.at_risk_users(_scores(m))),
     # exploration
     "normalise_user_id": _normalise,
     "user_profile": _m(lambda m: explore.user_profile(m.users, PARAMS.user_id)),
     "user_timeline": lambda s, d: explore.user_timeline(_events(s, d), PARAMS.user_id, ("event_id",)),
     "user_subscription": _m(lambda m: explore.user_subscription(m.users, m.subscriptions, PARAMS.subscriber_id)),
+    "user_profile_by_text": _m(lambda m: explore.user_profile(m.users, PARAMS.typed_id)),
+    "user_timeline_by_text": lambda s, d: explore.user_timeline(_events(s, d), PARAMS.typed_id, ("event_id",)),
+    "user_subscription_by_text": _m(lambda m: explore.user_subscription(m.users, m.subscriptions, PARAMS.typed_id)),
+    "user_journeys_events": _m(lambda m: explore.user_journeys_events(*m)),
     "user_journeys": lambda s, d: explore.user_journeys(_events(s, d)),
     "adhoc_sql": _adhoc,
-    "explain_plan": _explain,
+    "saved_funnel": _saved("funnel"),
+    "saved_cohort": _saved("cohort"),
+    "saved_ab_test": _saved("ab_test"),
+    "saved_revenue": _saved("revenue"),
     "result_search": _m(lambda m: explore.result_search(_funnel(m), PARAMS.search_term)),
     # summary
-    "kpi_summary": _m(lambda m: summary.kpi_summary(m, analyses_for(m))),
-    "dashboard_payload": _m(lambda m: summary.dashboard_payload(m, catalog.SAVED_SQL, analyses=analyses_for(m))),
+    "kpi_summary": _m(summary.kpi_summary),
+    "dashboard_payload": _m(lambda m: summary.dashboard_payload(m, catalog.SAVED_SQL)),
+    "payload_long": _m(summary.payload_long),
+    # stored layouts, written and read back
+    "layout_events": _layout("events", sinks.write_event_layout),
+    "layout_users": _layout("users", sinks.write_user_layout),
+    "layout_subscriptions": _layout("subscriptions", sinks.write_subscription_layout),
 }
 
 # Keys checked by row count only (no SQL restatement).
-ROWS_ONLY = ("explain_plan", "dashboard_payload")
+ROWS_ONLY = ("dashboard_payload",)
 
 
 def queries() -> dict[str, Builder]:

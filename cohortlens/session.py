@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: AQE (runtime coalescing, skew-join splitting,
 # runtime broadcast conversion of small aggregated sides), a fixed session time
@@ -50,52 +50,52 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the folder comes from the session configuration and is used
-    as is. Only when it is unset and the master is local (tests, benchmarks)
-    a scratch folder is created here.
-    """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share; where it is
+    unset, a folder below the warehouse, which they share too."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if not current:
-            sc.setCheckpointDir(configured)
-        return configured
-    if current:
-        return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(folder)
-    return folder
+        return configured.rstrip("/")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cohortlens-work"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and reread it: later plans start from the files, whichever
+    executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def input_bytes(spark: SparkSession, paths: Iterable[str]) -> int:
+    """Stored size of tables, from Catalyst's statistics of their file listing."""
+    reads = (spark.read.parquet(p) for p in paths)
+    return sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in reads)
+
+
+def size_session(spark: SparkSession, n_bytes: int) -> None:
+    """Set ``sizing_conf`` of this input on the session."""
+    for key, value in sizing_conf(n_bytes).items():
+        spark.conf.set(key, value)
 
 
 def sizing_conf(
-    input_bytes: int,
+    n_bytes: int,
     split_bytes: int = 1 << 30,
-    input_bytes_per_shuffle_partition: int = 1 << 30,
-    max_shuffle_partitions: int = 50_000,
+    bytes_per_shuffle_partition: int = 1 << 30,
     advisory_bytes: int = 256 << 20,
     min_partitions: int = 8,
 ) -> dict[str, str]:
-    """Scan and shuffle sizing for an input of ``input_bytes``.
+    """Scan and shuffle sizing for an input of ``n_bytes``.
 
     Scans split files at ``split_bytes``. The first shuffle gets one partition
-    per ``input_bytes_per_shuffle_partition`` of input, capped so that
-    (map tasks x reduce partitions) shuffle blocks stay manageable; AQE then
-    coalesces every stage to ``advisory_bytes`` and splits skewed partitions.
-    For 100 TB: ~100,000 scan tasks of 1 GB and 50,000 initial shuffle
-    partitions.
+    per ``bytes_per_shuffle_partition`` of input; AQE then coalesces every
+    stage to ``advisory_bytes`` and splits skewed partitions.
     """
-    parts = -(-int(input_bytes) // int(input_bytes_per_shuffle_partition))
-    parts = max(min_partitions, min(max_shuffle_partitions, parts))
+    parts = max(min_partitions, -(-int(n_bytes) // int(bytes_per_shuffle_partition)))
     return {
         "spark.sql.files.maxPartitionBytes": f"{int(split_bytes)}b",
         "spark.sql.shuffle.partitions": str(parts),

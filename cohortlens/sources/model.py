@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import broadcast_if_small
 from .tables import read_table
 
 # Fixed values of the derivation rules.
@@ -33,7 +32,6 @@ PRIORITY_SUBSCRIBED = "1-URGENT"
 STATUS_FULFILLED = "F"
 PLATFORM_MOD, PLATFORM_IOS_BELOW = 20, 11
 PLAN_MOD, PLAN_ANNUAL_BELOW = 20, 7
-NATION_MAX_ROWS = 10_000
 
 
 class Model(NamedTuple):
@@ -49,7 +47,8 @@ def first_order_dates(orders: DataFrame) -> DataFrame:
 
 def derive_users(customer: DataFrame, orders: DataFrame, nation: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
-    nations = broadcast_if_small(nation.select("n_nationkey", "n_name"), NATION_MAX_ROWS)
+    # one row a key, so that Catalyst leaves the join out where the country is not used
+    nations = nation.groupBy("n_nationkey").agg(F.min("n_name").alias("n_name"))
     first = first_order_dates(orders)
     return (
         customer.select("c_custkey", "c_mktsegment", "c_nationkey")
@@ -76,10 +75,18 @@ def order_event_name(priority: Column, status: Column) -> Column:
     )
 
 
-def derive_events(users: DataFrame, orders: DataFrame) -> DataFrame:
-    """One signup per user at its signup date, plus one lifecycle event per order."""
-    signups = users.where(F.col("signup_date").isNotNull()).select(
-        "user_id", F.lit(K.EV_SIGNUP).alias("event_name"), F.col("signup_date").alias("event_date")
+def derive_events(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    """One signup per user at its first order, plus one lifecycle event per order."""
+    first = first_order_dates(orders)
+    signups = (
+        customer.select("c_custkey")
+        .join(first, F.col("c_custkey") == first["o_custkey"])
+        .where(F.col("signup_date").isNotNull())
+        .select(
+            F.col("c_custkey").cast("bigint").alias("user_id"),
+            F.lit(K.EV_SIGNUP).alias("event_name"),
+            F.col("signup_date").alias("event_date"),
+        )
     )
     per_order = orders.select(
         F.col("o_custkey").cast("bigint").alias("user_id"),
@@ -115,8 +122,7 @@ def derive_subscriptions(orders: DataFrame) -> DataFrame:
 
 
 def build_model(customer: DataFrame, orders: DataFrame, nation: DataFrame) -> Model:
-    users = derive_users(customer, orders, nation)
-    return Model(users, derive_events(users, orders), derive_subscriptions(orders))
+    return Model(derive_users(customer, orders, nation), derive_events(customer, orders), derive_subscriptions(orders))
 
 
 def load_model(spark: SparkSession, base_dir: str) -> Model:

@@ -50,16 +50,31 @@ def write_event_layout(events: DataFrame, path: str, num_files: int | None = Non
     )
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header line. ``single_file`` is for bounded analysis results only."""
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+def write_user_layout(users: DataFrame, path: str, num_files: int | None = None) -> None:
+    """Users laid out for lookups by channel, arm, signup month and user: directories per channel and arm, ranges of
+    (signup month, user) inside, so that min/max statistics skip the other files."""
+    n = num_files or int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = users.withColumn("signup_month", F.date_format("signup_date", "yyyy-MM"))
+    keys = ["channel", "experiment_group", "signup_month", "user_id"]
+    writer = laid.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite")
+    writer.partitionBy("channel", "experiment_group").parquet(path)
 
 
-def export_csv_quoted(df: DataFrame, path: str, single_file: bool = False) -> None:
+def write_subscription_layout(subscriptions: DataFrame, path: str, num_files: int | None = None) -> None:
+    """Subscriptions in ranges of (user, date): a user's rows lie in one or two files."""
+    n = num_files or int(subscriptions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["user_id", "subscribed_date"]
+    subscriptions.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header line, one file a task."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def export_csv_quoted(df: DataFrame, path: str) -> None:
     """CSV with every value quoted (embedded quotes are escaped; NULL stays empty)."""
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:

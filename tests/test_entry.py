@@ -7,6 +7,7 @@ import duckdb
 
 from conftest import SF001
 import __spark_entry__ as entry_mod
+from cohortlens.plans import registry
 from cohortlens.sources.tables import TABLE_NAMES, table_path
 
 
@@ -18,8 +19,8 @@ def test_entry_runs(spark):
 
 def test_every_sql_key_is_a_query():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == {"explain_plan", "dashboard_payload"}
+    assert set(o) <= set(q) and set(registry.QUERIES) <= set(q)
+    assert set(registry.QUERIES) - set(o) == {"dashboard_payload"}
 
 
 def _norm(v):
@@ -32,7 +33,7 @@ def test_queries_match_sql_oracle(spark):
     con = duckdb.connect()
     for t in TABLE_NAMES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(SF001, t)}')")
-    q, o = entry_mod.queries(), entry_mod.oracle_sql()
+    q, o = registry.queries(), registry.oracle_sql()
     bad = []
     for key, sql in o.items():
         df = q[key](spark, SF001)
@@ -80,7 +81,10 @@ def test_kpi_with_copied_users_rows(spark, make):
     assert k.total_signups == sum(x.signups for x in f) == 2
     assert k.total_revenue == r[0].total_revenue_usd == round(5 * 79.99, 2)
     assert k.avg_churn_risk_pct == roll.avg_churn_risk_pct
-    assert k.high_churn_users_count == roll.high_risk_count == 5  # user 1 (94) in five rows; user 2 scores 69
+    assert k.high_churn_users_count == roll.high_risk_count == 1  # user 1 (95 - 5 events) is one user; user 2 scores 69
+    top = churn.at_risk_users(churn.churn_scores(churn.churn_features(m.users, m.events))).collect()
+    doc = json.loads(summary.dashboard_payload(m, {}).collect()[0].payload)
+    assert [r.user_id for r in top] == [r["user_id"] for r in doc["churn"]["at_risk_users"]] == [1, 2]
 
 
 def test_payload_sections_equal_the_sql_oracle(spark):
@@ -115,3 +119,35 @@ def test_payload_sections_equal_the_sql_oracle(spark):
     # payload lists keep the analyses' order
     assert [r["overall_conversion_pct"] for r in doc["funnel"]] == sorted(
         (r["overall_conversion_pct"] for r in doc["funnel"]), reverse=True)
+
+
+def test_payload_keeps_null_fields_and_puts_them_last(make):
+    from cohortlens.operators import summary
+    from cohortlens.sources.model import Model
+    from conftest import ts
+    u = [(1, ts("2025-01-01"), "influencer", "iOS", "US", "control_self_serve"),
+         (2, ts("2025-01-01"), "referral", "iOS", "US", "control_self_serve")]
+    m = Model(make("users", u), make("events", [(2, "signup", ts("2025-01-01"))]),
+              make("subscriptions", [(2, ts("2025-01-05"), "annual", 79.99)]))
+    doc = json.loads(summary.dashboard_payload(m, {}).collect()[0].payload)
+    assert [r["channel"] for r in doc["revenue"]] == ["referral", "influencer"]
+    last = doc["revenue"][1]
+    assert last["total_revenue_usd"] is None and last["revenue_per_signup_usd"] is None and last["pct_revenue_from_annual"] is None
+    assert doc["funnel"][0]["pct_trial_to_paid"] is None
+    assert doc["ab_test"]["result"]["z_stat"] is None and "p_value" in doc["ab_test"]["result"]
+
+
+def test_summary_of_an_empty_model(make):
+    from cohortlens.operators import summary
+    from cohortlens.sources.model import Model
+    m = Model(make("users", []), make("events", []), make("subscriptions", []))
+    k = summary.kpi_summary(m).collect()[0]
+    assert k.overall_conversion_pct == 0.0 and k.dq_all_passed is True and k.avg_churn_risk_pct == 0.0
+
+
+def test_labels_and_tiers_differ(spark):
+    labels = registry.QUERIES["channel_labels"](spark, SF001).collect()
+    assert any(r.channel != r.channel_label for r in labels)
+    from conftest import SF01
+    tiers = registry.QUERIES["conversion_tiers_custom"](spark, SF01).collect()
+    assert {r.conversion_tier for r in tiers} == {"High Conv", "Converted", "Standard"}

@@ -28,17 +28,44 @@ def test_adhoc_sql_is_query_only_with_bound_args(spark):
     assert spark.sql("SELECT * FROM keep_me").first().x == 1
 
 
-def test_adhoc_result_shape(spark):
+def test_adhoc_result_has_every_row(spark, tmp_path):
     registry._with_views(spark, SF001)
-    res = X.adhoc_result(spark, "SELECT channel, COUNT(*) AS n FROM m_users GROUP BY channel", max_rows=2)
-    assert res["status"] == "success" and res["count"] == 5 and len(res["rows"]) == 2
-    assert res["columns"] == ["channel", "n"]
+    text = "SELECT e.user_id, e.event_name, e.event_date FROM m_events e"
+    n = spark.table("m_events").count()
+    assert n > 1000
+    res = X.adhoc_result(spark, text)
+    assert res["status"] == "success" and len(res["rows"].collect()) == n
+    assert res["columns"] == ["user_id", "event_name", "event_date"]
+    written = X.adhoc_result(spark, text, path=str(tmp_path / "all"))
+    assert written["count"] == n == spark.read.parquet(written["path"]).count()
     assert X.adhoc_result(spark, "SELECT nope FROM m_users")["status"] == "error"
 
 
-def test_explain_plan(spark):
-    rows = registry.QUERIES["explain_plan"](spark, SF001).collect()
-    assert len(rows) == 1 and "Physical Plan" in rows[0].plan
+@pytest.mark.parametrize("text", [
+    "SELECT 1 AS x; -- note", "SELECT 1 AS x; /* a */ -- b\n", "SELECT 1 AS x;;", "SELECT 1 AS x -- note;",
+    "SELECT 1 AS x; -- a\n-- b", "SELECT 1 AS x, ';-- no comment' AS s",
+])
+def test_semicolons_and_comments_at_the_end(spark, text):
+    assert X.adhoc_sql(spark, text).first().x == 1
+
+
+def test_lookups_by_text(make):
+    users = make("users", [(42, ts("2025-01-01"), "referral", "iOS", "US", "control_self_serve")])
+    events = make("events", [(42, "signup", ts("2025-01-01"))])
+    subs = make("subscriptions", [(42, ts("2025-02-01"), "annual", 79.99)])
+    assert X.user_profile(users, " user_0042 ").first().user_id == 42
+    assert X.user_timeline(events, "USER_42").first().event_label == "SIGNUP"
+    assert X.user_subscription(users, subs, "042").first().plan == "annual"
+    assert X.user_profile(users, "nobody").count() == 0
+
+
+def test_journeys_events(make):
+    users = make("users", [(1, ts("2025-01-01"), "referral", "iOS", "US", "a"), (2, ts("2025-01-01"), "x", "iOS", "US", "a")] * 2)
+    events = make("events", [(1, "signup", ts("2025-01-01")), (1, "first_edit", ts("2025-01-03")), (9, "signup", ts("2025-01-01"))])
+    subs = make("subscriptions", [(1, ts("2025-02-01"), "annual", 79.99)])
+    rows = X.user_journeys_events(users, events, subs).collect()
+    assert [(r.user_id, r.event_label, r.plan_label) for r in rows] == [
+        (1, "SIGNUP", "annual ($79.99)"), (1, "FIRST EDIT", "annual ($79.99)"), (2, None, "Free Tier")]
 
 
 def test_user_lookups(make):
