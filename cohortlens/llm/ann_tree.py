@@ -9,7 +9,8 @@
   widened until the share of their true neighbours in the visited leaves reaches ``recall``. A query
   goes on beyond that number while its leaves hold fewer than k rows besides its own.
 * Queries of a leaf are put together, joined to the leaf's blocks, and measured on the original
-  vectors; one window keeps the k nearest.
+  vectors: first in their first leaves, then in the others, where only rows within the k-th distance
+  so far come out. One window keeps the k nearest.
 
 Vectors null, empty, all zero or with null or non-finite components, and null ids, take no part.
 Vectors of unequal width: missing components are zero. Repeated rows (same id and vector) count once; a
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import finite_vectors, stored
 from .vectors import MATRIX, best_of, matrix_of, matrix_values, prefixed, same_width, unpack_lists, widen
 
-BLOCK_ROWS, PACK_ROWS, SALT_ROWS = 2048, 256, 8192
+BLOCK_ROWS, PACK_ROWS, SALT_ROWS, FIRST_LEAVES = 2048, 256, 8192, 4
 MEASURED = "query_id long, vec_id long, score double"
 
 
@@ -95,15 +96,15 @@ class Tree:
                 heapq.heappush(queue, (far[child], child))
 
 
-def nearest(q_ids, q, x_ids, x, k):
-    """(query row, distance, candidate row) of the k nearest candidates of each query. Distances are sums in
-    the order of the components, so equal vectors have equal distances wherever they lie."""
+def nearest(q_ids, q, x_ids, x, k, limits=None):
+    """(query row, distance, candidate row) of the k nearest candidates of each query, none beyond its limit. Distances
+    are sums in the order of the components, so equal vectors have equal distances wherever they lie."""
     q, x = same_width(q, x)
     found = []
     for i in range(len(q)):
         gap = x - q[i]
         far = np.sqrt(np.cumsum(gap * gap, axis=1)[:, -1])
-        j = np.flatnonzero(x_ids != q_ids[i])
+        j = np.flatnonzero(x_ids != q_ids[i] if limits is None else (x_ids != q_ids[i]) & (far <= limits[i]))
         if len(j) > k:
             j = j[far[j] <= np.partition(far[j], k - 1)[k - 1]]
         found.append((np.full(len(j), i), far[j], j))
@@ -235,32 +236,45 @@ def nearest_neighbours(
 
     def choose(batches):
         for batch in batches:
-            m, out = unpack_lists(batch.column("vec")), ([], [])
+            m, out = unpack_lists(batch.column("vec")), []
             for r in range(batch.num_rows):
-                held = 0
+                held, chosen = 0, []
                 for turn, leaf in enumerate(tree.visits(m[r])):
                     if turn >= visits and held > k:
                         break
-                    held += ids.get(leaf, 0)
                     if leaf in sizes:
-                        out[0].append(r)
-                        out[1].append(leaf)
-            picked = batch.take(pa.array(out[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.int64()), *picked.columns], ["leaf", "vec_id", "vec"])
+                        held += ids[leaf]
+                        chosen.append(leaf)
+                out.append(chosen)
+            columns = [*batch.columns, pa.array(out, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "vec", "leaves"])
+
+    asked = queries.dropDuplicates(["vec_id", "vec"]).mapInArrow(choose, "vec_id long, vec array<double>, leaves array<long>")
+    asked, blocks = stored(asked, "visits"), leaf_blocks(rows, sizes)
+    # the first leaves give each query a limit: its k-th distance there
+    first = asked.select("vec_id", "vec", F.explode(F.slice("leaves", 1, FIRST_LEAVES)).alias("leaf"))
+    first = stored(_best(_measure(first.withColumn("limit", F.lit(float("inf"))), blocks, k), k), "first")
+    limits = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("limit"))
+    rest = asked.select("vec_id", "vec", F.explode(F.slice("leaves", F.lit(FIRST_LEAVES + 1), F.size("leaves"))).alias("leaf"))
+    rest = rest.join(limits, "vec_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    found = _measure(rest, blocks, k).unionByName(first.select("query_id", "vec_id", "score"))
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.dropDuplicates(["vec_id", "vec"]).mapInArrow(choose, "leaf long, vec_id long, vec array<double>")
-    asked = _runs(asked.repartition(parts, "leaf").sortWithinPartitions("leaf", "vec_id"), PACK_ROWS, "q_")
+
+def _measure(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """asked (leaf, vec_id, vec, limit) in packs of one leaf, joined to the leaf's blocks and measured."""
 
     def measure(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 q_ids, q = matrix_of(batch, r, "q_")
                 x_ids, x = matrix_of(batch, r, "x_")
-                yield _measured(q_ids, x_ids, nearest(q_ids, q, x_ids, x, k))
+                yield _measured(q_ids, x_ids, nearest(q_ids, q[:, 1:], x_ids, x, k, q[:, 0]))
 
-    found = asked.join(leaf_blocks(rows, sizes), "leaf").mapInArrow(measure, MEASURED)
-    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = asked.withColumn("vec", F.concat(F.array("limit"), "vec"))  # the limit goes along in front
+    packs = _runs(rows.repartition(parts, "leaf").sortWithinPartitions("leaf", "vec_id"), PACK_ROWS, "q_")
+    return packs.join(blocks, "leaf").mapInArrow(measure, MEASURED)
 
 
 def searchable(vectors: DataFrame) -> DataFrame:
