@@ -34,6 +34,7 @@ from .vectors import MATRIX, best_of, matrix_of, matrix_values, prefixed, same_w
 
 TILE, BAND, STEP = 1024, 4096, 1024
 EXACT = float(1 << 53)
+DENSE = 0.02
 
 
 def rotation(vectors: DataFrame, sample: int) -> np.ndarray:
@@ -98,6 +99,7 @@ def search(q_ids, q, x_ids, x, turn, limit, k):
     q_rest, x_rest = np.sqrt((qr[:, head:] ** 2).sum(axis=1)), np.sqrt((xr[:, head:] ** 2).sum(axis=1))
     kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     limit = limit.copy()
+    small = not len(q) or not len(x) or float(np.abs(q).max()) * float(np.abs(x).max()) * dim < EXACT
     for begin in range(0, len(x), STEP):
         end = min(begin + STEP, len(x))
         slack = 1e-9 * q_len * x_len[begin] + 1e-9  # of rounding in the rotation
@@ -107,12 +109,17 @@ def search(q_ids, q, x_ids, x, turn, limit, k):
         bound = qr[live, :head] @ xr[begin:end, :head].T
         bound += q_rest[live, None] * x_rest[None, begin:end]
         bound += slack[live, None]
-        i, j = np.nonzero(bound >= limit[live, None])
-        i, j = live[i], j + begin
-        other = q_ids[i] != x_ids[j]
-        i, j = i[other], j[other]
-        scores = np.concatenate([_product(q[i[a : a + 100_000]], x[j[a : a + 100_000]]) for a in range(0, len(i), 100_000)] or [kept[1]])
-        good = scores >= limit[i]
+        left = bound >= limit[live, None]
+        if small and left.mean() > DENSE:  # too many are left to take them one by one
+            dense = q[live] @ x[begin:end].T  # whole numbers below 2**53: exact in any order
+            i, j = np.nonzero(left & (dense >= limit[live, None]))
+            scores = dense[i, j].astype(np.int64)
+            i, j = live[i], j + begin
+        else:
+            i, j = np.nonzero(left)
+            i, j = live[i], j + begin
+            scores = np.concatenate([_product(q[i[a : a + 100_000]], x[j[a : a + 100_000]]) for a in range(0, len(i), 100_000)] or [kept[1]])
+        good = (scores >= limit[i]) & (q_ids[i] != x_ids[j])
         i, j, scores = (np.concatenate([old, new[good]]) for old, new in zip((kept[0], kept[2], kept[1]), (i, j, scores)))
         best = best_of(i, ~scores, x_ids[j], k)  # ~s falls as s rises, without overflow
         kept = i[best], scores[best], j[best]
@@ -140,11 +147,15 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int, sample: int =
     tiles = blocks(some, TILE).withColumnRenamed("block", "tile").withColumnRenamed("longest", "q_longest")
     pair_types = [pa.int64(), pa.int64(), pa.int64()]
 
+    # the band of the longest vectors: one row of at most BAND vectors
+    top = bands.where(F.col("band") == 0).select(*(F.col(c) for c, _ in prefixed(MATRIX, "x_"))).toArrow().to_batches()
+    longest = matrix_of(top[0], 0, "x_") if top and top[0].num_rows else (np.zeros(0, np.int64), np.zeros((0, 1)))
+
     def first(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 q_ids, q = matrix_of(batch, r)
-                _, limit = search(q_ids, q, *matrix_of(batch, r, "x_"), turn, np.full(len(q), -np.inf), k)
+                _, limit = search(q_ids, q, *longest, turn, np.full(len(q), -np.inf), k)
                 columns = [batch.column(c).slice(r, 1) for c in ("tile", "q_longest", "n", "dim", "ids", "matrix")]
                 low = pa.array([float(limit.min())]), pa.array([limit.tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, *low], ["tile", "q_longest", "n", "dim", "ids", "matrix", "lowest", "limits"])
@@ -158,11 +169,10 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int, sample: int =
                 (i, scores, j), _ = search(q_ids, q, x_ids, x, turn, limit, k)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((q_ids[i], x_ids[j], scores), pair_types)], ["query_id", "vec_id", "score"])
 
-    seeded = tiles.withColumn("band", F.lit(0)).join(bands.drop("longest"), "band").drop("band")
-    seeded = stored(seeded.mapInArrow(first, f"tile long, q_longest double, {MATRIX}, lowest double, limits binary"), "tiles")
+    seeded = stored(tiles.mapInArrow(first, f"tile long, q_longest double, {MATRIX}, lowest double, limits binary"), "tiles")
     all_pairs = seeded.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_bands - 1)))))
     reach = F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("lowest")
-    found = all_pairs.join(bands, "band").where(reach).mapInArrow(rest, "query_id long, vec_id long, score long")
+    found = all_pairs.join(bands.hint("merge"), "band").where(reach).mapInArrow(rest, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
