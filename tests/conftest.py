@@ -13,8 +13,9 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("local[4]", app_name="cohortlens-tests", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    shared = {"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"}
+    s = build_session("local[4]", app_name="cohortlens-tests", shuffle_partitions=4, extra_conf=shared)
     yield s
     s.stop()
 
