@@ -57,6 +57,7 @@ def user_facts(model: Model) -> DataFrame:
             F.collect_set(month).alias("open_months"),  # a date a month of activity at most
         ),
         nameless=True,
+        unique=False,
     )
     bills = subscriptions_per_user(subscriptions, extra=(F.count_if(F.col("price_usd").isNull()).alias("bad_bills"),), nameless=True)
     # rows without a user_id meet no others: some people rows, one of events, one of subscriptions

@@ -41,15 +41,16 @@ def stage_flags(events: DataFrame, stages: Sequence[tuple[str, str]]) -> DataFra
 
 
 def activity_flags(
-    events: DataFrame, flags: Sequence[tuple[str, str]] = ACTIVITY_FLAGS, extra: Sequence[Column] = (), nameless: bool = False
+    events: DataFrame, flags: Sequence[tuple[str, str]] = ACTIVITY_FLAGS, extra: Sequence[Column] = (), nameless: bool = False,
+    unique: bool = True,
 ) -> DataFrame:
     """Per user with events: distinct event names, event count, 0/1 flags and ``extra`` aggregates; with
-    ``nameless`` also a row for the events without a user_id."""
+    ``nameless`` also a row for the events without a user_id, without ``unique`` no distinct names (and no shuffle for them)."""
     return (
         (events if nameless else events.where(F.col("user_id").isNotNull()))
         .groupBy("user_id")
         .agg(
-            F.countDistinct("event_name").alias("unique_events"),
+            *([F.countDistinct("event_name").alias("unique_events")] if unique else []),
             F.count("event_name").alias("total_event_count"),
             F.count(F.lit(1)).alias("event_rows"),
             *[F.max(_flag(ev)).alias(col) for col, ev in flags],
