@@ -107,6 +107,7 @@ def suspects(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     smaller document, 2 if in a larger, 3 if both."""
     rows = firsts.select("d", "uid", F.explode("seeds").alias("seed"))
     ends = rows.groupBy("seed").agg(F.min("d").alias("low"), F.max("d").alias("high")).where(F.col("low") < F.col("high"))
+    ends = stored(ends, "seeds")  # joined as a table, so that AQE can split the rows of a common seed
     flag = F.when(F.col("d") == F.col("low"), 2).when(F.col("d") == F.col("high"), 1).otherwise(3).cast("tinyint")
     shared = rows.join(ends, "seed").groupBy("d", "uid").agg(F.array_sort(F.collect_list(F.struct("seed", flag.alias("flag")))).alias("s"))
     shared = shared.select("d", "uid", F.col("s.seed").alias("seeds"), F.col("s.flag").alias("flags"))
@@ -147,7 +148,7 @@ def _among(values: np.ndarray, sorted_seeds: np.ndarray) -> np.ndarray:
 def paths(suspected: DataFrame) -> DataFrame:
     """(d, uid, begin, end, src_d, src_uid, src_begin) in words: compacted runs of repeated edges."""
     source = F.min(F.struct("d", "pos", "uid")).alias("src")
-    sources = edges(suspected, 2).groupBy("h1", "h2").agg(source)
+    sources = stored(edges(suspected, 2).groupBy("h1", "h2").agg(source), "sources")  # as the seeds
     found = edges(suspected, 1).join(sources, ["h1", "h2"]).where(F.col("src.d") < F.col("d"))
     found = found.select("d", "uid", "pos", F.col("src.d").alias("src_d"), F.col("src.uid").alias("src_uid"), (F.col("src.pos") - F.col("pos")).alias("shift"))
     line = Window.partitionBy("d", "uid", "src_d", "src_uid", "shift").orderBy("pos")
@@ -205,7 +206,7 @@ def changed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all documents: d, uid, n_words, sha256, first: smallest d of the same words; those of them of which a part
     goes: d, uid, kept with n_removed and the text that is left)."""
     scanned = scan(docs)
-    least = scanned.groupBy("h1", "h2").agg(F.min("d").alias("first"))
+    least = stored(scanned.groupBy("h1", "h2").agg(F.min("d").alias("first")), "firsts")
     every = scanned.join(least, ["h1", "h2"])
     firsts = every.where((F.col("d") == F.col("first")) & (F.size("seeds") > 0))
     suspected = suspects(docs, firsts)
