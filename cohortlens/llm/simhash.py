@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, shared_folder, stored, texts_of
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 LIST = 16_384
 ROWS_AT_ONCE = 128
 
@@ -194,7 +194,8 @@ def links(nodes: DataFrame, max_bits: int = 4, longest_list: int = LIST) -> Data
         mask = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(n).alias("set"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
     postings = nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select(F.xxhash64("k.set", "k.bytes").alias("key"), "fp")
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # stored here and below: joined as a table, so that AQE can split the rows of a common key
+    sizes = stored(postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "list-sizes")
     lists = stored(postings.join(sizes, "key"), "postings")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     short = lists.where(F.col("n") <= longest_list).select("key", "fp").repartition(parts, "key").sortWithinPartitions("key", "fp")
@@ -215,9 +216,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).checkpoint()
         stars = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = stars.groupBy("u").agg(F.min("v").alias("m"))
+        stars = stars.checkpoint()
+        least = stars.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         moved = stars.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         sums = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
@@ -237,7 +239,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     known = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = stored(known, "nodes")
+    least = stored(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = known.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
