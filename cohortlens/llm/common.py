@@ -47,12 +47,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Let the Python workers import this package: where PYTHONPATH does not name it, Spark
-    sends them its source files, once an application."""
+    sends them its source files, once an application. Arrow batches of whole texts are kept
+    smaller than Spark's default, as an executor holds some of them for each core."""
+    if int(spark.conf.get(ARROW_ROWS)) == 10_000:
+        spark.conf.set(ARROW_ROWS, "1000")
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
     if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
@@ -88,6 +92,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             total += size or 0
         if begin < len(sizes):
             yield batch.slice(begin)
+        pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
 
 
 def finite_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:

@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import chunks, ship, texts_of
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST_KEPT = 64
+MAP_LANGUAGES = 500
 FOREIGN = -50.0  # a word in a script that the language doesn't use
 
 # First code points of ranges of scripts, and their scripts.
@@ -73,7 +74,14 @@ def learn(docs: DataFrame, sample_per_language: int = 1500, sample_chars: int =
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
     share = rows.groupBy("lang").agg((sample_per_language / F.count("*")).alias("share"))
     turn = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)).alias("turn")
-    sample = rows.select("lang", "text", turn).join(share, "lang").where(F.col("turn") < F.col("share")).select("lang", "text")
+    rows = rows.select("lang", "text", turn)
+    shares = share.limit(MAP_LANGUAGES + 1).collect()
+    if len(shares) <= MAP_LANGUAGES:  # as a map, so that no text is shuffled; with more labels, a join
+        known = F.create_map(*(F.lit(x) for r in shares for x in (r["lang"], float(r["share"])))) if shares else None
+        sample = rows.where(F.col("turn") < F.element_at(known, F.col("lang"))) if shares else rows.limit(0)
+    else:
+        sample = rows.join(share, "lang").where(F.col("turn") < F.col("share"))
+    sample = sample.select("lang", "text")
 
     def count(batches):
         for part in chunks(batches, "text", SLICE_BYTES):
@@ -108,21 +116,32 @@ def learn(docs: DataFrame, sample_per_language: int = 1500, sample_chars: int =
 class WordScores:
     """Scores and letters of each distinct word; at most ``kept`` words stay for the next call."""
 
-    def __init__(self, model: Model, kept: int = 200_000):
+    def __init__(self, model: Model, kept: int = 100_000):
         self.model, self.kept, self.index = model, kept, {}
         self.scores = np.zeros((1 << 12, len(model.languages)), np.float32)
         self.letters = np.zeros(1 << 12, np.int64)
 
-    def _score(self, token: str) -> tuple[np.ndarray | float, int]:
-        model, total, letters = self.model, 0.0, 0
-        for word in _LETTERS.findall(token):
-            letters += len(word)
-            use = model.scripts.get(script_of(word[0]))
-            if use is None or not use.any():
-                continue  # nobody's script: no evidence
-            unseen = len(model.row)
-            sums = model.scores[[model.row.get(g, unseen) for g in trigrams(word)]].sum(axis=0)
-            total = total + np.where(use, sums - sums[use].max(), FOREIGN)
+    def _score(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, letters) of the tokens: sums over their runs of letters."""
+        model, get, unseen = self.model, self.model.row.get, len(self.model.row)
+        total, letters = np.zeros((len(tokens), len(model.languages)), np.float32), np.zeros(len(tokens), np.int64)
+        rows: list[int] = []
+        starts, owner, script = [], [], []
+        kinds = {name: i for i, (name, use) in enumerate(model.scripts.items()) if use.any()}
+        for i, token in enumerate(tokens):
+            for word in (token,) if token.isalpha() else _LETTERS.findall(token):
+                letters[i] += len(word)
+                kind = kinds.get(script_of(word[0]))
+                if kind is not None:  # else nobody's script: no evidence
+                    starts.append(len(rows))
+                    owner.append(i)
+                    script.append(kind)
+                    rows += [get(g, unseen) for g in trigrams(word)]
+        if starts:
+            sums = np.add.reduceat(model.scores[rows], starts, axis=0)
+            use = np.stack(list(model.scripts.values()))[script]
+            best = np.where(use, sums, -np.inf).max(axis=1, keepdims=True)
+            np.add.at(total, owner, np.where(use, sums - best, FOREIGN).astype(np.float32))
         return total, letters
 
     def look_up(self, tokens: list[str]) -> np.ndarray:
@@ -136,8 +155,10 @@ class WordScores:
             self.scores = np.concatenate([self.scores, np.zeros((more, self.scores.shape[1]), np.float32)])
             self.letters = np.concatenate([self.letters, np.zeros(more, np.int64)])
         stays = set(kept)
-        for row, i in enumerate(kept + [i for i in new if i not in stays], n):
-            self.scores[row], self.letters[row] = self._score(tokens[i])
+        order = kept + [i for i in new if i not in stays]
+        if order:
+            self.scores[n : n + len(order)], self.letters[n : n + len(order)] = self._score([tokens[i] for i in order])
+        for row, i in enumerate(order, n):
             at[i] = row
         self.index.update((tokens[i], at[i]) for i in kept)
         return np.array(at, np.int64)
