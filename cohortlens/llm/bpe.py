@@ -18,8 +18,8 @@ empty table: no row. Other columns are left out.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,17 +27,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, texts_of
+from .common import chunks, texts_of
 from .units import UnitMemo, gather, matches_of, unit_of
 
-BLOCK_BYTES = 16 << 20
-SLICE_BYTES = 4 << 20
-SPLIT = "kind int, bucket int, block long, doc_ids array<long>, counts array<long>, payload binary"
+BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 BACK = "bucket int, block long, doc_ids array<long>, counts array<long>, payload binary"
+LAST = 1 << 30  # "bucket" of a block's positions: they follow its words
 
 
 @lru_cache(maxsize=2)
@@ -105,18 +104,19 @@ def _parts(data: bytes) -> list[bytes]:
     return out
 
 
-def split(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of kind 0: the distinct words of (block, bucket). Kind 1: the documents of a block, the
-    bucket of each of its words, and the word number at each position."""
+def split(docs: DataFrame, buckets: int, positions: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """With ``positions``, a row a block: its documents, the bucket of each of its words, and the word number
+    at each position. Else a row for each (block, bucket): its distinct words. A block is named by a hash of
+    what it holds."""
 
     def blocks(batches):
-        block = (TaskContext.get().partitionId() << 32) - 1
+        name = xxhash.xxh3_64()
         words: dict[str, int] = {}
         held: list[tuple] = []
         size = 0
 
         def expand(keys):
-            return [[words.setdefault(w, len(words)) for w in matches_of(unit_of(k))] for k in keys]
+            return [array("I", [words.setdefault(w, len(words)) for w in matches_of(unit_of(k))]).tobytes() for k in keys]
 
         def rows():
             stream = np.concatenate([v for _, v, _ in held])
@@ -128,29 +128,36 @@ def split(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in texts), np.uint32, len(texts))
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            block = name.intdigest() - (1 << 63)
+            if positions:
+                ids, counts = [i for x, _, _ in held for i in x], np.concatenate([c for _, _, c in held]).tolist()
+                yield _row(BACK, LAST, block, ids, counts, _join(_pack(bucket), _pack(number[stream])))
+                return
             squeeze = zstandard.ZstdCompressor(level=3)
             for b in np.unique(bucket).tolist():
                 data = squeeze.compress(b"\xff".join(texts[i] for i in by[edges[b] : edges[b + 1]].tolist()))
-                yield _row(SPLIT, 0, b, block, None, None, data)
-            ids, counts = [i for x, _, _ in held for i in x], np.concatenate([c for _, _, c in held]).tolist()
-            yield _row(SPLIT, 1, -1, block, ids, counts, _join(_pack(bucket), _pack(number[stream])))
+                yield _row(BACK, b, block, None, None, data)
 
         memo = None
-        for part in chunks(batches, "text", SLICE_BYTES):
-            if memo is None:
-                block, memo = block + 1, UnitMemo(expand)
+        for part in chunks(batches, "text", min(SLICE_BYTES, block_bytes)):
+            memo = memo or UnitMemo(expand, 100_000)
             values, counts = memo.run(part.column("text"))
-            held.append((part.column("doc_id").to_pylist(), values, counts))
+            ids = part.column("doc_id").to_pylist()
+            held.append((ids, values, counts))
+            name.update(repr((ids, counts.tolist())).encode())
+            name.update(values)
+            name.update("".join(words).encode())
             size += part.column("text").nbytes
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield from rows()
+                name.reset()
                 words.clear()
                 held.clear()
                 memo, size = None, 0
         if held:
             yield from rows()
 
-    return texts_of(docs).mapInArrow(blocks, SPLIT)
+    return texts_of(docs).mapInArrow(blocks, BACK)
 
 
 def _row(schema: str, *values) -> pa.RecordBatch:
@@ -197,12 +204,14 @@ def assemble(positions: DataFrame, encoded: DataFrame) -> DataFrame:
         starts: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         flat: list[np.ndarray] = []
-        used = 0
+        used, current = 0, None
         for batch in batches:
             for r in range(batch.num_rows):
-                bucket, _, doc_ids, counts, data = (batch.column(i)[r].as_py() for i in range(5))
+                bucket, block, doc_ids, counts, data = (batch.column(i)[r].as_py() for i in range(5))
                 a, b = map(_unpack, _parts(data))
-                if bucket >= 0:
+                if bucket < LAST:
+                    if block != current:
+                        starts, lengths, flat, used, current = [], [], [], 0, block
                     n = a.astype(np.int64)
                     starts.append(used + np.cumsum(n) - n)
                     lengths.append(n)
@@ -215,6 +224,8 @@ def assemble(positions: DataFrame, encoded: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([[]] * len(part), pa.list_(pa.int32()))], ["doc_id", "ids"])
                     continue
                 # the last row of its block: words stand in the order of bucket, then number
+                if block != current or sum(map(len, lengths)) != len(a):
+                    raise ValueError("the documents were read in other partitions the second time: store them first")
                 order = np.argsort(a, kind="stable")
                 start, length = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
                 start[order], length[order] = np.concatenate(starts), np.concatenate(lengths)
@@ -231,17 +242,16 @@ def assemble(positions: DataFrame, encoded: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[begin:end], pa.int64()), lists], ["doc_id", "ids"])
                     begin = end
 
-    rows = encoded.unionByName(positions.select(F.lit(1 << 30).alias("bucket"), "block", "doc_ids", "counts", "payload"))
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(tasks, "block").sortWithinPartitions("block", "bucket")
-    return rows.withColumn("bucket", F.when(F.col("bucket") < 1 << 30, F.col("bucket")).otherwise(-1)).mapInArrow(build, "doc_id long, ids array<int>")
+    tasks = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = encoded.unionByName(positions).repartition(tasks, "block").sortWithinPartitions("block", "bucket")
+    return rows.mapInArrow(build, "doc_id long, ids array<int>")
 
 
-def encode(docs: DataFrame, ranks_path: str, buckets: int = 256) -> DataFrame:
-    """(doc_id, ids array<int>) of every document."""
-    parts = stored(split(docs, buckets), "bpe-blocks")
-    words, positions = parts.where(F.col("kind") == 0), parts.where(F.col("kind") == 1)
-    return assemble(positions, encode_words(words, ranks_path, buckets))
+def encode(docs: DataFrame, ranks_path: str, buckets: int = 256, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, ids array<int>) of every document. The documents are read twice, for words and for positions (storing
+    the blocks would take as much disk as the table): a table or a stored DataFrame gives the same blocks each time."""
+    words = encode_words(split(docs, buckets, False, block_bytes), ranks_path, buckets)
+    return assemble(split(docs, buckets, True, block_bytes), words)
 
 
 def _table(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,22 +297,12 @@ def _sizes(lists: pa.Array) -> np.ndarray:
 
 
 def digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what ``decode`` returns."""
-
-    def sums(batches):
-        table = None
-        for batch in batches:
-            lists = batch.column("ids")
-            ids, sizes = lists.flatten().to_numpy(), _sizes(lists)
-            top = int(ids.max()) if len(ids) else 0
-            if table is None or top >= len(table[1]):
-                table = _table([b"%d " % i for i in range(top + 1)])
-            data, at = _joined(table, ids, np.concatenate([[0], np.cumsum(sizes)]))
-            texts = [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]
-            out = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("bytes")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(texts, pa.string()), pa.array(out, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return decoded.mapInArrow(sums, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what ``decode`` returns. In SQL: one more Python function in
+    the stage would be one more worker process for every core."""
+    numbers = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )

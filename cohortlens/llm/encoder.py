@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +14,7 @@ from .units import UnitMemo, matches_of, unit_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
 
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file; kept out of the repository."""
     import public_tokenizers
@@ -36,7 +38,7 @@ class TextEncoder:
     encodes the whole texts.
     """
 
-    def __init__(self, path: str, max_kept: int = 400_000):
+    def __init__(self, path: str, max_kept: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,25 +57,24 @@ class TextEncoder:
         )
         self.size = self.tokenizer.get_vocab_size()
         self.max_kept = max_kept
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.letters = byte_letters()
         self.model = self.tokenizer.model
-        self.memo = UnitMemo(self._expand, max_kept)
+        self.memo = UnitMemo(self._expand, max_kept // 2)
 
-    def _expand(self, keys: list[str]) -> list[list[int]]:
-        words = [matches_of(unit_of(k)) for k in keys]
+    def _expand(self, keys: list[str]) -> list[bytes]:
         known, out = self.words, []
-        for parts in words:
-            ids: list[int] = []
-            for w in parts:
+        for k in keys:
+            ids = []
+            for w in matches_of(unit_of(k)):
                 found = known.get(w)
                 if found is None:
                     letters = w.encode().decode("latin-1").translate(self.letters)
-                    found = [t.id for t in self.model.tokenize(letters)]
+                    found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
                     if len(known) < self.max_kept and len(w) <= 64:
                         known[w] = found
-                ids += found
-            out.append(ids)
+                ids.append(found)
+            out.append(ids[0] if len(ids) == 1 else b"".join(ids))
         return out
 
     def run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

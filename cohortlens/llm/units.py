@@ -12,7 +12,7 @@ Keys: "x" is the unit " x", "\nx" is itself, "\n\nx" the unit "x" (head of a tex
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -67,13 +67,14 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class UnitMemo:
-    """Integers for each unit by ``expand`` (keys -> a sequence of integers for each key).
+    """Integers for each unit by ``expand`` (keys -> for each key its integers, as bytes of unsigned 32-bit numbers: they
+    take little memory and give the garbage collector nothing to follow).
 
     Kept units: at most ``max_units``; later ones, and those of over 64 characters, are expanded
     anew in each call.
     """
 
-    def __init__(self, expand: Callable[[list[str]], list[Sequence[int]]], max_units: int = 400_000):
+    def __init__(self, expand: Callable[[list[str]], list[bytes]], max_units: int = 300_000):
         self.expand, self.max_units = expand, max_units
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -92,8 +93,8 @@ class UnitMemo:
         if not keys:
             return
         found, n = self.expand(keys), len(self.index)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        values = np.array([v for x in found for v in x], np.uint32)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        values = np.frombuffer(b"".join(found), np.uint32)
         self._room("flat", self.used + len(values))
         self._room("start", n + len(keys))
         self._room("length", n + len(keys))
