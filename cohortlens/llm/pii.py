@@ -7,8 +7,9 @@ Added spans: transducers rewrite the text and keep, for every character of the n
 stands for: look-alike letters, digits and signs to ASCII, invisible characters to nothing; digits spelled as
 words to digits; "at" and "dot" in brackets, between spaces, or as words to signs. The same
 detectors run on the result, and their spans are mapped back to the source. Words are rewritten only in
-runs that leave little doubt (four digit words, a whole address with a known last label), so plain prose
-keeps its words. A span that lies within a base span of its kind adds nothing.
+runs that leave little doubt (four digit words, a whole address), so plain prose keeps its words. An address
+ends in its last label that is a listed one, or any of 2 to 24 letters after a spelled or bracketed dot (not so in
+"at the dot matrix"); a full stop with a space after it ends an address that has a spelled dot. A span that lies within a base span of its kind adds nothing.
 
 Texts without a trigger (a mapped character, enough digit words, a disguised sign) are not rewritten at all. All
 steps are linear in the text.
@@ -64,8 +65,13 @@ _SPELLED = (
     ("eight", "acht", "huit", "ocho"),
     ("nine", "neun", "neuf", "nueve"),
 )
-# Last labels that a spelled-out address must end in.
-_LAST_LABELS = "com net org edu gov mil int info biz io co us uk de fr es it eu ch at nl be example test invalid".split()
+# Last labels that an address may end in where no dot is spelled or in brackets.
+_RESERVED = frozenset("example test invalid".split())
+_LAST_LABELS = _RESERVED | frozenset(
+    "com net org edu gov mil int info biz io co us uk de fr es it eu ch at nl be dev app ca au jp ru cn br pl se ie nz za mx ar cl kr tw hk sg cz dk fi hu pt gr ro tr ua il".split()
+)
+# Words that make "at the dot matrix" prose, unless a listed label ends it.
+_ARTICLES = frozenset("the a an this that each every any some its his her our your their my der die das dem den le la el los las".split())
 
 
 def _mapped() -> dict[str, str]:
@@ -95,13 +101,16 @@ _PIECE = re.compile(rf"(?P<plus>plus )|(?P<word>{_WORD})|(?P<num>[0-9]++)|(?P<do
 _BRACKET_AT = re.compile(r" ?[\[({<] ?(?:at|@|arroba) ?[\])}>] ?", re.I)
 _BRACKET_DOT = re.compile(r" ?[\[({<] ?(?:dot|\.|punkt|point|punto) ?[\])}>] ?", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9]) @ ?(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@ (?=[A-Za-z0-9])")
+_AT, _DOT = "\ud800", "\ud801"  # signs in brackets until the words are settled; no UTF-8 text holds lone surrogates
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _WORDS = re.compile(
-    rf"(?<![\w.%+-])[\w.%+-]{{1,64}}(?P<local>(?: dot [\w%+-]{{1,64}}){{0,5}})(?P<at> at | ?@ ?){_LABEL}(?P<rest>(?:(?: dot | ?\. ?){_LABEL}){{1,6}})(?!\w)",
+    rf"(?<![\w.%+-])[\w.%+-]{{1,64}}(?P<local>(?: dot [\w%+-]{{1,64}}){{0,5}})(?P<at> at | ?@ ?|{_AT})(?P<label>{_LABEL})(?P<rest>(?:(?: dot | ?\. ?|{_DOT}){_LABEL}){{1,126}})(?!\w)",
     re.I | re.A,
 )
 _DOT_WORD = re.compile(r" dot | ?\. ?", re.I)
+_NEXT = re.compile(rf"(?P<dot> dot | ?\. ?|{_DOT})(?P<label>{_LABEL})", re.I)
 _HINTS = ("[.", "(.", "{.", "<.", "[at", "(at", "{at", "<at", "[ at", "( at", "[dot", "(dot", "{dot", "[@", "(@", "{@", "<@", " @", "@ ")
+_SIGNS = re.compile(f"[{_AT}{_DOT}]")
 _DOTS = frozenset(("dot", "punkt", "point", "punto", "arroba"))
 _MAPPED = frozenset(_TABLE)
 _TRANSLATE = {ord(c): s for c, s in _TABLE.items()}
@@ -194,6 +203,52 @@ def _back(starts, news, olds, at: int, last: bool) -> int:
     return olds[i][1] + at - news[i][1]
 
 
+def _joins(dot: str, before: str, label: str, spelled: bool) -> bool:
+    """Whether an address may go on over ``dot`` from one label to the next; ``spelled``: after a spelled dot."""
+    if dot.lower() in (" dot ", ".", _DOT):
+        return True
+    ended = before.lower() in _LAST_LABELS - _RESERVED
+    if spelled:
+        return dot[0] == " " and not ended and label in _LAST_LABELS
+    return not (dot == ". " and ended and label[0].isupper())  # else a sentence begins
+
+
+def _end(m: re.Match) -> int | None:
+    """The end of the longest address in a match of ``_WORDS``."""
+    spelled_at = m["at"].lower() == " at "
+    end, spelled, bracket, before = None, False, m["at"] == _AT, m["label"]
+    for x in _NEXT.finditer(m.string, *m.span("rest")):
+        dot, label = x["dot"], x["label"]
+        if not _joins(dot, before, label, spelled):
+            break
+        spelled |= dot.lower() == " dot " or dot == _DOT
+        bracket |= dot == _DOT
+        listed = label.lower() in _LAST_LABELS
+        free = spelled and label.isalpha() and 2 <= len(label) <= 24
+        if spelled_at and not bracket and m["label"].lower() in _ARTICLES:
+            free = False
+        if (listed or free) and (spelled or not spelled_at):
+            end = x.end()
+        before = label
+    return end
+
+
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """The edits that write spelled or spaced addresses with signs."""
+    edits, at = [], 0
+    while m := _WORDS.search(text, at):
+        end = _end(m)
+        if end is None:
+            at = m.end("at")  # what follows may be a local part
+            continue
+        found = [(*m.span("at"), "@")]
+        for begin, stop in (m.span("local"), (m.start("rest"), end)):
+            found += [(x.start(), x.end(), ".") for x in _DOT_WORD.finditer(text, begin, stop) if x.end() - x.start() > 1]
+        edits += sorted(e for e in found if text[e[0] : e[1]] not in (e[2], _AT))
+        at = end
+    return edits
+
+
 def rewrite(text: str) -> Rewritten | None:
     """The text in plain form; None if nothing in it asks for that."""
     odd = not text.isascii() and not _MAPPED.isdisjoint(set(text))
@@ -217,18 +272,10 @@ def rewrite(text: str) -> Rewritten | None:
             runs += [(p.start(), p.end(), new[p.lastgroup](p)) for p in pieces if p.lastgroup != "num"]
         r.edit(runs)
     if signs:
-        for pattern, sign in ((_BRACKET_AT, "@"), (_BRACKET_DOT, "."), (_SPACED_AT, "@")):
+        for pattern, sign in ((_BRACKET_AT, _AT), (_BRACKET_DOT, _DOT), (_SPACED_AT, "@")):
             r.edit([(m.start(), m.end(), sign) for m in pattern.finditer(r.text)])
-        words = []
-        for m in _WORDS.finditer(r.text):
-            known = re.split(r"[ .]", m[0])[-1].lower() in _LAST_LABELS
-            if not known or (m["at"].lower() == " at " and " dot " not in m["rest"].lower()):
-                continue
-            edits = [(*m.span("at"), "@")]
-            for part in ("local", "rest"):
-                edits += [(x.start(), x.end(), ".") for x in _DOT_WORD.finditer(r.text, *m.span(part)) if x.end() - x.start() > 1]
-            words += sorted(e for e in edits if r.text[e[0] : e[1]] != e[2])
-        r.edit(words)
+        r.edit(_addresses(r.text))
+        r.edit([(m.start(), m.end(), "@" if m[0] == _AT else ".") for m in _SIGNS.finditer(r.text)])
     return r if r.layers else None
 
 

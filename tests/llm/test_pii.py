@@ -94,6 +94,24 @@ def test_plain_prose_is_left_alone(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize("text,found", [
+    ("mail john at example dot com. Please reply", ["john at example dot com"]),
+    ("mail john at example dot com. It is open", ["john at example dot com"]),
+    ("mail john @ example . com. Please reply", ["john @ example . com"]),
+    ("mail john @ example . com. It is open", ["john @ example . com"]),
+    ("john @ example . co . uk", ["john @ example . co . uk"]),
+    ("john at example dot com. anna at example dot org.", ["john at example dot com", "anna at example dot org"]),
+    ("look at this. john at example dot com", ["john at example dot com"]),
+    ("john at example dot ca", ["john at example dot ca"]),
+    ("john at mail dot example dot dev, or anna (at) example dot pl. Please", ["john at mail dot example dot dev", "anna (at) example dot pl"]),
+    ("john at example (dot) photography", ["john at example (dot) photography"]),
+    ("john at a dot b dot c dot d dot e dot f dot g dot com", ["john at a dot b dot c dot d dot e dot f dot g dot com"]),
+])
+def test_spelled_addresses_end_where_they_end(text, found):
+    assert [text[s:e] for s, k, e in pii.find(text)[1] if pii.KINDS[k] == "email"] == found
+    assert pii.masked(text).count("[EMAIL]") == len(found)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([*"ab1 2@.оа​＠（)[]", "at", "dot ", " at ", "one ", "two ", "three ", "four "]), max_size=80))
 def test_spans_lie_in_the_text(parts):
