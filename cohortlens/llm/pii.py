@@ -5,13 +5,13 @@ leftmost and without overlap by kind; matches that fail a check are dropped.
 
 Added spans: transducers rewrite the text and keep, for every character of the new text, the source characters it
 stands for: look-alike letters, digits and signs to ASCII, invisible characters to nothing; digits spelled as
-words to digits; "at" and "dot" in brackets, between spaces, or as words to signs. The same
-detectors run on the result, and their spans are mapped back to the source. Words are rewritten only in
-runs that leave little doubt (four digit words, a whole address), so plain prose keeps its words. An address
+words to digits (and, as a second form of the text, left as they are); "at" and "dot" in brackets, between spaces, or as words to signs. The same
+detectors run on the results, and their spans are mapped back to the source. "at" and "dot" are rewritten only in
+whole addresses; every run with a digit word is, as the detectors settle which numbers count. An address
 ends in its last label that is a listed one, or any of 2 to 24 letters after a spelled or bracketed dot (not so in
-"at the dot matrix"); a full stop with a space after it ends an address that has a spelled dot. A span that lies within a base span of its kind adds nothing.
+"at the dot matrix"); a full stop with a space after it ends an address that has a spelled dot. A span that lies within another one of its kind adds nothing.
 
-Texts without a trigger (a mapped character, enough digit words, a disguised sign) are not rewritten at all. All
+Texts without a trigger (a mapped character, numbers with digit words that are long enough for a detector, a disguised sign) are not rewritten at all. All
 steps are linear in the text.
 
 Null text: empty, no span. Null doc_id is kept. Repeated rows: each gets its answer. Empty table: no row. Other
@@ -94,9 +94,11 @@ _TABLE = _mapped()
 _ODD = re.compile("[" + re.escape("".join(_TABLE)) + "]")
 _DIGIT_OF = {w: str(d) for d, words in enumerate(_SPELLED) for w in words}
 _WORD = "(?:" + "|".join(sorted(_DIGIT_OF, key=len, reverse=True)) + ")"
+_DIGIT_WORD = re.compile(_WORD)
 _ITEM = rf"(?:{_WORD}|[0-9]++)"
 _GAP = r"(?:[ ,]{1,2}|-| ?(?:dot|punkt|point|punto|\.) ?)"
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus )?{_ITEM}(?:{_GAP}{_ITEM}){{3,}}(?!\w)", re.I)
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus )?{_ITEM}(?:{_GAP}{_ITEM})*(?!\w)", re.I)
+_NUMBER = re.compile(rf"(?<!\w){_ITEM}(?:(?:[ ,().-]{{1,4}}| ?(?:dot|punkt|point|punto) ?){_ITEM})*", re.I)
 _PIECE = re.compile(rf"(?P<plus>plus )|(?P<word>{_WORD})|(?P<num>[0-9]++)|(?P<dot> ?(?:dot|punkt|point|punto|\.) ?)|(?P<gap>[ ,-]++)", re.I)
 _BRACKET_AT = re.compile(r" ?[\[({<] ?(?:at|@|arroba) ?[\])}>] ?", re.I)
 _BRACKET_DOT = re.compile(r" ?[\[({<] ?(?:dot|\.|punkt|point|punto) ?[\])}>] ?", re.I)
@@ -249,48 +251,75 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def rewrite(text: str) -> Rewritten | None:
-    """The text in plain form; None if nothing in it asks for that."""
+def _may_be_number(text: str) -> bool:
+    """Whether numbers with a digit word among them have as many digits or dots as some detector asks for."""
+    for m in _NUMBER.finditer(text):
+        words = digits = dots = 0
+        for p in _PIECE.finditer(m[0]):
+            words += p.lastgroup == "word"
+            digits += 1 if p.lastgroup == "word" else len(p[0]) if p.lastgroup == "num" else 0
+            dots += p.lastgroup == "dot"
+        if words and (digits >= 10 or dots >= 3):
+            return True
+    return False
+
+
+def _numbers(text: str) -> list[tuple[int, int, str]]:
+    """The edits that write runs with a digit word, or with a spelled dot, in digits."""
+    new = {"plus": lambda p: "+", "word": lambda p: _DIGIT_OF[p[0].lower()], "dot": lambda p: ".", "gap": lambda p: ""}
+    edits = []
+    for m in _SPELLED_RUN.finditer(text):
+        pieces = list(_PIECE.finditer(text, m.start(), m.end()))
+        # numbers that are written as such stay
+        if any(p.lastgroup == "word" for p in pieces) or (len(pieces) > 6 and re.search("dot|punkt|point|punto", m[0], re.I)):
+            edits += [(p.start(), p.end(), new[p.lastgroup](p)) for p in pieces if p.lastgroup != "num"]
+    return edits
+
+
+def rewrite(text: str) -> list[Rewritten]:
+    """The text in plain form, with digit words as they are and as digits; none if nothing in it asks for that."""
     odd = not text.isascii() and not _MAPPED.isdisjoint(set(text))
     low = (text.translate(_TRANSLATE) if odd else text).lower()
     words = low.translate(_APART).split()
-    numbers = [w for w in words if w in _DIGIT_OF]
-    spelled = len(numbers) >= 4 and len(set(numbers)) > 1
     signs = not _DOTS.isdisjoint(words) or any(h in low for h in _HINTS)
-    if not (odd or spelled or signs):
-        return None
-    r = Rewritten(text)
-    if odd:
-        r.edit([(m.start(), m.end(), _TABLE[m[0]]) for m in _ODD.finditer(text)])
-    if spelled or signs:
-        runs = []
-        for m in _SPELLED_RUN.finditer(r.text):
-            pieces = list(_PIECE.finditer(r.text, m.start(), m.end()))
-            if sum(p.lastgroup == "word" for p in pieces) < 4 and not re.search("dot|punkt|point|punto", m[0], re.I):
-                continue  # numbers that are written as such stay
-            new = {"plus": lambda p: "+", "word": lambda p: _DIGIT_OF[p[0].lower()], "num": lambda p: p[0], "dot": lambda p: ".", "gap": lambda p: ""}
-            runs += [(p.start(), p.end(), new[p.lastgroup](p)) for p in pieces if p.lastgroup != "num"]
-        r.edit(runs)
-    if signs:
-        for pattern, sign in ((_BRACKET_AT, _AT), (_BRACKET_DOT, _DOT), (_SPACED_AT, "@")):
-            r.edit([(m.start(), m.end(), sign) for m in pattern.finditer(r.text)])
-        r.edit(_addresses(r.text))
-        r.edit([(m.start(), m.end(), "@" if m[0] == _AT else ".") for m in _SIGNS.finditer(r.text)])
-    return r if r.layers else None
+    numbers = [w for w in words if w in _DIGIT_OF]
+    several = len(numbers) >= 4 and len(set(numbers)) > 1  # an address may hold them too
+    spelled = signs or several or (bool(numbers) or _DIGIT_WORD.search(low) is not None) and _may_be_number(low)
+    found = []
+    for digits in (False, True) if spelled else (False,):
+        r = Rewritten(text)
+        if odd:
+            r.edit([(m.start(), m.end(), _TABLE[m[0]]) for m in _ODD.finditer(text)])
+        if digits:
+            edits = _numbers(r.text)
+            if not edits:
+                break  # the same as before
+            r.edit(edits)
+        if signs:
+            for pattern, sign in ((_BRACKET_AT, _AT), (_BRACKET_DOT, _DOT), (_SPACED_AT, "@")):
+                r.edit([(m.start(), m.end(), sign) for m in pattern.finditer(r.text)])
+            r.edit(_addresses(r.text))
+            r.edit([(m.start(), m.end(), "@" if m[0] == _AT else ".") for m in _SIGNS.finditer(r.text)])
+        if r.layers:
+            found.append(r)
+    return found
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, added spans), each as (start, kind, end)."""
     base = detect(text)
-    plain = rewrite(text)
-    if plain is None:
-        return base, []
     added = set()
-    for begin, kind, end in detect(plain.text):
-        a, b = plain.source(begin, end)
-        if not any(k == kind and s <= a and b <= e for s, k, e in base):
+    for plain in rewrite(text):
+        for begin, kind, end in detect(plain.text):
+            a, b = plain.source(begin, end)
             added.add((a, kind, b))
-    return base, sorted(added)
+    kept = []
+    reach = dict.fromkeys(range(len(KINDS)), 0)  # the furthest end of the wider spans of a kind so far
+    for a, _, b, own, kind in sorted([(s, -e, e, False, k) for s, k, e in base] + [(s, -e, e, True, k) for s, k, e in added]):
+        if b > reach[kind] and own:
+            kept.append((a, kind, b))
+        reach[kind] = max(reach[kind], b)
+    return base, sorted(kept)
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

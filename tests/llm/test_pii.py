@@ -112,6 +112,24 @@ def test_spelled_addresses_end_where_they_end(text, found):
     assert pii.masked(text).count("[EMAIL]") == len(found)
 
 
+@pytest.mark.parametrize("text,kind,found", [
+    ("call +1 two one two 555 0199", "phone", "+1 two one two 555 0199"),
+    ("call +1 (two 12) 555-01 nine 9", "phone", "+1 (two 12) 555-01 nine 9"),
+    ("card 4111 1111 1111 one one one one", "card", "4111 1111 1111 one one one one"),
+    ("card 411111111111111 One", "card", "411111111111111 One"),
+    ("card " + "four four four zero " * 4, "card", ("four four four zero " * 4).strip()),
+    ("ip 192.168.one.1", "ip", "192.168.one.1"),
+    ("one ４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+])
+def test_partly_spelled_numbers(text, kind, found):
+    assert [(pii.KINDS[k], text[s:e]) for s, k, e in pii.find(text)[1]] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", ["one of 12 or 13, two of 1990 1991", "un, deux (trois) 4 5 6", "1 two 3 four 5 six 7 eight 9", "v1.two.three"])
+def test_short_numbers_with_digit_words_are_left_alone(text):
+    assert pii.find(text) == ([], [])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([*"ab1 2@.оа​＠（)[]", "at", "dot ", " at ", "one ", "two ", "three ", "four "]), max_size=80))
 def test_spans_lie_in_the_text(parts):
