@@ -111,7 +111,8 @@ _WORDS = re.compile(
 )
 _DOT_WORD = re.compile(r" dot | ?\. ?", re.I)
 _NEXT = re.compile(rf"(?P<dot> dot | ?\. ?|{_DOT})(?P<label>{_LABEL})", re.I)
-_HINTS = ("[.", "(.", "{.", "<.", "[at", "(at", "{at", "<at", "[ at", "( at", "[dot", "(dot", "{dot", "[@", "(@", "{@", "<@", " @", "@ ")
+_LOOSE_DOT = re.compile(rf"@{_LABEL}(?: \. ?|\. )[A-Za-z0-9]")
+_SIGN_FORMS = (_BRACKET_AT, _BRACKET_DOT, _LOOSE_DOT)
 _SIGNS = re.compile(f"[{_AT}{_DOT}]")
 _DOTS = frozenset(("dot", "punkt", "point", "punto", "arroba"))
 _MAPPED = frozenset(_TABLE)
@@ -281,7 +282,7 @@ def rewrite(text: str) -> list[Rewritten]:
     odd = not text.isascii() and not _MAPPED.isdisjoint(set(text))
     low = (text.translate(_TRANSLATE) if odd else text).lower()
     words = low.translate(_APART).split()
-    signs = not _DOTS.isdisjoint(words) or any(h in low for h in _HINTS)
+    signs = not _DOTS.isdisjoint(words) or " @" in low or "@ " in low or any(x.search(low) for x in _SIGN_FORMS)
     numbers = [w for w in words if w in _DIGIT_OF]
     several = len(numbers) >= 4 and len(set(numbers)) > 1  # an address may hold them too
     spelled = signs or several or (bool(numbers) or _DIGIT_WORD.search(low) is not None) and _may_be_number(low)

@@ -130,6 +130,22 @@ def test_short_numbers_with_digit_words_are_left_alone(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize("opened,closed", ["[]", "()", "{}", "<>"])
+@pytest.mark.parametrize("space", ["", " "])
+def test_every_bracket_form_is_seen(opened, closed, space):
+    for sign in ("at", "@", "arroba"):
+        text = f"john {opened}{space}{sign}{space}{closed} example.com"
+        assert [text[s:e] for s, _, e in pii.find(text)[1]] == [text]
+    for sign in ("dot", ".", "punkt", "point", "punto"):
+        text = f"john@example {opened}{space}{sign}{space}{closed} com"
+        assert [text[s:e] for s, _, e in pii.find(text)[1]] == [text]
+
+
+@pytest.mark.parametrize("text", ["john@example . com", "john@example. com", "john@example .com"])
+def test_loose_dots_after_a_sign_are_seen(text):
+    assert [text[s:e] for s, _, e in pii.find(text)[1]] == [text]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([*"ab1 2@.оа​＠（)[]", "at", "dot ", " at ", "one ", "two ", "three ", "four "]), max_size=80))
 def test_spans_lie_in_the_text(parts):
