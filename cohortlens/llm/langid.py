@@ -7,7 +7,10 @@ learned from a sample bounded by ``sample_per_language`` documents of at most ``
 Prediction, of whole texts: the script ranges of a word leave the languages that use its script; each of these
 gets the word's trigram score (all of them the same, if none uses the script). Viterbi with a
 switching penalty labels the words, many documents at a time; neighbours with one label are a span.
-A document's language is the one with most letters (of equals the first in order), its score their share.
+A document's language is the one with most letters (of equals the first in order), not counting words in a script
+that no learned language uses. Its score is their share of all letters; where fewer of their trigrams are known from
+the language's sample than new text of it has (Good-Turing: all but the share of those met once), it falls in
+proportion. So texts in other scripts, and nonsense, score low.
 
 Null text, or no letter: "und" with score 0; so also if there was nothing to learn from. Null doc_id: not held out,
 kept. Repeated rows: each gets its answer. Empty table: no row. Other columns are left out.
@@ -61,6 +64,7 @@ class Model:
     row: dict[str, int]  # trigram -> row of scores
     scores: np.ndarray  # log shares; the last row is that of trigrams never seen
     scripts: dict[str, np.ndarray]  # script -> which languages use it
+    expected: np.ndarray  # by language, the share of a new text's trigrams that the sample should hold
 
 
 def held_out(column="doc_id"):
@@ -100,7 +104,7 @@ def learn(docs: DataFrame, sample_per_language: int = 1500, sample_chars: int =
     table = sums.toArrow().to_pandas()  # trigrams of a bounded sample
     languages = sorted(table["lang"].unique())
     if not languages:
-        return Model([], {}, np.zeros((1, 0)), {})
+        return Model([], {}, np.zeros((1, 0)), {}, np.zeros(0))
     at = {lang: i for i, lang in enumerate(languages)}
     grams, used = table[table["kind"] == "gram"], table[table["kind"] == "script"]
     row = {g: i for i, g in enumerate(sorted(grams["name"].unique()))}
@@ -110,23 +114,28 @@ def learn(docs: DataFrame, sample_per_language: int = 1500, sample_chars: int =
     letters = used.groupby("lang")["n"].sum()
     for lang, script, n in zip(used["lang"], used["name"], used["n"]):
         scripts.setdefault(script, np.zeros(len(languages), bool))[at[lang]] |= n >= least_share * letters[lang]
-    return Model(languages, row, np.log(counts / counts.sum(axis=0)).astype(np.float32), scripts)
+    total, once = counts[:-1].sum(axis=0) - 0.5 * len(row), (counts[:-1] == 1.5).sum(axis=0)
+    expected = np.maximum(1 - once / np.maximum(total, 1), 1e-9)
+    return Model(languages, row, np.log(counts / counts.sum(axis=0)).astype(np.float32), scripts, expected)
 
 
 class WordScores:
-    """Scores and letters of each distinct word; at most ``kept`` words stay for the next call."""
+    """Scores and letters of each distinct word, its letters in scripts that some language uses (``own``), and these
+    in proportion to its trigrams that each language's sample holds (``seen``); at most ``kept`` words stay for the next call."""
 
     def __init__(self, model: Model, kept: int = 100_000):
         self.model, self.kept, self.index = model, kept, {}
         self.scores = np.zeros((1 << 12, len(model.languages)), np.float32)
-        self.letters = np.zeros(1 << 12, np.int64)
+        self.letters, self.own = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.seen = np.zeros(self.scores.shape, np.float32)
 
-    def _score(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, letters) of the tokens: sums over their runs of letters."""
+    def _score(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, letters, own, seen) of the tokens: sums over their runs of letters."""
         model, get, unseen = self.model, self.model.row.get, len(self.model.row)
         total, letters = np.zeros((len(tokens), len(model.languages)), np.float32), np.zeros(len(tokens), np.int64)
+        own, seen = np.zeros(len(tokens), np.int64), np.zeros(total.shape, np.float32)
         rows: list[int] = []
-        starts, owner, script = [], [], []
+        starts, owner, script, sizes = [], [], [], []
         kinds = {name: i for i, (name, use) in enumerate(model.scripts.items()) if use.any()}
         for i, token in enumerate(tokens):
             for word in (token,) if token.isalpha() else _LETTERS.findall(token):
@@ -136,16 +145,21 @@ class WordScores:
                     starts.append(len(rows))
                     owner.append(i)
                     script.append(kind)
+                    sizes.append(len(word))
                     rows += [get(g, unseen) for g in trigrams(word)]
         if starts:
-            sums = np.add.reduceat(model.scores[rows], starts, axis=0)
+            scores = model.scores[rows]
+            sums = np.add.reduceat(scores, starts, axis=0)
+            known = np.add.reduceat(scores > model.scores[-1], starts, axis=0, dtype=np.float32)
             use = np.stack(list(model.scripts.values()))[script]
             best = np.where(use, sums, -np.inf).max(axis=1, keepdims=True)
             np.add.at(total, owner, np.where(use, sums - best, FOREIGN).astype(np.float32))
-        return total, letters
+            np.add.at(own, owner, sizes)
+            np.add.at(seen, owner, known)  # a word of n letters has n trigrams
+        return total, letters, own, seen
 
     def look_up(self, tokens: list[str]) -> np.ndarray:
-        """Rows of ``scores`` and ``letters``. Rows of words that are not kept hold until the next call."""
+        """Rows of ``scores``, ``letters``, ``own`` and ``seen``. Rows of words that are not kept hold until the next call."""
         at = list(map(self.index.get, tokens))
         new = [i for i, found in enumerate(at) if found is None]
         kept = [i for i in new if len(tokens[i]) <= LONGEST_KEPT][: max(0, self.kept - len(self.index))]
@@ -153,11 +167,13 @@ class WordScores:
         if n + len(new) > len(self.letters):
             more = n + 2 * len(new) - len(self.letters)
             self.scores = np.concatenate([self.scores, np.zeros((more, self.scores.shape[1]), np.float32)])
-            self.letters = np.concatenate([self.letters, np.zeros(more, np.int64)])
+            self.seen = np.concatenate([self.seen, np.zeros((more, self.seen.shape[1]), np.float32)])
+            self.letters, self.own = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.letters, self.own))
         stays = set(kept)
         order = kept + [i for i in new if i not in stays]
         if order:
-            self.scores[n : n + len(order)], self.letters[n : n + len(order)] = self._score([tokens[i] for i in order])
+            new_rows = slice(n, n + len(order))
+            self.scores[new_rows], self.letters[new_rows], self.own[new_rows], self.seen[new_rows] = self._score([tokens[i] for i in order])
         for row, i in enumerate(order, n):
             at[i] = row
         self.index.update((tokens[i], at[i]) for i in kept)
@@ -216,10 +232,13 @@ def classify(texts: pa.Array, words: WordScores, penalty: float) -> Labelled:
     rows = rows[encoded.indices.to_numpy(zero_copy_only=False)]
     begins, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(n), sizes)
     labels = viterbi(words.scores[rows], begins, sizes, penalty) if words.model.languages else np.zeros(len(rows), np.int64)
-    held = np.bincount(doc * width + labels, weights=words.letters[rows], minlength=n * width).reshape(n, width)
-    letters, top = held.sum(axis=1), held.argmax(axis=1)
+    held = np.bincount(doc * width + labels, weights=words.own[rows], minlength=n * width).reshape(n, width)
+    letters, top = np.bincount(doc, weights=words.letters[rows], minlength=n), held.argmax(axis=1)
     known = (letters > 0) & bool(words.model.languages)
-    share = np.where(known, held[np.arange(n), top] / np.maximum(letters, 1), 0.0)
+    share = np.zeros(n)
+    if words.model.languages:
+        seen = np.bincount(doc, weights=np.where(labels == top[doc], words.seen[rows, labels], 0), minlength=n)
+        share = np.minimum(held[np.arange(n), top], seen / words.model.expected[top]) / np.maximum(letters, 1)
     return Labelled(labels, doc, begins, sizes, np.where(known, top, -1), share, letters)
 
 
@@ -257,8 +276,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, least_score: float = 0.4, penalty: float = 8.0) -> DataFrame:
-    """Rows of ``docs`` that have a language: texts without a letter go, and those of which no language holds
-    ``least_score`` of the letters. Where nothing could be learned, every text with a letter stays."""
+    """Rows of ``docs`` that have a language: texts without a letter go, and those whose language scores less
+    than ``least_score``: other scripts, nonsense, or parts in several languages. Where nothing could be learned, every text with a letter stays."""
     model = learn(docs.where(~held_out()))
 
     def choose(batches):

@@ -85,3 +85,17 @@ def test_viterbi_equals_the_plain_recursion():
             rows = scores[b : b + n]
             best = max(value(rows, p) for p in product(range(3), repeat=int(n)))
             assert abs(value(rows, labels[b : b + n].tolist()) - best) < 1e-4
+
+
+def test_other_scripts_and_nonsense_are_rejected(spark, model):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    rng = np.random.default_rng(5)
+    nonsense = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxzaeiou"), 7)) for _ in range(60)) for _ in range(5)]
+    odd = ["東京都は日本の首都です " * 10, "мир и свет над рекой " * 10, "東京都 " * 40 + docs.first().text[:20], *nonsense]
+    mixed = docs.unionByName(spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(odd)], docs.schema))
+    scores = {r.doc_id: r.score for r in langid.label(mixed, model).collect()}
+    assert all(scores[10**9 + i] < 0.4 for i in range(len(odd))), [scores[10**9 + i] for i in range(len(odd))]
+    kept = {r.doc_id for r in langid.accept(mixed).select("doc_id").collect()}
+    assert not kept & {10**9 + i for i in range(len(odd))}
+    clean = {i for i, t in rows_of(sf=SF01) if t and sum(c.isalpha() for c in t) >= 0.5 * len(t)}
+    assert len(clean) > 900 and clean <= kept
