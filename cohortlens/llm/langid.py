@@ -1,8 +1,8 @@
 """Language of documents, and of spans in mixed ones.
 
 Model: letter trigrams of words by language, and for each language the share of its letters in each script;
-learned from a sample bounded by ``sample_per_language`` documents of at most ``sample_chars`` characters a language
-(about that many, by a hash of doc_id; all, where there are fewer). The counts are sums over the sample by language and trigram.
+learned from a sample bounded by ``sample_per_language`` documents a language (about that many, by a hash of doc_id;
+all, where there are fewer) and the first ``sample_chars`` characters of each. The counts are sums over the sample by language and trigram.
 
 Prediction, of whole texts: the script ranges of a word leave the languages that use its script; each of these
 gets the word's trigram score (all of them the same, if none uses the script). Viterbi with a
@@ -74,8 +74,8 @@ def held_out(column="doc_id"):
 def learn(docs: DataFrame, sample_per_language: int = 1500, sample_chars: int = 20_000, least_share: float = 0.02) -> Model:
     """From (doc_id, text, lang): rows with null text or lang teach nothing."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = rows.groupBy("lang").agg((sample_per_language / F.count("*")).alias("share"))
     turn = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)).alias("turn")
     rows = rows.select("lang", "text", turn)

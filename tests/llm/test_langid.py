@@ -99,3 +99,11 @@ def test_other_scripts_and_nonsense_are_rejected(spark, model):
     assert not kept & {10**9 + i for i in range(len(odd))}
     clean = {i for i, t in rows_of(sf=SF01) if t and sum(c.isalpha() for c in t) >= 0.5 * len(t)}
     assert len(clean) > 900 and clean <= kept
+
+
+def test_languages_of_long_documents_are_learned(spark):
+    rows = [(i, "light over the river " * 2_000, "en", "s", 1) for i in range(5)] + [(100 + i, "licht ueber dem fluss", "de", "s", 1) for i in range(5)]
+    m = langid.learn(spark.createDataFrame(rows, DOCS))
+    assert m.languages == ["de", "en"]
+    got = langid.label(spark.createDataFrame([(1, "over the light river")], "doc_id LONG, text STRING"), m).first()
+    assert got.lang_pred == "en"
