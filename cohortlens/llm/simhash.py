@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import chunks, shared_folder, stored, texts_of
+from .common import chunks, shared_folder, ship, stored, texts_of
 
 SLICE_BYTES = 4 << 20
 LIST = 16_384
@@ -233,43 +234,49 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
+def grouped(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """doc_id, fp, root (smallest fingerprint reachable) and component_id (smallest doc_id reachable) of every row."""
     prints = fingerprints(docs, shingle)
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     known = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = stored(known, "nodes")
     least = stored(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = known.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    named = known.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
+    return grouped(docs, shingle, max_bits).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of rows that share it, the one whose
-    text hashes lowest). Rows without a doc_id stay only where their whole component has none: one row a fingerprint."""
-    found = near_duplicates(docs, shingle, max_bits)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("__first"))
-    order = Window.partitionBy("__first").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("__turn", F.row_number().over(order)).where(F.col("__turn") == 1).select(*docs.columns)
-    unnamed = docs.where(F.col("doc_id").isNull())
-    if unnamed.isEmpty():
-        return kept
-    alone = found.where(F.col("component_id").isNull()).select("fingerprint").distinct()
-    prints = fingerprints_of(unnamed, shingle).join(alone, "fingerprint", "left_semi")
-    turn = Window.partitionBy("fingerprint").orderBy(F.xxhash64("text"))
-    return kept.unionByName(prints.withColumn("__turn", F.row_number().over(turn)).where(F.col("__turn") == 1).select(*docs.columns))
-
-
-def fingerprints_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` with a column fingerprint (16 hex digits)."""
+    """``docs`` with one row of each component: that of the smallest doc_id, or one without a doc_id where the whole
+    component has none. Of several such rows it is one of the smallest fingerprint, and of these the one whose text
+    hashes lowest."""
+    found = grouped(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = found.groupBy("root").agg(F.min("fp").alias("__fp"), F.first("doc_id").alias("__first"))
+    key = ["__fp", "__id", "__none"]  # a null doc_id never equals one in a join
+
+    def keyed(rows, doc_id):
+        return rows.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")), "__none": F.col(doc_id).cast("long").isNull()})
+
+    kept = keyed(with_fingerprints(docs, shingle), "doc_id").join(keyed(first, "__first").select(*key), key)
+    order = Window.partitionBy(*key).orderBy(F.xxhash64("text"))
+    return kept.withColumn("__turn", F.row_number().over(order)).where(F.col("__turn") == 1).select(*docs.columns)
+
+
+def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` with a column __fp: the fingerprint's 64 bits, as ``fingerprints`` has them."""
+    ship(docs.sparkSession)
 
     def hashed(batches):
         for part in chunks(batches, "text", SLICE_BYTES):
-            fps = [f"{fingerprint((t or '').encode(), shingle):016x}" for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps, pa.string())], [*part.schema.names, "fingerprint"])
+            texts = part.column("text")
+            fps = np.fromiter((fingerprint(bytes(t.as_buffer()) if t.is_valid else b"", shingle) for t in texts), np.uint64, part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], [*part.schema.names, "__fp"])
 
-    return docs.drop("fingerprint").mapInArrow(hashed, docs.drop("fingerprint").schema.add("fingerprint", "string"))
+    return docs.mapInArrow(hashed, StructType([*docs.schema.fields, StructField("__fp", LongType())]))

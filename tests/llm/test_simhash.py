@@ -126,3 +126,10 @@ def test_one_row_of_each_group_stays(spark):
     alone = spark.createDataFrame([(None, "only here", "en", "s", 1)] * 2 + [(1, "q w e r", "en", "s", 1)], DOCS)
     assert tuples(simhash.keep_first(alone), "doc_id", "text") == sorted([(None, "only here"), (1, "q w e r")], key=repr)
     assert simhash.keep_first(no_docs(spark)).count() == 0
+
+
+def test_texts_that_share_a_doc_id_are_kept_by_group(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, one), (3, two)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert tuples(simhash.keep_first(docs), "doc_id", "text") == [(1, one), (1, two)]
