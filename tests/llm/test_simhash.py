@@ -133,3 +133,12 @@ def test_texts_that_share_a_doc_id_are_kept_by_group(spark):
     rows = [(1, one), (1, two), (2, one), (3, two)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     assert tuples(simhash.keep_first(docs), "doc_id", "text") == [(1, one), (1, two)]
+
+
+def test_one_row_of_each_unnamed_group_stays(spark):
+    base = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), "quite another text of some words"]
+    docs = spark.createDataFrame([(None, t, "en", "s", 1) for t in texts], DOCS)
+    assert simhash.near_duplicates(docs).select("fingerprint").distinct().count() == 3
+    kept = [t for _, t in tuples(simhash.keep_first(docs), "doc_id", "text")]
+    assert len(kept) == 2 and texts[2] in kept
