@@ -1,15 +1,13 @@
 import os
 import sys
-from datetime import datetime
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from cohortlens.session import build_session  # noqa: E402
-
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
+from model_rows import EVENTS_DDL, SUBS_DDL, USERS_DDL  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,18 +18,6 @@ def spark(tmp_path_factory):
     s.stop()
 
 
-def ts(s: str) -> datetime:
-    return datetime.fromisoformat(s)
-
-
-USERS_DDL = (
-    "user_id BIGINT, signup_date TIMESTAMP_NTZ, channel STRING, platform STRING, country STRING, "
-    "experiment_group STRING"
-)
-EVENTS_DDL = "user_id BIGINT, event_name STRING, event_date TIMESTAMP_NTZ"
-SUBS_DDL = "user_id BIGINT, subscribed_date TIMESTAMP_NTZ, plan STRING, price_usd DOUBLE"
-
-
 @pytest.fixture
 def make(spark):
     """make(kind, rows) -> DataFrame with the fixed schema of users / events / subscriptions."""

@@ -1,6 +1,6 @@
 """Churn rule, tiers, rollup, top-k."""
 
-from conftest import SF01, ts
+from model_rows import SF01, ts
 from cohortlens.operators import churn as C
 from cohortlens.plans import registry
 

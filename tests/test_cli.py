@@ -4,7 +4,7 @@ import os
 import subprocess
 import sys
 
-from conftest import SF001
+from model_rows import SF001
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 

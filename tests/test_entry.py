@@ -5,7 +5,7 @@ import math
 
 import duckdb
 
-from conftest import SF001
+from model_rows import SF001
 import __spark_entry__ as entry_mod
 from cohortlens.plans import registry
 from cohortlens.sources.tables import TABLE_NAMES, table_path
@@ -68,7 +68,7 @@ def test_kpi_and_payload(spark):
 def test_kpi_with_copied_users_rows(spark, make):
     from cohortlens.operators import churn, funnel, revenue, summary
     from cohortlens.sources.model import Model
-    from conftest import ts
+    from model_rows import ts
     u = [(1, ts("2025-01-01"), "referral", "iOS", "US", "control_self_serve"),
          (2, ts("2025-01-01"), "referral", "iOS", "US", "treatment_guided_edit")]
     e = [(1, "signup", ts("2025-01-01")), (2, "onboarding_complete", ts("2025-01-02"))]
@@ -124,7 +124,7 @@ def test_payload_sections_equal_the_sql_oracle(spark):
 def test_payload_keeps_null_fields_and_puts_them_last(make):
     from cohortlens.operators import summary
     from cohortlens.sources.model import Model
-    from conftest import ts
+    from model_rows import ts
     u = [(1, ts("2025-01-01"), "influencer", "iOS", "US", "control_self_serve"),
          (2, ts("2025-01-01"), "referral", "iOS", "US", "control_self_serve")]
     m = Model(make("users", u), make("events", [(2, "signup", ts("2025-01-01"))]),
@@ -148,6 +148,6 @@ def test_summary_of_an_empty_model(make):
 def test_labels_and_tiers_differ(spark):
     labels = registry.QUERIES["channel_labels"](spark, SF001).collect()
     assert any(r.channel != r.channel_label for r in labels)
-    from conftest import SF01
+    from model_rows import SF01
     tiers = registry.QUERIES["conversion_tiers_custom"](spark, SF01).collect()
     assert {r.conversion_tier for r in tiers} == {"High Conv", "Converted", "Standard"}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, ts
+from model_rows import SF001, ts
 from cohortlens.functions.columns import cumulative_cuts, hash_bucket, weighted_choice
 from cohortlens.operators import explore as X
 from cohortlens.plans import registry

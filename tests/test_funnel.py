@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF01, ts
+from model_rows import SF01, ts
 from cohortlens.operators import flags, funnel
 from cohortlens.plans import registry
 

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from conftest import SF001
+from model_rows import SF001
 from cohortlens.plans import catalog, registry
 from cohortlens.plans.registry import QUERIES
 from cohortlens.sources.model import load_model

@@ -1,6 +1,6 @@
 """Data-quality checks on clean and dirty rows."""
 
-from conftest import SF001, ts
+from model_rows import SF001, ts
 from cohortlens.operators import quality as Q
 from cohortlens.plans import registry
 

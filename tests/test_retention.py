@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF01, ts
+from model_rows import SF01, ts
 from cohortlens.operators import retention as R
 from cohortlens.plans import registry
 

@@ -1,7 +1,7 @@
 """Revenue segmentation."""
 
 
-from conftest import SF01, ts
+from model_rows import SF01, ts
 from cohortlens.operators import revenue as V
 from cohortlens.plans import registry
 

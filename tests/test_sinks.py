@@ -4,7 +4,7 @@ import glob
 import os
 import tempfile
 
-from conftest import SF001
+from model_rows import SF001
 from cohortlens.plans.analyze import analyze, stored_model
 from cohortlens.sources import sinks
 

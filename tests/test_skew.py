@@ -34,7 +34,7 @@ def fixture_rows():
 @pytest.fixture(scope="module")
 def data(spark):
     users, events, subs = fixture_rows()
-    from conftest import EVENTS_DDL, SUBS_DDL, USERS_DDL
+    from model_rows import EVENTS_DDL, SUBS_DDL, USERS_DDL
     u = spark.createDataFrame(users, USERS_DDL)
     e = spark.createDataFrame(events, EVENTS_DDL)
     s = spark.createDataFrame(subs, SUBS_DDL)

@@ -124,7 +124,7 @@ def test_z_critical():
 
 
 def test_whatif_sizes(spark, make):
-    from conftest import ts
+    from model_rows import ts
     users = make("users", [(i, ts("2025-01-01"), "referral", None, None,
                             "control_self_serve" if i % 2 == 0 else "treatment_guided_edit") for i in range(40)])
     events = make("events", [(i, "onboarding_complete", ts("2025-01-02")) for i in range(40) if i % 4 != 0 or i % 2 == 1])
