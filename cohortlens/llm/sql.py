@@ -39,4 +39,35 @@ WITH rules(host_end, path_start, verdict) AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fits USING (n)
 """
 
-ORACLES = {"op1_exact_topk": OP1, "op4_url_rules": OP4}
+# Every document that shares a term with an item scored, then ranked.
+OP12 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts
+  FROM documents
+), sizes AS (
+  SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n FROM docs WHERE len(ts) > 0
+), total AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes
+), wanted AS (
+  SELECT item_id, t, count(*) AS c
+  FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)
+  )
+  GROUP BY item_id, t
+), held AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM docs) WHERE t IN (SELECT t FROM wanted) GROUP BY r, t
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY t, n_docs
+), scored AS (
+  SELECT item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM wanted JOIN held USING (t) JOIN weights USING (t) JOIN sizes USING (r), total
+  GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranked WHERE k <= 20
+"""
+
+ORACLES = {"op1_exact_topk": OP1, "op4_url_rules": OP4, "op12_fp_search": OP12}
