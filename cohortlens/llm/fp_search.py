@@ -4,12 +4,13 @@
    the terms of the items. Document counts of the terms, N and L come from the stored result.
 2. Each task packs its documents some at a time into an FP-tree: a document is the list of its terms, the
    most frequent in the corpus first, so that documents share the path of what they begin with alike. Sorted by
-   these lists, a node is a range of documents. Nodes of over ``LOOSE`` documents are made when they are first
-   visited, with the largest tf of each term and the smallest m below them; smaller ones are their documents.
+   these lists, a node is a range of documents. Nodes are made when they are first visited, with the largest tf of
+   each term and the smallest m below them. Children of up to ``LOOSE`` documents are put together, that many
+   neighbours at a time, each such group with its own maxima and minimum.
 3. For each item, depth first: a node's bound is the score of a document that had the subtree's largest tf of every
-   term and its smallest m (the score rises with tf and falls with m). Children are taken by descending bound; a
-   node whose bound lies below the k-th best score so far is left out, documents are scored exactly. The best
-   of an item stay from tree to tree of a task.
+   term and its smallest m (the score rises with tf and falls with m). Children are taken by descending bound;
+   nodes and groups whose bound lies below the k-th best score so far are left out, the documents of the
+   other groups are scored exactly. The best of an item stay from tree to tree of a task.
 4. The best of all tasks, ranked in two steps.
 
 Items are taken some at a time (``items_at_once``, ``item_bytes``); each such block of the query set goes over all
@@ -28,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from .common import chunks, stored, texts_of
 SLICE_BYTES = 4 << 20
 CELLS = 6 << 20  # of a tree's matrix (documents by terms)
 DOCS = 4096
-LOOSE = 24
+LOOSE = 16
 SALTS = 64
 FOUND = "item int, doc_id long, score long"
 
@@ -90,6 +92,17 @@ def contribution(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (1_000_000_000 * tf) // (1000 * tf + 12 * m)
 
 
+class Node(NamedTuple):
+    """A visited node: larger children with their bounds (term by child); the documents of the others (``loose``)
+    with bounds of each ``LOOSE`` that follow each other, and what their terms add."""
+
+    inner: list
+    bounds: np.ndarray
+    loose: np.ndarray
+    loose_bounds: np.ndarray
+    adds: np.ndarray
+
+
 class Tree:
     """The FP-tree of some documents. A document: (doc_id, m, term ranks ascending, tfs); rank 0 is the most frequent term."""
 
@@ -106,47 +119,62 @@ class Tree:
         row = np.repeat(place, ends - starts)
         self.tf = np.zeros((len(order), width), np.uint32)
         self.tf[row, ranks] = tfs
-        self.adds = np.zeros((len(order), width), np.int32)
+        self.adds = np.zeros((len(order), width), np.float32)  # whole numbers up to 10**6: exact
         self.adds[row, ranks] = contribution(tfs, np.repeat(m, ends - starts))
-        self.known: dict[tuple[int, int, int], tuple] = {}
+        self.known: dict[tuple[int, int, int], Node] = {}
 
-    def children(self, node: tuple[int, int, int]) -> tuple[list, np.ndarray, np.ndarray]:
-        """(nodes, what each term can add below each of them, documents that lie in none of them)."""
-        made = self.known.get(node)
+    def node(self, at: tuple[int, int, int]) -> Node:
+        """The node of documents lo to hi that share their first ``depth`` terms."""
+        made = self.known.get(at)
         if made is None:
-            lo, hi, depth = node
+            lo, hi, depth = at
             first = lo + int(np.searchsorted(self.size[lo:hi] > depth, True))  # lists that end here sort first
             term = self.ranks[self.start[first:hi] + depth]
             edges = first + np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1], [True]])) if first < hi else np.array([hi])
-            spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-            nodes = [(a, b, depth + 1) for a, b in spans if b - a > LOOSE]
-            loose = [np.arange(lo, first)] + [np.arange(a, b) for a, b in spans if b - a <= LOOSE]
-            bounds = np.zeros((len(nodes), self.tf.shape[1]), np.int32)
-            for i, (a, b, _) in enumerate(nodes):
-                most = self.tf[a:b].max(axis=0).astype(np.int64)
-                bounds[i] = contribution(most, self.m[a:b].min())
-            made = self.known[node] = nodes, bounds, np.concatenate(loose)
+            spans = [(lo, first)] * (first > lo) + list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+            inner = [(a, b, depth + 1) for a, b in spans if b - a > LOOSE and a >= first]
+            loose = [np.arange(a, b) for a, b in spans if b - a <= LOOSE or a < first]
+            loose = np.concatenate(loose) if loose else np.zeros(0, np.int64)
+            cuts = list(range(0, len(loose), LOOSE))
+            bounds = self._bounds([slice(a, b) for a, b, _ in inner]), self._bounds([loose[c : c + LOOSE] for c in cuts])
+            made = self.known[at] = Node(inner, bounds[0], loose, bounds[1], np.ascontiguousarray(self.adds[loose].T))
         return made
 
+    def _bounds(self, groups: list) -> np.ndarray:
+        """What each term can add in each group of documents: by its largest tf and the smallest m there."""
+        out = np.zeros((self.tf.shape[1], len(groups)), np.float32)
+        for i, g in enumerate(groups):
+            out[:, i] = contribution(self.tf[g].max(axis=0).astype(np.int64), self.m[g].min())
+        return out
+
     def search(self, ranks: np.ndarray, weights: np.ndarray, k: int, best: Best) -> int:
         """Put the documents that can be among the ``k`` best into ``best``; returns how many were scored."""
         scored = 0
+        small = int(weights.sum()) < 1 << 33  # times 10**6 below 2**53: doubles add up exactly
+        weights = weights.astype(np.float64) if small else weights
+
+        def total(adds: np.ndarray) -> np.ndarray:
+            return (weights @ adds.astype(weights.dtype)).astype(np.int64)
+
         todo = [(1 << 62, (0, len(self.ids), 0))]
         while todo:
-            bound, node = todo.pop()
+            bound, at = todo.pop()
             if bound < max(1, best.least):
                 continue
-            nodes, bounds, loose = self.children(node)
-            if len(loose):
-                scored += len(loose)
-                scores = self.adds[loose[:, None], ranks] @ weights
-                good = scores >= max(1, best.least)
-                if good.any():
-                    at = loose[good]
-                    best.put(scores[good], self.none[at], self.ids[at])
-            if nodes:
-                reach = bounds[:, ranks] @ weights
-                todo += [(int(reach[i]), nodes[i]) for i in np.argsort(reach, kind="stable").tolist() if reach[i] >= max(1, best.least)]
+            node = self.node(at)
+            if len(node.loose):
+                near = total(node.loose_bounds[ranks]) >= max(1, best.least)
+                if near.any():
+                    own = np.flatnonzero(np.repeat(near, LOOSE)[: len(node.loose)])
+                    scored += len(own)
+                    scores = total(node.adds[ranks[:, None], own])
+                    good = scores >= max(1, best.least)
+                    if good.any():
+                        docs = node.loose[own[good]]
+                        best.put(scores[good], self.none[docs], self.ids[docs])
+            if node.inner:
+                reach = total(node.bounds[ranks])
+                todo += [(int(reach[i]), node.inner[i]) for i in np.argsort(reach, kind="stable").tolist() if reach[i] >= max(1, best.least)]
         return scored
 
 
