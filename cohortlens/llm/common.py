@@ -69,6 +69,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def parts_for(df: DataFrame, bytes_a_task: int) -> int:
+    """Tasks for ``df``: one for each ``bytes_a_task`` that Catalyst estimates (files: their size), at least
+    spark.sql.shuffle.partitions. Without an estimate (rows of an RDD): that setting."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 62 else max(least, -(-size // bytes_a_task))
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string) of ``docs``; null text: empty. Other columns are left out,
     so that no name of theirs can clash."""

@@ -36,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, texts_of
+from .common import chunks, parts_for, stored, texts_of
 
 SLICE_BYTES = 4 << 20
 CELLS = 6 << 20  # of a tree's matrix (documents by terms)
 DOCS = 4096
+TASK_BYTES = 32 << 20
 LOOSE = 16
 SALTS = 64
 FOUND = "item int, doc_id long, score long"
@@ -289,6 +290,8 @@ def _search(docs: DataFrame, block: list[tuple], k: int) -> DataFrame | None:
                 item = pa.array(np.full(len(b.ids), i), pa.int32())
                 yield pa.RecordBatch.from_arrays([item, pa.array(b.ids, mask=b.none), pa.array(b.score)], ["item", "doc_id", "score"])
 
-    found = vectors.where(F.size("terms") > 0).mapInArrow(run, FOUND)
+    # far smaller than the texts, but more work: dealt to tasks by the size of the texts
+    dealt = vectors.where(F.size("terms") > 0).repartition(parts_for(docs, TASK_BYTES), F.xxhash64("doc_id", "n", "terms"))
+    found = dealt.mapInArrow(run, FOUND)
     names = docs.sparkSession.createDataFrame([(i, item_id) for i, (item_id, _) in enumerate(block)], "item int, item_id long")
     return stored(found.join(names, "item").select("item_id", "doc_id", "score"), "search-results")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, bpe, exact_topk, fp_search, langid, packing, pii, simhash, sql, substring, token_store, url_rules
+from . import (
+    ann_tree, bpe, conversation_repair, exact_topk, fp_search, langid, packing, pii, sign_dedup, simhash, sql, substring, token_store, url_rules,
+)
 from .common import new_path
 from .encoder import vocabulary
 
@@ -71,11 +73,19 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_sign_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return sign_dedup.near_duplicates(_table(spark, d, "embeddings"), threshold=0.95)
+
+
 def op12_fp_search(spark: SparkSession, d: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     return fp_search.search(_table(spark, d, "documents"), _table(spark, d, "benchmark"), k=20)
 
 
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(_table(spark, d, "conversations"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_kmeans_tree": op2_kmeans_tree,
@@ -87,7 +97,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language": op9_language,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_sign_dedup": op11_sign_dedup,
     "op12_fp_search": op12_fp_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 

@@ -39,6 +39,31 @@ WITH rules(host_end, path_start, verdict) AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fits USING (n)
 """
 
+# All pairs by cosine; the ids reached from each vector by links.
+OP11 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.95
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reached GROUP BY a
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(vec_id = coalesce(component_id, vec_id), false) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counts ON vec_id = counts.a
+"""
+
 # Every document that shares a term with an item scored, then ranked.
 OP12 = r"""
 WITH docs AS (
@@ -70,4 +95,4 @@ WITH docs AS (
 SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranked WHERE k <= 20
 """
 
-ORACLES = {"op1_exact_topk": OP1, "op4_url_rules": OP4, "op12_fp_search": OP12}
+ORACLES = {"op1_exact_topk": OP1, "op4_url_rules": OP4, "op11_sign_dedup": OP11, "op12_fp_search": OP12}
