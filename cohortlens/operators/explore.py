@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import stored
+from . import pages
 
 # strings and names in quotes, comments, semicolons, single characters
 _PIECES = re.compile(r"""(?P<skip>--[^\n]*|/\*.*?\*/|;)|(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|.)""", re.S)
@@ -38,24 +39,24 @@ def adhoc_sql(spark: SparkSession, sql_text: str, args: Mapping[str, Any] | None
     return spark.sql(query_only(sql_text), args=dict(args) if args else None)
 
 
-def adhoc_result(
-    spark: SparkSession, sql_text: str, args: Mapping[str, Any] | None = None, path: str | None = None
-) -> dict:
-    """Result shape of the query endpoint: status, elapsed_ms, columns and every row.
+def adhoc_result(spark: SparkSession, sql_text: str, args: Mapping[str, Any] | None = None, path: str | None = None) -> dict:
+    """Result shape of the query endpoint: status, elapsed_ms, count, columns and every row.
 
-    Without ``path`` the rows are a DataFrame (``rows``), which the caller writes, counts or shows. With ``path`` the whole
-    result is written there as Parquet, and ``count`` is the number of written rows.
+    The whole result is written as Parquet (to ``path``, or a folder of the shared one): ``rows`` is a DataFrame of it, and ``result``
+    a ``pages.Result`` whose pages are read without the others.
     """
     start = time.perf_counter()
     try:
-        df = adhoc_sql(spark, sql_text, args)
-        result = {"status": "success", "columns": df.columns, "rows": df}
-        if path is not None:
-            df.write.parquet(path)
-            result["rows"] = spark.read.schema(df.schema).parquet(path)
-            result |= {"path": path, "count": result["rows"].count()}
-        result["elapsed_ms"] = round((time.perf_counter() - start) * 1000, 2)
-        return result
+        found = pages.store(adhoc_sql(spark, sql_text, args), path)
+        return {
+            "status": "success",
+            "columns": found.schema.names,
+            "rows": spark.read.schema(found.schema).parquet(found.path),
+            "result": found,
+            "path": found.path,
+            "count": found.count,
+            "elapsed_ms": round((time.perf_counter() - start) * 1000, 2),
+        }
     except Exception as exc:  # reported to the caller, as the endpoint does
         return {"status": "error", "error_message": str(exc)}
 

@@ -1,94 +1,83 @@
-"""One pass over the model for the summary: a stored table of facts, and one aggregate of it.
+"""One row per user for the summary, and one aggregate of these rows.
 
-``user_facts`` reduces each relation to its users before anything is joined:
-
-* users to (user_id, channel, experiment_group, signup month) with the number of copies: at most
-  one row a user and combination of dimensions, however often a key is repeated;
-* events and subscriptions to one row a user.
-
-The full outer join of the three keeps orphans. ``summary_cells`` then adds up everything that the
-summary shows (by channel, arm, cohort and in all) in one aggregate over the stored facts: each fact
-row contributes to a handful of cells.
+Each relation is first reduced to its users, in partial rows that can be put together again: ``people_rows`` (a row a
+user and combination of dimensions, with its number of copies), ``act_rows`` and ``bill_rows`` (a row a user). ``facts_of``
+joins the three in full, which keeps orphans, and holds a user's distinct dimensions as a small array: one row
+a user, stored. ``summary_cells`` adds up everything that the summary shows (by channel, arm, cohort and in all)
+in one aggregate: a user contributes once to each cell that its array names. No window, no distinct.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.months import active_in, month_bits, slots_around, slots_in
 from ..session import stored
 from ..sources.model import Model
 from .churn import risk_score
 from .flags import activity_flags
-from .retention import month_number, month_start
+from .retention import month_start
 from .revenue import subscriptions_per_user
 
 STAGES = (("onboarded", "has_onboarded"), ("edited", "has_edited"), ("trialed", "has_trialed"), ("subscribed", "is_subscribed"))
+DIMENSIONS = ("channel", "experiment_group", "signup_month")
 
-# flags of one row a user, and a user and dimension
-IN = {"in_user": (), "in_channel": ("channel",), "in_group": ("experiment_group",), "in_cohort": ("signup_month",)}
-
-
-def _first(*keys: str) -> Column:
-    """1 for one row of each key, else 0. A user has at most one row a combination of dimensions."""
-    order = Window.partitionBy(*keys).orderBy(F.col("copies").isNull(), "channel", "experiment_group", "signup_month")
-    return F.when(F.row_number().over(order) == 1, 1).otherwise(0)
 
-
-def user_facts(model: Model) -> DataFrame:
-    """The stored fact table of a model."""
-    users, events, subscriptions = model
-    people = (
+def people_rows(users: DataFrame) -> DataFrame:
+    """user_id, channel, experiment_group, signup_month, copies, last_signup, bad_users."""
+    return (
         users.withColumn("signup_month", month_start(F.col("signup_date")))
-        .groupBy("user_id", "channel", "experiment_group", "signup_month")
+        .groupBy("user_id", *DIMENSIONS)
         .agg(
             F.count(F.lit(1)).alias("copies"),
             F.max("signup_date").alias("last_signup"),
             F.count_if(F.col("signup_date").isNull() | F.col("channel").isNull()).alias("bad_users"),
         )
     )
-    month = F.when((F.col("event_name") == K.EV_APP_OPEN), month_start(F.col("event_date")))
-    acts = activity_flags(
+
+
+def act_rows(events: DataFrame, slots: Sequence[int]) -> DataFrame:
+    """user_id (also NULL), counts and flags of its events, its first one, and its months of activity as bits."""
+    return activity_flags(
         events,
         extra=(
             F.min("event_date").alias("first_event"),
             F.count_if(F.col("event_name").isNull() | F.col("event_date").isNull()).alias("bad_events"),
-            F.collect_set(month).alias("open_months"),  # a date a month of activity at most
+            *month_bits(F.col("event_date"), F.col("event_name") == K.EV_APP_OPEN, slots),
         ),
         nameless=True,
         unique=False,
     )
-    bills = subscriptions_per_user(subscriptions, extra=(F.count_if(F.col("price_usd").isNull()).alias("bad_bills"),), nameless=True)
-    # rows without a user_id meet no others: some people rows, one of events, one of subscriptions
-    joined = people.join(acts, "user_id", "full_outer").join(bills, "user_id", "full_outer")
-    nameless = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("copies", "event_rows", "n_subs")), F.lit(0))
-    flagged = joined.select(
-        "*",
-        *(_first("user_id", *k).alias(n) for n, k in IN.items()),
-        F.sum("copies").over(Window.partitionBy("user_id")).alias("all_copies"),
-        F.min("channel").over(Window.partitionBy("user_id")).alias("one_channel"),
-        F.col("copies").isNotNull().alias("person"),
-        F.when(F.col("user_id").isNull(), nameless).otherwise(0).alias("nameless"),
-    )
-    return stored(flagged, "user_facts")
 
 
-def _cells() -> Column:
-    """The cells that a fact row belongs to: (kind, k1, k2)."""
+def bill_rows(subscriptions: DataFrame) -> DataFrame:
+    """user_id (also NULL), rev, annual_rev, n_subs, bad_bills."""
+    return subscriptions_per_user(subscriptions, extra=(F.count_if(F.col("price_usd").isNull()).alias("bad_bills"),), nameless=True)
 
-    def cell(kind, k1=None, k2=None):
-        text = F.lit(None).cast("string") if k1 is None else k1
-        number = F.lit(None).cast("int") if k2 is None else k2
-        return F.struct(F.lit(kind).alias("kind"), text.alias("k1"), number.alias("k2"))
 
-    cohort = F.date_format("signup_month", "yyyy-MM")
-    months = F.array_distinct(F.transform("open_months", lambda m: month_number(m, F.col("signup_month"))))
-    kept = F.filter(months, lambda m: m.isin(*K.RETENTION_MONTHS))
-    active = F.when(F.col("in_cohort") == 1, F.transform(kept, lambda m: cell("active", cohort, m)))
-    every = F.array(cell("all"), cell("channel", F.col("channel")), cell("group", F.col("experiment_group")), cell("cohort", cohort))
-    own = F.when(F.col("person"), every).otherwise(F.array(cell("all")))
-    return F.concat(own, F.coalesce(active, F.array().cast("array<struct<kind: string, k1: string, k2: int>>")))
+def user_facts(model: Model) -> DataFrame:
+    """The stored facts of a model. (The first and last signup month are read while the plan is built.)"""
+    slots = slots_around(model.users, "signup_date", K.RETENTION_MONTHS, K.DAYS_PER_MONTH_BUCKET)
+    return facts_of(people_rows(model.users), act_rows(model.events, slots), bill_rows(model.subscriptions))
+
+
+def facts_of(people: DataFrame, acts: DataFrame, bills: DataFrame) -> DataFrame:
+    """One stored row per user_id of any relation, and up to three for rows without one."""
+    each = people.groupBy("user_id").agg(
+        # as many entries as a user has distinct dimensions
+        F.collect_list(F.struct(*DIMENSIONS, "copies")).alias("dims"),
+        F.sum("copies").alias("all_copies"),
+        F.min("channel").alias("one_channel"),
+        F.max("last_signup").alias("last_signup"),
+        F.sum("bad_users").alias("bad_users"),
+    )
+    # rows without a user_id meet no others
+    joined = each.join(acts, "user_id", "full_outer").join(bills, "user_id", "full_outer")
+    return stored(joined, "user_facts")
 
 
 def scored(facts: DataFrame) -> DataFrame:
@@ -99,48 +88,71 @@ def scored(facts: DataFrame) -> DataFrame:
     return facts.withColumns(flags | {"risk_score": score})
 
 
+def _cells(slots: Sequence[int]) -> Column:
+    """The cells that a user belongs to: (kind, k1, k2, copies of its rows there)."""
+
+    def cell(kind: str, k1: Column | None = None, k2: Column | None = None, copies: Column | None = None) -> Column:
+        text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+        return F.struct(
+            F.lit(kind).alias("kind"), (text if k1 is None else k1).alias("k1"), (number if k2 is None else k2).alias("k2"),
+            (F.lit(None).cast("long") if copies is None else copies).alias("copies"),
+        )
+
+    def own(kind: str, field: str, text=lambda v: v) -> Column:
+        def copies(value: Column) -> Column:
+            return F.aggregate(F.filter("dims", lambda d: d[field].eqNullSafe(value)), F.lit(0).cast("long"), lambda a, d: a + d["copies"])
+
+        values = F.array_distinct(F.transform("dims", lambda d: d[field]))
+        return F.transform(values, lambda v: cell(kind, text(v), copies=copies(v)))
+
+    def month(v: Column) -> Column:
+        return F.date_format(v, "yyyy-MM")
+
+    starts = F.array_distinct(F.transform("dims", lambda d: d["signup_month"]))
+    active = F.flatten(F.transform(starts, lambda m: F.filter(
+        F.array(*(F.when(active_in(m, n, K.DAYS_PER_MONTH_BUCKET, slots), cell("active", month(m), F.lit(n))) for n in K.RETENTION_MONTHS)),
+        lambda c: c.isNotNull(),
+    )))
+    every = F.array(cell("all", copies=F.col("all_copies")))
+    dims = F.concat(every, own("channel", "channel"), own("group", "experiment_group"), own("cohort", "signup_month", month), active)
+    return F.when(F.col("dims").isNotNull(), dims).otherwise(every)
+
+
 def summary_cells(facts: DataFrame) -> DataFrame:
     """kind, k1, k2 and sums: 'all', 'channel', 'group', 'cohort' and 'active' (cohort, month number); stored. As many
     rows as there are channels, arms and cohort months."""
-    f = scored(facts)
-    person = F.col("person") & F.col("user_id").isNotNull()
-    once = {"channel": "in_channel", "group": "in_group", "cohort": "in_cohort", "all": "in_user", "active": "in_cohort"}
-    member = F.lit(0)
-    for kind, flag in once.items():
-        member = F.when(F.col("cell.kind") == kind, F.col(flag)).otherwise(member)
-    member = F.when(person, member).otherwise(0)
-    # the user's row in the churn counts; users without a key are one user there
-    mine = F.when(F.col("person") & (F.col("in_user") == 1), 1).otherwise(0)
-    one = (F.col("in_user") == 1) & F.col("user_id").isNotNull()  # also of orphans
-    score = F.col("risk_score")
+    named, person = F.col("user_id").isNotNull(), F.col("dims").isNotNull()
+    churning = person & (F.col("cell.kind") == "all")  # users without a key are one user there
+    score, copies = F.col("risk_score"), F.col("cell.copies")
 
     def total(value: Column, when: Column) -> Column:
         return F.sum(F.when(when, value))
 
     def count(when: Column) -> Column:
-        return F.coalesce(F.sum(F.when(when, 1)), F.lit(0)).cast("bigint")
+        return F.count_if(F.coalesce(when, F.lit(False)))
+
+    def some(*columns: str) -> Column:
+        return sum((F.coalesce(F.col(c), F.lit(0)) for c in columns), F.lit(0))
 
-    rows = f.withColumn("cell", F.explode(_cells())).withColumn("member", member).withColumn("mine", mine)
-    orphan = one & ~F.col("person")
+    rows = scored(facts).withColumn("cell", F.explode(_cells(slots_in(facts.columns))))
+    member, orphan = person & named, named & ~person
+    bad = some("bad_users", "bad_events", "bad_bills")
     return stored(
         rows.groupBy("cell.kind", "cell.k1", "cell.k2").agg(
-            F.sum("member").cast("bigint").alias("users"),
-            *(count((F.col("member") == 1) & (F.col(c) == 1)).alias(n) for n, c in STAGES),
-            total(F.col("rev") * F.col("copies"), person).cast("double").alias("rev"),
-            total(F.col("annual_rev") * F.col("copies"), person).cast("double").alias("annual_rev"),
-            count((F.col("member") == 1) & F.col("n_subs").isNotNull()).alias("paying"),
-            count((F.col("mine") == 1) & (score >= K.CHURN_HIGH)).alias("high"),
-            count((F.col("mine") == 1) & (score >= K.CHURN_MEDIUM) & (score < K.CHURN_HIGH)).alias("medium"),
-            count((F.col("mine") == 1) & (score < K.CHURN_MEDIUM)).alias("low"),
-            total(score, F.col("mine") == 1).alias("risk"),
-            total(F.col("copies"), person).alias("copies"),
+            count(member).alias("users"),
+            *(count(member & (F.col(c) == 1)).alias(n) for n, c in STAGES),
+            total(F.col("rev") * copies, member).cast("double").alias("rev"),
+            total(F.col("annual_rev") * copies, member).cast("double").alias("annual_rev"),
+            count(member & F.col("n_subs").isNotNull()).alias("paying"),
+            count(churning & (score >= K.CHURN_HIGH)).alias("high"),
+            count(churning & (score >= K.CHURN_MEDIUM) & (score < K.CHURN_HIGH)).alias("medium"),
+            count(churning & (score < K.CHURN_MEDIUM)).alias("low"),
+            total(score, churning).alias("risk"),
+            total(copies, member).alias("copies"),
             total(F.col("event_rows"), orphan).alias("orphan_events"),
             total(F.col("n_subs"), orphan).alias("orphan_bills"),
-            (
-                F.coalesce(total(F.col("bad_users"), person), F.lit(0))
-                + F.coalesce(total(F.coalesce(F.col("bad_events"), F.lit(0)) + F.coalesce(F.col("bad_bills"), F.lit(0)), one), F.lit(0))
-                + F.sum("nameless")
-            ).alias("bad"),
+            # a row without a user_id is bad as such
+            F.sum(F.when(named, bad).otherwise(some("all_copies", "event_rows", "n_subs"))).alias("bad"),
         ),
         "summary_cells",
     )

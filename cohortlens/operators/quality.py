@@ -71,12 +71,16 @@ def count_early_events(users: DataFrame, events: DataFrame, broken: DataFrame) -
         .where(F.col("signup_date").isNotNull())
         .groupBy("user_id", "signup_date")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    salt = F.pmod(F.xxhash64("event_date"), F.lit(SALTS)).cast("int")
     dated = events.where(F.col("user_id").isNotNull() & F.col("event_date").isNotNull())
-    own = dated.withColumn("salt", salt).groupBy("user_id", "salt", "event_date").agg(F.count(F.lit(1)).alias("n"))
-    early = own.join(dates, ["user_id", "salt"]).where(F.col("event_date") < F.col("signup_date"))
+    return early_pairs(dates, dated.groupBy("user_id", "event_date").agg(F.count(F.lit(1)).alias("n")))
+
+
+def early_pairs(dates: DataFrame, own: DataFrame) -> DataFrame:
+    """One row, invalid_date_count, from (user_id, signup_date, copies) and (user_id, event_date, n)."""
+    salt = F.pmod(F.xxhash64("event_date"), F.lit(SALTS)).cast("int")
+    spread = dates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    early = own.withColumn("salt", salt).join(spread, ["user_id", "salt"]).where(F.col("event_date") < F.col("signup_date"))
     total = F.sum(F.col("n") * F.col("copies"))
     return early.agg(F.coalesce(total, F.lit(0)).cast("bigint").alias("invalid_date_count"))
 

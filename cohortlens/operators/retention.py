@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import pct
+from ..functions.months import active_in, month_bits, slots_around
 
 
 def month_start(ts: Column) -> Column:
@@ -47,38 +48,40 @@ def cohort_retention(
 ) -> DataFrame:
     """cohort_month, cohort_users, month_number, retained_users, retention_pct.
 
-    Plan: activity events are first reduced to distinct (user, activity
-    month) pairs and users to distinct cohort rows (partial aggregation, so a
-    hot user is at most one row per month and copies of a user one row), then
-    joined, bucketed, de-duplicated per (cohort, month, user) on the join's
-    user partitioning and counted. Cohort sizes are
-    a per-month aggregate; AQE turns that join into a broadcast at runtime.
-    Absent cells stay absent rows.
+    Plan: each user's months of activity are bits of a few longs (``functions.months``), put together map-side, and
+    each user's signup months one small set, so a hot user or a user key copied often is one row a task. Both lie
+    by user_id for the join; a cohort's cells are bit tests, and its size and all its cells are
+    counted in one aggregate: four exchanges with the order. Absent cells stay absent rows. The first and last
+    signup month are read while the plan is built.
     """
-    active_months = (
-        events.where((F.col("event_name") == activity_event) & F.col("user_id").isNotNull())
-        .select("user_id", month_start(F.col("event_date")).alias("event_month"))
-        .distinct()
-    )
-    # distinct cohort rows: copies of a user collapse map-side before the join
-    cells = (
-        active_months.join(cohorts(users).distinct(), "user_id")
-        .select("cohort_month", "user_id", month_number(F.col("event_month"), F.col("signup_month"), days).alias("month_number"))
-        .where(F.col("month_number").isin(*months))
-    )
-    retained = cells.groupBy("cohort_month", "month_number").agg(F.countDistinct("user_id").alias("retained_users"))
-    table = retention_table(retained, cohort_size(users))
+    dated = users.where(F.col("user_id").isNotNull() & F.col("signup_date").isNotNull())
+    slots = slots_around(dated, "signup_date", months, days)
+    active = F.lit(True)
+    bits = events.where((F.col("event_name") == activity_event) & F.col("user_id").isNotNull()).groupBy("user_id")
+    bits = bits.agg(*(month_bits(F.col("event_date"), active, slots) or [F.lit(None).alias("none")]))
+    # a signup month for each distinct one of the copies of a user key
+    starts = dated.groupBy("user_id").agg(F.collect_set(month_start(F.col("signup_date"))).alias("starts"))
+    member = starts.join(bits, "user_id", "left").withColumn("start", F.explode("starts"))
+    flags = [F.count_if(active_in(F.col("start"), n, days, slots)).alias(f"n{i}") for i, n in enumerate(months)]
+    cells = member.groupBy(F.date_format("start", "yyyy-MM").alias("cohort_month")).agg(F.count(F.lit(1)).alias("cohort_users"), *flags)
+    listed = F.array(*(F.struct(F.lit(n).alias("month_number"), F.col(f"n{i}").alias("retained_users")) for i, n in enumerate(months)))
+    found = cells.select("cohort_month", "cohort_users", F.explode(F.filter(listed, lambda c: c["retained_users"] > 0)).alias("c"))
+    table = with_pct(found.select("cohort_month", "cohort_users", "c.month_number", "c.retained_users"))
     return table.orderBy("cohort_month", "month_number") if ordered else table
 
 
-def retention_table(retained: DataFrame, sizes: DataFrame) -> DataFrame:
-    """From (cohort_month, month_number, retained_users) and (cohort_month, cohort_users)."""
-    return retained.join(sizes, "cohort_month").select(
+def with_pct(cells: DataFrame) -> DataFrame:
+    return cells.select(
         "cohort_month", "cohort_users", "month_number", "retained_users",
         pct("retained_users", "cohort_users", 1).alias("retention_pct"),
     )
 
 
+def retention_table(retained: DataFrame, sizes: DataFrame) -> DataFrame:
+    """From (cohort_month, month_number, retained_users) and (cohort_month, cohort_users)."""
+    return with_pct(retained.join(sizes, "cohort_month"))
+
+
 def retention_curve(retention: DataFrame) -> DataFrame:
     """Unweighted mean of the rounded cohort percentages per month number."""
     return (

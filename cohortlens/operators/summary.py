@@ -18,11 +18,12 @@ from . import churn, experiment, facts, funnel, quality, retention, revenue
 
 
 class Analyses:
-    """The analyses of one model, from its facts and their sums."""
+    """The analyses of one model, from its facts and their sums. ``stored_facts`` and ``early`` (one row of
+    ``quality.count_early_events``): as kept by ``state.ModelState``, instead of a pass over the model."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, stored_facts: DataFrame | None = None, early: DataFrame | None = None):
         self.model = model
-        self.facts = facts.user_facts(model)
+        self.facts = facts.user_facts(model) if stored_facts is None else stored_facts
         cells = self.cells = facts.summary_cells(self.facts)
 
         def of(kind: str) -> DataFrame:
@@ -54,14 +55,16 @@ class Analyses:
             F.sum("orphan_bills").alias("orphan_bills"),
             F.sum("bad").alias("bad"),
         )
-        broken = self.facts.where(F.col("first_event") < F.col("last_signup")).select("user_id").distinct()
-        self.report = quality.report_table(counts, quality.count_early_events(model.users, model.events, broken))
+        if early is None:
+            broken = self.facts.where(F.col("first_event") < F.col("last_signup")).select("user_id")
+            early = quality.count_early_events(model.users, model.events, broken)
+        self.report = quality.report_table(counts, early)
         # a row for an empty model, too
         self.rollup = everyone.agg(
             *(F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_risk_count") for c in ("high", "medium", "low")),
             F.coalesce(F.round(F.sum("risk") / F.nullif(F.sum(F.col("high") + F.col("medium") + F.col("low")), F.lit(0)), 1), F.lit(0.0)).alias("avg_churn_risk_pct"),
         )
-        people = facts.scored(self.facts.where(F.col("person") & (F.col("in_user") == 1)))
+        people = facts.scored(self.facts.where(F.col("dims").isNotNull()))
         self.at_risk = churn.at_risk_users(people.withColumn("channel", F.col("one_channel")))
 
 

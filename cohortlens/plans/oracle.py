@@ -267,6 +267,9 @@ FROM scores""",
 })
 
 
+LATER_USERS = f"SELECT * REPLACE (signup_date + INTERVAL 30 DAY AS signup_date) FROM ({REAL_USERS})"
+
+
 def _with(final_sql: str, model: bool = True, users: str = REAL_USERS) -> str:
     """``final_sql`` after all CTEs; ``model=False`` leaves out the derivation
     of m_users / m_events / m_subscriptions so that they resolve to tables;
@@ -582,13 +585,30 @@ FROM events WHERE user_id IS NOT NULL GROUP BY user_id""",
             f"SELECT channel, COUNT(*) AS n_users FROM m_users GROUP BY channel HAVING COUNT(*) >= {params.min_users}"
         ),
         "result_search": _with(_result_search(params.search_term)),
+        "result_search_indexed": _with(
+            "SELECT * FROM m_events WHERE contains(lower(user_id || ' ' || event_name || ' ' || CAST(event_date AS VARCHAR)), "
+            f"lower('{params.event_term}'))"
+        ),
+        "bucketed_funnel": _with("SELECT * FROM funnel"),
+        "bucketed_revenue": _with("SELECT * FROM revenue"),
+        "bucketed_ab_readout": _with("SELECT * FROM readout"),
+        "bucketed_churn_features": _with("SELECT * FROM features"),
         "kpi_summary": _with(_kpi()),
         "payload_long": _with(_payload_long()),
+        "kpi_summary_from_state": _with(_kpi()),
+        "payload_from_state": _with(_payload_long()),
+        "dq_report_from_state": _with("SELECT * FROM dq_report", users=LATER_USERS),
         "saved_funnel": _with("SELECT * FROM funnel"),
         "saved_cohort": _with("SELECT * FROM retention"),
         "saved_ab_test": _with("SELECT * FROM readout"),
         "saved_revenue": _with("SELECT * FROM revenue"),
         "layout_events": _with("SELECT * FROM m_events"),
+        "layout_events_zorder": _with("SELECT * FROM m_events"),
+        "replaced_users": _with("SELECT * FROM m_users"),
+        "result_pages": _with(
+            "SELECT *, row_number() OVER (ORDER BY user_id, event_date, event_name) - 1 AS row_number, "
+            f"(row_number() OVER (ORDER BY user_id, event_date, event_name) - 1) // {params.page_size} AS page_number FROM m_events"
+        ),
         "layout_users": _with("SELECT * FROM m_users"),
         "layout_subscriptions": _with("SELECT * FROM m_subscriptions"),
     }

@@ -7,7 +7,6 @@ parameters (a user id, a channel, a salt, a search term) only select or label.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import hash_bucket, map_lookup, weighted_choice
-from ..operators import churn, experiment, explore, flags, funnel, quality, retention, revenue, summary
-from ..session import shared_folder
-from ..sources import sinks
+from ..operators import churn, experiment, explore, flags, funnel, pages, quality, retention, revenue, state, summary, text_index
+from ..session import new_path
+from ..sources import buckets, sinks, snapshots, zorder
 from ..sources.model import load_model, raw_event_log, register_model_views
 from ..sources.tables import read_table
 from . import catalog, oracle
@@ -32,7 +31,9 @@ class Params:
     salt: str = "exp1"
     min_users: int = 10
     search_term: str = "build"
+    event_term: str = f"{K.EV_TRIAL} 1995-0".upper()
     typed_id: str = " user_0011 "
+    page_size: int = 500
     tiers: tuple[tuple[float, str], ...] = ((50.0, "High Conv"), (45.0, "Converted"))
 
 
@@ -106,11 +107,16 @@ def _repeated(m):
     )
 
 
+def _early(m):
+    """The model with signups a month later, so that events precede them."""
+    return m._replace(users=m.users.withColumn("signup_date", F.col("signup_date") + F.expr("INTERVAL 30 DAYS")))
+
+
 def _layout(table: str, write) -> Builder:
     """Write the relation's layout and read it back."""
 
     def build(spark: SparkSession, d: str) -> DataFrame:
-        path = f"{shared_folder(spark)}/layout-{uuid.uuid4().hex}"
+        path = new_path(spark, "layout")
         relation = getattr(load_model(spark, d), table)
         write(relation, path)
         return spark.read.parquet(path).select(*relation.columns)
@@ -118,6 +124,38 @@ def _layout(table: str, write) -> Builder:
     return build
 
 
+def _replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Users stored as a table that is then replaced by a query on itself."""
+    table = new_path(spark, "users-table")
+    sinks.write_table(load_model(spark, d).users.withColumn("country", F.lower("country")), table)
+    sinks.write_table(snapshots.read(spark, table).withColumn("country", F.upper("country")), table)
+    snapshots.expire(spark, table, keep=1)
+    return snapshots.read(spark, table)
+
+
+def _pages(m):
+    """All events in order as a stored result, with row and page numbers."""
+    return pages.numbered(pages.store(m.events.orderBy("user_id", "event_date", "event_name")), PARAMS.page_size)
+
+
+def _search(m):
+    """A term in all events by an index of the stored result."""
+    result = pages.store(m.events)
+    text_index.build(result)
+    return text_index.search(result, PARAMS.event_term)
+
+
+def _bucketed(fn):
+    """Builder over the model stored in buckets by user."""
+
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        base = new_path(spark, "buckets")
+        buckets.write_model(load_model(spark, d), base)
+        return fn(buckets.read_model(spark, base))
+
+    return build
+
+
 def _funnel(m):
     return funnel.funnel_by_channel(m.users, m.events)
 
@@ -199,14 +237,25 @@ QUERIES: dict[str, Builder] = {
     "saved_cohort": _saved("cohort"),
     "saved_ab_test": _saved("ab_test"),
     "saved_revenue": _saved("revenue"),
+    "result_search_indexed": _m(_search),
     "result_search": _m(lambda m: explore.result_search(_funnel(m), PARAMS.search_term)),
     # summary
     "kpi_summary": _m(summary.kpi_summary),
     "dashboard_payload": _m(lambda m: summary.dashboard_payload(m, catalog.SAVED_SQL)),
     "payload_long": _m(summary.payload_long),
+    "kpi_summary_from_state": lambda s, d: state.in_two_steps(load_model(s, d), new_path(s, "kept")).kpi_summary(),
+    "payload_from_state": lambda s, d: summary.payload_long(None, state.in_two_steps(load_model(s, d), new_path(s, "kept")).analyses()),
+    "dq_report_from_state": lambda s, d: state.in_two_steps(_early(load_model(s, d)), new_path(s, "kept")).analyses().report,
     # stored layouts, written and read back
     "layout_events": _layout("events", sinks.write_event_layout),
     "layout_users": _layout("users", sinks.write_user_layout),
+    "layout_events_zorder": _layout("events", zorder.write),
+    "replaced_users": _replaced,
+    "bucketed_funnel": _bucketed(_funnel),
+    "bucketed_revenue": _bucketed(_revenue),
+    "bucketed_ab_readout": _bucketed(lambda m: experiment.ab_readout(m.users, m.events)),
+    "bucketed_churn_features": _bucketed(lambda m: churn.churn_features(m.users, m.events)),
+    "result_pages": _m(_pages),
     "layout_subscriptions": _layout("subscriptions", sinks.write_subscription_layout),
 }
 

@@ -1,4 +1,4 @@
-"""Writers: tables, the event-log layout, CSV / JSON / text exports.
+"""Writers: tables, layouts, CSV / JSON / text exports.
 
 All writers are distributed Spark writes (one file per task, committed by
 Spark's output committer). Nothing is collected to the driver.
@@ -6,15 +6,17 @@ Spark's output committer). Nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import snapshots
 from .model import Model
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Replace-write a table as Parquet."""
-    df.write.mode(mode).parquet(path)
+def write_table(df: DataFrame, path: str) -> None:
+    """Replace a table: its next version (``snapshots``). A failed write leaves the old one, and a table can be replaced
+    by a query on itself; ``snapshots.read`` reads it, ``snapshots.expire`` deletes versions."""
+    snapshots.write(df, path)
 
 
 def write_model(model: Model, base_dir: str) -> None:
@@ -67,14 +69,31 @@ def write_subscription_layout(subscriptions: DataFrame, path: str, num_files: in
     subscriptions.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header line, one file a task."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def csv_lines(df: DataFrame, quote_all: bool = False) -> DataFrame:
+    """One column, ``value``: the header, then a line a row in the order of ``df``.
+
+    Values are quoted where they hold a comma, a quote or a line break, with ``quote_all`` all of them; quotes inside are
+    doubled. NULL is empty (with ``quote_all`` an empty pair of quotes). Names in the header are quoted only where they must be.
+    """
+
+    def text(value: Column, always: bool) -> Column:
+        quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+        return quoted if always else F.when(value.rlike('[",\r\n]'), quoted).otherwise(value)
+
+    values = [text(F.coalesce(df[f"`{c}`"].cast("string"), F.lit("")), quote_all) for c in df.columns]
+    names = F.concat_ws(",", *(text(F.lit(c), False) for c in df.columns))
+    header = df.sparkSession.range(1, numPartitions=1).select(names.alias("value"))
+    return header.unionByName(df.select(F.concat_ws(",", *values).alias("value")))
+
+
+def export_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
+    """CSV in parts whose names are in order; the header is in the first alone, so the parts one after another are the file."""
+    csv_lines(df, quote_all).write.mode("overwrite").text(path)
 
 
 def export_csv_quoted(df: DataFrame, path: str) -> None:
-    """CSV with every value quoted (embedded quotes are escaped; NULL stays empty)."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    """CSV with every value quoted and the header as it is."""
+    export_csv(df, path, quote_all=True)
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:

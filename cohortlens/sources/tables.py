@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from . import snapshots
+
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -47,5 +49,8 @@ def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
 
 
 def read_model_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """Read a stored users/events/subscriptions table with its fixed schema."""
-    return spark.read.schema(MODEL_SCHEMAS[name]).parquet(f"{base_dir.rstrip('/')}/{name}")
+    """Read a stored users/events/subscriptions table (``sinks.write_model``) with its fixed schema."""
+    found = snapshots.version(spark, f"{base_dir.rstrip('/')}/{name}")
+    if found is None:
+        raise LookupError(f"no {name} below {base_dir}")
+    return spark.read.schema(MODEL_SCHEMAS[name]).parquet(found.data)

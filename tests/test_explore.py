@@ -36,6 +36,7 @@ def test_adhoc_result_has_every_row(spark, tmp_path):
     res = X.adhoc_result(spark, text)
     assert res["status"] == "success" and len(res["rows"].collect()) == n
     assert res["columns"] == ["user_id", "event_name", "event_date"]
+    assert res["count"] == n
     written = X.adhoc_result(spark, text, path=str(tmp_path / "all"))
     assert written["count"] == n == spark.read.parquet(written["path"]).count()
     assert X.adhoc_result(spark, "SELECT nope FROM m_users")["status"] == "error"

@@ -1,6 +1,8 @@
 """Writers and the analyze run."""
 
+import csv
 import glob
+import io
 import os
 import tempfile
 
@@ -13,20 +15,41 @@ def scratch():
     return tempfile.mkdtemp(prefix="cohortlens-test-", dir="/tmp")
 
 
-def test_quoted_csv(spark):
+def in_order(path):
+    return "".join(open(p, newline="").read() for p in sorted(glob.glob(f"{path}/part-*")))
+
+
+ROWS = [("a", 1, None), ('say "hi"', 2, 1.5), ("x,y", 3, -0.25), (None, None, None), ("two\nlines", 4, 1e10), ("", 5, 0.0)]
+
+
+def test_csv_parts_are_one_file(spark):
+    """Two parts and the header, byte for byte."""
     out = scratch()
-    df = spark.createDataFrame([("a", 1, None), ('say "hi"', 2, 1.5)], "s STRING, n INT, x DOUBLE").coalesce(1)
+    df = spark.createDataFrame(ROWS, "s STRING, n INT, `x,1` DOUBLE")
+    assert df.rdd.getNumPartitions() > 1
+    sinks.export_csv(df, f"{out}/c")
     sinks.export_csv_quoted(df, f"{out}/q")
-    text = open(glob.glob(f"{out}/q/part-*.csv")[-1]).read()
-    assert text.splitlines()[0] == '"s","n","x"'
-    rows = "".join(open(p).read() for p in glob.glob(f"{out}/q/part-*.csv"))
-    assert '"a","1",""' in rows
+    assert len(glob.glob(f"{out}/c/part-*")) > 2
+    assert in_order(f"{out}/c") == (
+        's,n,"x,1"\na,1,\n"say ""hi""",2,1.5\n"x,y",3,-0.25\n,,\n"two\nlines",4,1.0E10\n,5,0.0\n'
+    )
+    assert in_order(f"{out}/q") == (
+        's,n,"x,1"\n"a","1",""\n"say ""hi""","2","1.5"\n"x,y","3","-0.25"\n"","",""\n"two\nlines","4","1.0E10"\n"","5","0.0"\n'
+    )
+    read = list(csv.reader(io.StringIO(in_order(f"{out}/q"))))
+    assert [r[0] for r in read[1:]] == [r[0] or "" for r in ROWS]
+
+
+def test_csv_of_nothing_is_its_header(spark):
+    out = scratch()
+    sinks.export_csv(spark.createDataFrame([], "s STRING, n INT"), f"{out}/c")
+    assert in_order(f"{out}/c") == "s,n\n"
 
 
 def test_analyze_writes_everything(spark):
     out = scratch()
     paths = analyze(spark, SF001, out)
-    header = open(glob.glob(f"{paths['funnel_csv']}/part-*.csv")[0]).readline().strip()
+    header = in_order(paths["funnel_csv"]).splitlines()[0]
     assert header.split(",") == [
         "channel", "signups", "onboarded", "pct_onboarded", "edited", "pct_onboarded_to_edit", "trialed",
         "pct_edit_to_trial", "subscribed", "pct_trial_to_paid", "overall_conversion_pct"]
