@@ -30,11 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts_of
+from .common import gathered, parts_for, texts_of
 from .units import UnitMemo, gather, matches_of, unit_of
 
 BLOCK_BYTES = 8 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
+TASK_BYTES = 64 << 20
+FEWEST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 256, 4096, 256 << 20
+KNOWN_WORDS = 200_000
 BACK = "bucket int, block long, doc_ids array<long>, counts array<long>, payload binary"
 LAST = 1 << 30  # "bucket" of a block's positions: they follow its words
 
@@ -139,7 +142,7 @@ def split(docs: DataFrame, buckets: int, positions: bool, block_bytes: int = BLO
                 yield _row(BACK, b, block, None, None, data)
 
         memo = None
-        for part in chunks(batches, "text", min(SLICE_BYTES, block_bytes)):
+        for part in gathered(batches, "text", min(SLICE_BYTES, block_bytes)):
             memo = memo or UnitMemo(expand, 100_000)
             values, counts = memo.run(part.column("text"))
             ids = part.column("doc_id").to_pylist()
@@ -182,32 +185,37 @@ def encode_words(words: DataFrame, ranks_path: str, buckets: int) -> DataFrame:
                 for w in unzip.decompress(data).split(b"\xff"):
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = tuple(merge(w, ranks))
+                        ids = tuple(merge(w, ranks))
+                        if len(known) < KNOWN_WORDS:  # beyond them a word is merged for each of its blocks
+                            known[w] = ids
                     found.append(ids)
                 lengths = np.fromiter(map(len, found), np.uint32, len(found))
                 ids = np.array([i for x in found for i in x], np.uint32)
                 yield _row(BACK, bucket, block, None, None, _join(_pack(lengths), _pack(ids)))
 
-    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(buckets, max(buckets // 4, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return (
         words.select("bucket", "block", "payload")
-        .repartition(min(tasks, buckets), "bucket")
+        .repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(encode, BACK)
     )
 
 
-def assemble(positions: DataFrame, encoded: DataFrame) -> DataFrame:
+def assemble(positions: DataFrame, encoded: DataFrame, tasks: int) -> DataFrame:
     """(doc_id, ids array<int>) from the words' ids and the positions of each block."""
 
     def build(batches):
         starts: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         flat: list[np.ndarray] = []
-        used, current = 0, None
+        used, current, before = 0, None, None
         for batch in batches:
             for r in range(batch.num_rows):
                 bucket, block, doc_ids, counts, data = (batch.column(i)[r].as_py() for i in range(5))
+                if bucket < LAST and (block, bucket) == before:
+                    continue  # of an equal block: the same words
+                before = block, bucket
                 a, b = map(_unpack, _parts(data))
                 if bucket < LAST:
                     if block != current:
@@ -230,7 +238,6 @@ def assemble(positions: DataFrame, encoded: DataFrame) -> DataFrame:
                 start, length = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
                 start[order], length[order] = np.concatenate(starts), np.concatenate(lengths)
                 ids = np.concatenate(flat)
-                starts, lengths, flat, used = [], [], [], 0
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 begin = 0
                 while begin < len(counts):  # some documents at a time
@@ -242,16 +249,16 @@ def assemble(positions: DataFrame, encoded: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[begin:end], pa.int64()), lists], ["doc_id", "ids"])
                     begin = end
 
-    tasks = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = encoded.unionByName(positions).repartition(tasks, "block").sortWithinPartitions("block", "bucket")
     return rows.mapInArrow(build, "doc_id long, ids array<int>")
 
 
-def encode(docs: DataFrame, ranks_path: str, buckets: int = 256, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, ids array<int>) of every document. The documents are read twice, for words and for positions (storing
     the blocks would take as much disk as the table): a table or a stored DataFrame gives the same blocks each time."""
+    buckets = buckets or min(MOST_BUCKETS, max(FEWEST_BUCKETS, parts_for(docs, BUCKET_BYTES)))
     words = encode_words(split(docs, buckets, False, block_bytes), ranks_path, buckets)
-    return assemble(split(docs, buckets, True, block_bytes), words)
+    return assemble(split(docs, buckets, True, block_bytes), words, parts_for(docs, TASK_BYTES))
 
 
 def _table(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -53,9 +53,9 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Let the Python workers import this package: where PYTHONPATH does not name it, Spark
-    sends them its source files, once an application. Arrow batches of whole texts are kept
-    smaller than Spark's default, as an executor holds some of them for each core."""
-    if int(spark.conf.get(ARROW_ROWS)) == 10_000:
+    sends them its source files, once an application. Where the caller has set no number of rows for Arrow
+    batches, they are kept smaller than Spark's default, as an executor holds some whole texts for each core."""
+    if spark.conf.get(ARROW_ROWS, "-1") == "-1":  # not set
         spark.conf.set(ARROW_ROWS, "1000")
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
@@ -103,6 +103,30 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
         pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """``chunks`` of about ``max_bytes`` each, whatever the size of the batches: small ones are put together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= max_bytes:
+            yield from chunks(pa.Table.from_batches(held).combine_chunks().to_batches(), column, max_bytes)
+            held, size = [], 0
+    if size:
+        yield from chunks(pa.Table.from_batches(held).combine_chunks().to_batches(), column, max_bytes)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def finite_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id long, vec array<double>) without rows whose id or vector is null or whose vector
     is empty or holds a null or non-finite component."""

@@ -4,13 +4,13 @@ Candidates lie in bands of ``BAND`` vectors by descending length, queries in til
 tile meets every band that can still matter (a stated query set against all rows, in blocks).
 
 1. The band of the longest vectors gives each query a first threshold: its k-th best score there.
-2. A tile is joined to a band only if the tile's longest query times the band's longest vector
-   reaches the tile's lowest threshold.
+2. Bands are numbered by descending length, so those that the tile's longest query can reach at its lowest
+   threshold come first: a tile is copied to these only, told by the lengths of at most ``MARKS`` bands.
 3. Within a (tile, band) vectors come by descending length, some at a time. A rotation by the right
-   singular vectors of a bounded sample moves most of the length into the first coordinates: their
-   partial sum plus the product of the two residual lengths bounds the score (Cauchy-Schwarz), and
-   pairs whose bound lies below the threshold are dropped. The others are scored exactly, and the
-   thresholds rise. Equal scores are kept for the tie rule.
+   singular vectors of a bounded sample moves most of the length into the first coordinates. Partial sums grow by
+   an eighth of the coordinates at a time; each plus the product of the two residual lengths bounds the score
+   (Cauchy-Schwarz), and pairs whose bound lies below the threshold are dropped after each. What is left in the
+   end is scored exactly, and the thresholds rise. Equal scores are kept for the tie rule.
 4. One window over what is left of each query.
 
 The rotation only sets how early a pair is dropped, never which: it may come from any sample.
@@ -33,8 +33,9 @@ from .common import finite_vectors, stored
 from .vectors import MATRIX, best_of, matrix_of, matrix_values, prefixed, same_width, unpack_lists, widen
 
 TILE, BAND, STEP = 1024, 4096, 1024
+PARTS = 8  # partial sums
+MARKS = 1 << 16  # lengths of bands that a task knows
 EXACT = float(1 << 53)
-DENSE = 0.02
 
 
 def rotation(vectors: DataFrame, sample: int) -> np.ndarray:
@@ -85,40 +86,40 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search(q_ids, q, x_ids, x, turn, limit, k):
-    """(query row, score, candidate row) of what can be among the k best, given thresholds ``limit``
-    (-inf: none yet). x by descending length."""
+    """((query row, score, candidate row) of what can be among the k best, the risen thresholds, number of pairs scored
+    exactly), given thresholds ``limit`` (-inf: none yet). x by descending length."""
     dim = max(q.shape[1], x.shape[1], turn.shape[0])
     q, x = widen(q, dim), widen(x, dim)
     if turn.shape[0] < dim:  # coordinates that the sample doesn't have stay as they are
         full = np.eye(dim)
         full[: turn.shape[0], : turn.shape[0]] = turn
         turn = full
-    head = max(1, dim // 4)
+    cuts = sorted({dim * c // PARTS for c in range(PARTS + 1)})
     qr, xr = q @ turn, x @ turn
     q_len, x_len = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
-    q_rest, x_rest = np.sqrt((qr[:, head:] ** 2).sum(axis=1)), np.sqrt((xr[:, head:] ** 2).sum(axis=1))
+    # lengths of what each partial sum leaves out
+    q_rest, x_rest = (np.sqrt(np.stack([(m[:, c:] ** 2).sum(axis=1) for c in cuts], axis=1)) for m in (qr, xr))
     kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    limit = limit.copy()
-    small = not len(q) or not len(x) or float(np.abs(q).max()) * float(np.abs(x).max()) * dim < EXACT
+    limit, scored = limit.copy(), 0
     for begin in range(0, len(x), STEP):
         end = min(begin + STEP, len(x))
         slack = 1e-9 * q_len * x_len[begin] + 1e-9  # of rounding in the rotation
-        live = np.flatnonzero(q_len * x_len[begin] + slack >= limit)  # the longest that is left
-        if not len(live):
+        i = np.flatnonzero(q_len * x_len[begin] + slack >= limit)  # the longest that is left
+        if not len(i):
             break
-        bound = qr[live, :head] @ xr[begin:end, :head].T
-        bound += q_rest[live, None] * x_rest[None, begin:end]
-        bound += slack[live, None]
-        left = bound >= limit[live, None]
-        if small and left.mean() > DENSE:  # too many are left to take them one by one
-            dense = q[live] @ x[begin:end].T  # whole numbers below 2**53: exact in any order
-            i, j = np.nonzero(left & (dense >= limit[live, None]))
-            scores = dense[i, j].astype(np.int64)
-            i, j = live[i], j + begin
-        else:
-            i, j = np.nonzero(left)
-            i, j = live[i], j + begin
-            scores = np.concatenate([_product(q[i[a : a + 100_000]], x[j[a : a + 100_000]]) for a in range(0, len(i), 100_000)] or [kept[1]])
+        j = np.arange(begin, end)
+        sums, left = np.zeros((len(i), len(j))), np.ones((len(i), len(j)), bool)
+        for c in range(1, len(cuts)):
+            sums += qr[i, cuts[c - 1] : cuts[c]] @ xr[j, cuts[c - 1] : cuts[c]].T
+            left &= sums + q_rest[i, c, None] * x_rest[None, j, c] + slack[i, None] >= limit[i, None]
+            rows, columns = left.any(axis=1), left.any(axis=0)
+            if not rows.all() or not columns.all():  # queries and candidates without a pair left
+                grid = np.ix_(rows, columns)
+                i, j, sums, left = i[rows], j[columns], sums[grid], left[grid]
+        at = np.nonzero(left)
+        i, j = i[at[0]], j[at[1]]
+        scored += len(i)
+        scores = np.concatenate([_product(q[i[a : a + 100_000]], x[j[a : a + 100_000]]) for a in range(0, len(i), 100_000)] or [kept[1]])
         good = (scores >= limit[i]) & (q_ids[i] != x_ids[j])
         i, j, scores = (np.concatenate([old, new[good]]) for old, new in zip((kept[0], kept[2], kept[1]), (i, j, scores)))
         best = best_of(i, ~scores, x_ids[j], k)  # ~s falls as s rises, without overflow
@@ -127,7 +128,7 @@ def search(q_ids, q, x_ids, x, turn, limit, k):
         full = np.flatnonzero(n >= k)
         lowest = np.cumsum(n)[full] - 1
         limit[full] = np.maximum(limit[full], kept[1][lowest])
-    return kept, limit
+    return kept, limit, scored
 
 
 def exact_topk(queries: DataFrame, candidates: DataFrame, k: int, sample: int = 2048) -> DataFrame:
@@ -142,7 +143,11 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int, sample: int =
     # a number for each band: one row of a few bytes each
     numbers = bands.select("block").withColumn("band", F.row_number().over(Window.orderBy("block")) - 1)
     n_bands = numbers.count()
-    bands = bands.join(numbers, "block").select("band", "longest", *(F.col(c).alias(a) for a, c in prefixed(MATRIX, "x_")))
+    every = max(1, -(-n_bands // MARKS))
+    bands = bands.join(numbers, "block")
+    # the longest vector of each of at most MARKS bands, of the first of every so many
+    marks = bands.where(F.col("band") % every == 0).select("band", "longest").toArrow().sort_by("band").column("longest").to_numpy()
+    bands = bands.select("band", "longest", *(F.col(c).alias(a) for a, c in prefixed(MATRIX, "x_")))
     some = queries.repartition(max(1, parts // 4), "vec_id").sortWithinPartitions("vec_id", "vec")
     tiles = blocks(some, TILE).withColumnRenamed("block", "tile").withColumnRenamed("longest", "q_longest")
     pair_types = [pa.int64(), pa.int64(), pa.int64()]
@@ -155,10 +160,11 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int, sample: int =
         for batch in batches:
             for r in range(batch.num_rows):
                 q_ids, q = matrix_of(batch, r)
-                _, limit = search(q_ids, q, *longest, turn, np.full(len(q), -np.inf), k)
+                _, limit, _ = search(q_ids, q, *longest, turn, np.full(len(q), -np.inf), k)
                 columns = [batch.column(c).slice(r, 1) for c in ("tile", "q_longest", "n", "dim", "ids", "matrix")]
-                low = pa.array([float(limit.min())]), pa.array([limit.tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*columns, *low], ["tile", "q_longest", "n", "dim", "ids", "matrix", "lowest", "limits"])
+                reached = int((batch.column("q_longest")[r].as_py() * marks * (1 + 1e-9) + 1 >= limit.min()).sum())
+                low = pa.array([min(n_bands, reached * every)]), pa.array([limit.tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, *low], ["tile", "q_longest", "n", "dim", "ids", "matrix", "reached", "limits"])
 
     def rest(batches):
         for batch in batches:
@@ -166,13 +172,12 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int, sample: int =
                 q_ids, q = matrix_of(batch, r)
                 x_ids, x = matrix_of(batch, r, "x_")
                 limit = np.frombuffer(batch.column("limits")[r].as_py(), np.float64)
-                (i, scores, j), _ = search(q_ids, q, x_ids, x, turn, limit, k)
+                (i, scores, j), _, _ = search(q_ids, q, x_ids, x, turn, limit, k)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((q_ids[i], x_ids[j], scores), pair_types)], ["query_id", "vec_id", "score"])
 
-    seeded = stored(tiles.mapInArrow(first, f"tile long, q_longest double, {MATRIX}, lowest double, limits binary"), "tiles")
-    all_pairs = seeded.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_bands - 1)))))
-    reach = F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("lowest")
-    found = all_pairs.join(bands.hint("merge"), "band").where(reach).mapInArrow(rest, "query_id long, vec_id long, score long")
+    seeded = stored(tiles.mapInArrow(first, f"tile long, q_longest double, {MATRIX}, reached long, limits binary"), "tiles")
+    reached = seeded.where(F.col("reached") > 0).withColumn("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("reached") - 1)))
+    found = reached.join(bands.hint("merge"), "band").mapInArrow(rest, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

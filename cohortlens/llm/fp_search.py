@@ -244,18 +244,16 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, items_at_once: int =
     found = [p for p in parts if p is not None]
     if not found:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    every = reduce(DataFrame.unionByName, found)
+    return _ranked(reduce(DataFrame.unionByName, found), k, "item_id").select("item_id", "rank", "doc_id", "score")
 
-    def ranked(rows: DataFrame, *keys: str) -> DataFrame:
-        by = Window.partitionBy(*keys).orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-        return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
-    salted = ranked(every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), "item_id", "salt")
-    return ranked(salted, "item_id").select("item_id", "rank", "doc_id", "score")
+def _ranked(rows: DataFrame, k: int, *keys: str) -> DataFrame:
+    by = Window.partitionBy(*keys).orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 def _search(docs: DataFrame, block: list[tuple], k: int) -> DataFrame | None:
-    """item_id, doc_id, score: the best of each task for one block of items; None where no document holds a term."""
+    """item_id, doc_id, score: the best of each item of a block in each of ``SALTS`` parts; None where no document holds a term."""
     wanted = [Counter(terms_of(text)) for _, text in block]
     vocabulary = sorted(set().union(*wanted))
     if not vocabulary:
@@ -294,4 +292,5 @@ def _search(docs: DataFrame, block: list[tuple], k: int) -> DataFrame | None:
     dealt = vectors.where(F.size("terms") > 0).repartition(parts_for(docs, TASK_BYTES), F.xxhash64("doc_id", "n", "terms"))
     found = dealt.mapInArrow(run, FOUND)
     names = docs.sparkSession.createDataFrame([(i, item_id) for i, (item_id, _) in enumerate(block)], "item int, item_id long")
-    return stored(found.join(names, "item").select("item_id", "doc_id", "score"), "search-results")
+    salted = _ranked(found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), k, "item", "salt")
+    return stored(salted.join(names, "item").select("item_id", "doc_id", "score"), "search-results")

@@ -33,7 +33,9 @@ from .common import chunks, ship, texts_of
 
 SLICE_BYTES = 3 << 20
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+# runs of letters: of the signs that \w takes, those that are no letter (², ½, Ⅷ, ①) are left out by their ranges
+_SIGNS = "".join(f"\\U{ord(c):08x}" for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
 LONGEST_KEPT = 64
 MAP_LANGUAGES = 500
 FOREIGN = -50.0  # a word in a script that the language doesn't use

@@ -1,6 +1,6 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-1. ``pieces``: every whole document's ids and an end id; a document longer than a sequence is
+1. ``pieces``: every whole document's ids and an end id (the ids are stored only where ``sequences`` is to follow); a document longer than a sequence is
    cut into full pieces, of which the first takes what is left over. One row a piece.
 2. ``assign``: a full piece is a sequence of its own. The others are dealt to tasks of about
    ``pieces_a_task`` pieces, longest first within a task, and packed online: at most ``max_open``
@@ -30,9 +30,9 @@ from .token_store import id_arrays
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """A stored table: row (unique number), doc_id, piece, start, length, ids_crc32, ids (binary,
-    little-endian unsigned 32-bit)."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, keep_ids: bool = True) -> DataFrame:
+    """A stored table: row (unique number), doc_id, piece, start, length, ids_crc32 and, unless they are not to be
+    kept, ids (binary, little-endian unsigned 32-bit)."""
     types = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
     names = [c.split()[0] for c in PIECES.split(", ")]
 
@@ -44,11 +44,13 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
                 end = n % capacity or capacity if n > capacity else n
                 for piece in range(-(-n // capacity)):
                     body = data[4 * begin : 4 * end]
-                    rows.append((doc_id, piece, begin, end - begin, zlib.crc32(body), body))
+                    rows.append((doc_id, piece, begin, end - begin, zlib.crc32(body), body if keep_ids else None))
                     begin, end = end, end + capacity
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return stored(texts_of(docs).mapInArrow(cut, PIECES).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    found = texts_of(docs).mapInArrow(cut, PIECES)
+    found = found if keep_ids else found.drop("ids")
+    return stored(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
 
 
 class BestFit:
@@ -124,5 +126,5 @@ def sequences(cut: DataFrame, assigned: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
-    placed = assign(pieces(docs, tokenizer, end_id, capacity), capacity)
+    placed = assign(pieces(docs, tokenizer, end_id, capacity, keep_ids=False), capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import chunks, shared_folder, ship, stored, texts_of
+from .common import chunks, fresh, shared_folder, ship, stored, texts_of
 
 SLICE_BYTES = 4 << 20
 LIST = 16_384
@@ -257,26 +257,36 @@ def keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFram
     """``docs`` with one row of each component: that of the smallest doc_id, or one without a doc_id where the whole
     component has none. Of several such rows it is one of the smallest fingerprint, and of these the one whose text
     hashes lowest."""
-    found = grouped(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = found.groupBy("root").agg(F.min("fp").alias("__fp"), F.first("doc_id").alias("__first"))
-    key = ["__fp", "__id", "__none"]  # a null doc_id never equals one in a join
-
-    def keyed(rows, doc_id):
-        return rows.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")), "__none": F.col(doc_id).cast("long").isNull()})
-
-    kept = keyed(with_fingerprints(docs, shingle), "doc_id").join(keyed(first, "__first").select(*key), key)
+    every = stored(grouped(docs, shingle, max_bits), "grouped")
+    found = every.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = stored(found.groupBy("root").agg(F.min("fp").alias("fp"), F.first("doc_id").alias("doc_id")), "first-rows")
+    # a doc_id that occurs once tells its row; only texts without one, or with a common one, are hashed again
+    common = stored(every.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"), "common-ids")
+    own = first.where(F.col("doc_id").isNotNull()).join(common, "doc_id", "left_anti")
+    doc_id = F.col("doc_id").cast("long")
+    one = docs.join(own.select(F.col("doc_id").alias(fresh(docs, "first_id")[0])), doc_id == F.col(fresh(docs, "first_id")[0]), "left_semi")
+
+    fp, same, none, turn = fresh(docs, "fp", "same_id", "no_id", "turn")
+    key = [fp, same, none]  # a null doc_id never equals one in a join
+
+    def keyed(rows: DataFrame, c: str) -> DataFrame:
+        return rows.withColumns({same: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")), none: F.col(c).cast("long").isNull()})
+
+    again = docs.join(common.select(F.col("doc_id").alias(same)), doc_id == F.col(same), "left_semi").unionByName(docs.where(doc_id.isNull()))
+    kept = keyed(with_fingerprints(again, shingle, fp), "doc_id").join(keyed(first.withColumnRenamed("fp", fp), "doc_id").select(*key), key)
     order = Window.partitionBy(*key).orderBy(F.xxhash64("text"))
-    return kept.withColumn("__turn", F.row_number().over(order)).where(F.col("__turn") == 1).select(*docs.columns)
+    some = kept.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1)
+    return one.select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
-def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` with a column __fp: the fingerprint's 64 bits, as ``fingerprints`` has them."""
+def with_fingerprints(docs: DataFrame, shingle: int, name: str = "fp") -> DataFrame:
+    """``docs`` with a column more: the fingerprint's 64 bits, as ``fingerprints`` has them."""
     ship(docs.sparkSession)
 
     def hashed(batches):
         for part in chunks(batches, "text", SLICE_BYTES):
             texts = part.column("text")
             fps = np.fromiter((fingerprint(bytes(t.as_buffer()) if t.is_valid else b"", shingle) for t in texts), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], [*part.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], [*part.schema.names, name])
 
-    return docs.mapInArrow(hashed, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    return docs.mapInArrow(hashed, StructType([*docs.schema.fields, StructField(name, LongType())]))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, texts_of
+from .common import chunks, fresh, stored, texts_of
 
 WINDOW, GRAM = 50, 10
 SLICE_BYTES = 4 << 20
@@ -236,8 +236,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     copy = (F.col("first") < F.col("d")) & (F.col("n_words") >= WINDOW)
     gone = every.where(copy).select("d", "uid", F.lit("").alias("left"))
     parts = kept.select("d", "uid", F.col("kept.text").alias("left")).unionByName(gone).dropDuplicates(["d", "uid"])
-    parts = parts.select(F.col("d").alias("__d"), F.col("uid").alias("__uid"), F.col("left").alias("__left"))
+    d, uid, left = fresh(docs, "d", "uid", "left")
+    parts = stored(parts.select(F.col("d").alias(d), F.col("uid").alias(uid), F.col("left").alias(left)), "changed-texts")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__d")) & (F.xxhash64(text) == F.col("__uid"))
-    joined = docs.join(parts, on, "left").where(F.col("__left").isNull() | (F.col("__left") != ""))
-    return joined.withColumn("text", F.coalesce("__left", "text")).select(*docs.columns)
+    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(d)) & (F.xxhash64(text) == F.col(uid))
+    joined = docs.join(parts, on, "left").where(F.col(left).isNull() | (F.col(left) != ""))
+    return joined.withColumn("text", F.coalesce(left, "text")).select(*docs.columns)

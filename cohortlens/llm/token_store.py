@@ -32,10 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, texts_of
+from .common import gathered, parts_for, texts_of
 from .encoder import text_encoder
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 BLOCK_BYTES = 4 << 20
 BLOCKS = (
     "shard int, block int, first_doc long, last_doc long, tokens_before long, dictionary string, width int, "
@@ -50,7 +50,7 @@ def id_width(path: str, end_id: int) -> int:
 def id_arrays(batches, path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of (.., text) and the ids of each of their texts, end id included."""
     encoder = text_encoder(path)
-    for part in chunks(batches, "text", SLICE_BYTES):
+    for part in gathered(batches, "text", SLICE_BYTES):
         values, counts = encoder.run(part.column("text"))
         ends = np.cumsum(counts)
         yield part, [np.append(values[e - n : e], np.uint32(end_id)) for e, n in zip(ends.tolist(), counts.tolist())]
@@ -93,7 +93,7 @@ def write_tokens(
     name = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(name, bytearray(trained))], "dictionary string, bytes binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     width = id_width(tokenizer, end_id)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or parts_for(docs, TASK_BYTES)
 
     def pack(batches):
         shard, block, before, total = TaskContext.get().partitionId(), 0, 0, 0
@@ -126,7 +126,8 @@ def write_tokens(
     names = [c.split()[0] for c in BLOCKS.split(", ")]
     (
         texts_of(docs)
-        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
+        # the text's beginning deals out rows that share a doc_id, in the order of their texts
+        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.left("text", F.lit(64)))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
         .mapInArrow(pack, BLOCKS)
         .write.option("compression", "none")  # the payload is compressed already

@@ -9,7 +9,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
 
 # columns whose names the operators use themselves
-CLASHES = ("fp", "key", "row", "uid", "ids", "seeds", "spans", "vec", "leaf", "score", "rank", "part", "text_", "d", "fingerprint")
+CLASHES = ("fp", "key", "row", "uid", "ids", "seeds", "spans", "vec", "leaf", "score", "rank", "part", "text_", "d", "fingerprint", "left", "left_", "fp_", "same_id", "no_id", "turn", "first_id")
 
 
 def rows_of(name="documents", columns="doc_id, text", sf=SF):

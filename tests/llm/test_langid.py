@@ -54,6 +54,13 @@ def test_odd_documents(spark):
     assert not {2, 3, 4} & {r.doc_id for r in kept.collect()}
 
 
+def test_signs_that_are_no_letters(spark, model):
+    signs = ["½ ²", "Ⅷ ① ⅔ ³", "12 34", "٣٤", "_"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(signs)] + [(100, "² the and ½ of")], "doc_id LONG, text STRING")
+    rows = {r.doc_id: (r.lang_pred, r.score) for r in langid.label(docs, model).collect()}
+    assert all(rows[i] == ("und", 0.0) for i in range(len(signs))) and rows[100][0] == "en"
+
+
 def test_prediction_ignores_other_columns(spark, model):
     text = rows_of(columns="text", sf=SF01)[5][0]
     a = spark.createDataFrame([(1, text, "en", "a", 1), (2, text, "zz", "b", 9)], DOCS)

@@ -67,12 +67,30 @@ def test_pruning_drops_no_pair():
     x = x[np.argsort(-(x * x).sum(axis=1))]
     turn = np.linalg.svd(x, full_matrices=True)[2].T
     ids = np.arange(400)
-    (i, s, j), _ = exact_topk.search(ids[:30], x[:30], ids, x, turn, np.full(30, -np.inf), 5)
+    (i, s, j), _, _ = exact_topk.search(ids[:30], x[:30], ids, x, turn, np.full(30, -np.inf), 5)
     for q in range(30):
         scores = sorted(((-int(x[q] @ x[c]), c) for c in range(400) if c != q))[:5]
         assert [(-a, b) for a, b in zip(s[i == q].tolist(), j[i == q].tolist())] == scores
 
 
+def test_few_pairs_are_scored_exactly():
+    """sf0.1: the partial sums leave under 15 % of the pairs, and the best of them are those of all pairs."""
+    rows = rows_of("embeddings", "vec_id, embedding", sf="/root/testdata/sf0.1")
+    ids, x = np.array([i for i, _ in rows]), np.floor(64 * np.array([v for _, v in rows], float))
+    order = np.lexsort((ids, -(x * x).sum(axis=1)))
+    ids, x = ids[order], x[order]
+    asked = ids % 20 == 0
+    turn = np.linalg.svd(x, full_matrices=True)[2].T
+    _, limit, _ = exact_topk.search(ids[asked], x[asked], ids, x, turn, np.full(asked.sum(), -np.inf), 20)
+    (i, s, j), _, scored = exact_topk.search(ids[asked], x[asked], ids, x, turn, limit, 20)
+    assert scored < 0.15 * asked.sum() * len(x)
+    for q, at in enumerate(np.flatnonzero(asked).tolist()):
+        every = x @ x[at]
+        every[at] = -np.inf
+        best = np.lexsort((ids, -every))[:20]
+        assert j[i == q].tolist() == best.tolist() and s[i == q].tolist() == every[best].tolist()
+
+
 def test_searches_of_empty_tables(spark):
     none = spark.createDataFrame([], VECTORS)
     v = exact_topk.whole_numbers(none, 64.0)

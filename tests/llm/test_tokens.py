@@ -138,6 +138,25 @@ def test_bpe_in_small_blocks(spark, ranked):
         assert tuples(bpe.digest(got)) == bpe_rows(expected, ranked)
 
 
+def test_bpe_of_equal_blocks(spark, ranked, tmp_path):
+    """Rows twice in one table, and a table of two equal files: blocks of the same name."""
+    texts = [(i, t) for i, t in rows_of()][:60]
+    docs = spark.createDataFrame(texts, "doc_id LONG, text STRING").coalesce(1)
+    for _ in range(2):
+        docs.write.mode("append").parquet(f"file://{tmp_path}/docs")
+    stored = spark.read.parquet(f"file://{tmp_path}/docs")
+    expected = bpe_rows(texts + texts, ranked)
+    for table in (stored, docs.union(docs)):
+        assert tuples(bpe.digest(bpe.decode(bpe.encode(table, RANKS, block_bytes=20_000), RANKS))) == expected
+
+
+def test_bpe_with_a_full_memo(spark, ranked, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 10)
+    texts = [(i, t) for i, t in rows_of()][:40]
+    docs = spark.createDataFrame(texts, "doc_id LONG, text STRING")
+    assert tuples(bpe.digest(bpe.decode(bpe.encode(docs, RANKS), RANKS))) == bpe_rows(texts, ranked)
+
+
 def test_bpe_of_nothing(spark):
     assert bpe.encode(no_docs(spark), RANKS, buckets=4).count() == 0
     only_empty = spark.createDataFrame([(1, ""), (2, None)], "doc_id LONG, text STRING")
