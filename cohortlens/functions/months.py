@@ -55,13 +55,15 @@ def offsets(number: int, days: float) -> list[int]:
     return [d for d in around if d * MEAN_MONTH + 4 >= low and d * MEAN_MONTH - 4 <= high]
 
 
-def active_in(start: Column, number: int, days: float, slots: Sequence[int]) -> Column:
-    """Whether the bits hold a month whose number, counted from the month that begins at ``start``, is ``number``."""
-    found = F.lit(False)
-    for d in offsets(number, days):
-        same = (F.datediff(F.add_months(start, d), start) / F.lit(float(days))).cast("int") == number
-        found = found | (same & has_month(month_index(start) + d, slots))
-    return found
+def active_numbers(start: Column, numbers: Sequence[int], days: float, slots: Sequence[int]) -> Column:
+    """Those of ``numbers`` that the months among the bits have, counted from the month that begins at ``start`` (an array)."""
+    around = [d for n in numbers for d in offsets(n, days)]
+    if not around or not slots:
+        return F.array().cast("array<int>")
+    index = month_index(start)
+    held = F.filter(F.sequence(F.lit(min(around)), F.lit(max(around))), lambda d: has_month(index + d, slots))
+    number = F.transform(held, lambda d: (F.datediff(F.add_months(start, d), start) / F.lit(float(days))).cast("int"))
+    return F.array_intersect(F.array(*map(F.lit, numbers)), number)
 
 
 def slots_around(starts: DataFrame, column: str, numbers: Sequence[int], days: float) -> list[int]:

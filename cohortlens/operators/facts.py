@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.months import active_in, month_bits, slots_around, slots_in
+from ..functions.months import active_numbers, month_bits, slots_around, slots_in
 from ..session import stored
 from ..sources.model import Model
 from .churn import risk_score
@@ -109,10 +109,11 @@ def _cells(slots: Sequence[int]) -> Column:
         return F.date_format(v, "yyyy-MM")
 
     starts = F.array_distinct(F.transform("dims", lambda d: d["signup_month"]))
-    active = F.flatten(F.transform(starts, lambda m: F.filter(
-        F.array(*(F.when(active_in(m, n, K.DAYS_PER_MONTH_BUCKET, slots), cell("active", month(m), F.lit(n))) for n in K.RETENTION_MONTHS)),
-        lambda c: c.isNotNull(),
-    )))
+
+    def numbers(start: Column) -> Column:
+        return active_numbers(start, K.RETENTION_MONTHS, K.DAYS_PER_MONTH_BUCKET, slots)
+
+    active = F.flatten(F.transform(F.filter(starts, F.isnotnull), lambda m: F.transform(numbers(m), lambda n: cell("active", month(m), n))))
     every = F.array(cell("all", copies=F.col("all_copies")))
     dims = F.concat(every, own("channel", "channel"), own("group", "experiment_group"), own("cohort", "signup_month", month), active)
     return F.when(F.col("dims").isNotNull(), dims).otherwise(every)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import pct
-from ..functions.months import active_in, month_bits, slots_around
+from ..functions.months import active_numbers, month_bits, slots_around
 
 
 def month_start(ts: Column) -> Column:
@@ -56,13 +56,13 @@ def cohort_retention(
     """
     dated = users.where(F.col("user_id").isNotNull() & F.col("signup_date").isNotNull())
     slots = slots_around(dated, "signup_date", months, days)
-    active = F.lit(True)
     bits = events.where((F.col("event_name") == activity_event) & F.col("user_id").isNotNull()).groupBy("user_id")
-    bits = bits.agg(*(month_bits(F.col("event_date"), active, slots) or [F.lit(None).alias("none")]))
+    bits = bits.agg(*(month_bits(F.col("event_date"), F.lit(True), slots) or [F.lit(None).alias("none")]))
     # a signup month for each distinct one of the copies of a user key
     starts = dated.groupBy("user_id").agg(F.collect_set(month_start(F.col("signup_date"))).alias("starts"))
     member = starts.join(bits, "user_id", "left").withColumn("start", F.explode("starts"))
-    flags = [F.count_if(active_in(F.col("start"), n, days, slots)).alias(f"n{i}") for i, n in enumerate(months)]
+    member = member.withColumn("active", active_numbers(F.col("start"), months, days, slots))
+    flags = [F.count_if(F.array_contains("active", F.lit(n))).alias(f"n{i}") for i, n in enumerate(months)]
     cells = member.groupBy(F.date_format("start", "yyyy-MM").alias("cohort_month")).agg(F.count(F.lit(1)).alias("cohort_users"), *flags)
     listed = F.array(*(F.struct(F.lit(n).alias("month_number"), F.col(f"n{i}").alias("retained_users")) for i, n in enumerate(months)))
     found = cells.select("cohort_month", "cohort_users", F.explode(F.filter(listed, lambda c: c["retained_users"] > 0)).alias("c"))

@@ -9,6 +9,7 @@ JSON document holds them all, so their dimensions are assumed to be such that on
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,48 +25,66 @@ class Analyses:
     def __init__(self, model: Model, stored_facts: DataFrame | None = None, early: DataFrame | None = None):
         self.model = model
         self.facts = facts.user_facts(model) if stored_facts is None else stored_facts
-        cells = self.cells = facts.summary_cells(self.facts)
+        self.cells = facts.summary_cells(self.facts)
+        self._early = early
 
-        def of(kind: str) -> DataFrame:
-            return cells.where(F.col("kind") == kind)
+    def _of(self, kind: str) -> DataFrame:
+        return self.cells.where(F.col("kind") == kind)
 
+    @cached_property
+    def funnel(self) -> DataFrame:
         stages = [dst for dst, _ in facts.STAGES]
-        self.funnel = funnel.funnel_table(
-            of("channel").select(F.col("k1").alias("channel"), F.col("users").alias("signups"), *stages), ordered=False
-        )
-        self.revenue = revenue.revenue_rates(
-            of("channel").select(
-                F.col("k1").alias("channel"), F.col("users").alias("total_signups"), F.col("paying").alias("paying_users"), "rev", "annual_rev"
-            ),
-            ordered=False,
+        return funnel.funnel_table(self._of("channel").select(F.col("k1").alias("channel"), F.col("users").alias("signups"), *stages), ordered=False)
+
+    @cached_property
+    def revenue(self) -> DataFrame:
+        paid = F.col("paying").alias("paying_users")
+        return revenue.revenue_rates(
+            self._of("channel").select(F.col("k1").alias("channel"), F.col("users").alias("total_signups"), paid, "rev", "annual_rev"), ordered=False
         )
-        self.readout = experiment.readout_table(
-            of("group").select(F.col("k1").alias("experiment_group"), "users", F.col("onboarded").alias("activated"))
+
+    @cached_property
+    def readout(self) -> DataFrame:
+        return experiment.readout_table(
+            self._of("group").select(F.col("k1").alias("experiment_group"), "users", F.col("onboarded").alias("activated"))
         )
-        self.stats = experiment.two_proportion_stats(experiment.align_arms(self.readout))
-        self.ab = experiment.publish(self.stats)
-        self.retention = retention.retention_table(
-            of("active").select(F.col("k1").alias("cohort_month"), F.col("k2").alias("month_number"), F.col("users").alias("retained_users")),
-            of("cohort").select(F.col("k1").alias("cohort_month"), F.col("users").alias("cohort_users")),
+
+    @cached_property
+    def ab(self) -> DataFrame:
+        return experiment.publish(experiment.two_proportion_stats(experiment.align_arms(self.readout)))
+
+    @cached_property
+    def retention(self) -> DataFrame:
+        return retention.retention_table(
+            self._of("active").select(F.col("k1").alias("cohort_month"), F.col("k2").alias("month_number"), F.col("users").alias("retained_users")),
+            self._of("cohort").select(F.col("k1").alias("cohort_month"), F.col("users").alias("cohort_users")),
         )
-        everyone = of("all")
-        counts = everyone.agg(
+
+    @cached_property
+    def report(self) -> DataFrame:
+        counts = self._of("all").agg(
             F.sum(F.col("copies") - F.col("users")).alias("duplicate_count"),
-            F.sum("orphan_events").alias("orphan_events"),
-            F.sum("orphan_bills").alias("orphan_bills"),
-            F.sum("bad").alias("bad"),
+            *(F.sum(c).alias(c) for c in ("orphan_events", "orphan_bills", "bad")),
         )
+        early = self._early
         if early is None:
             broken = self.facts.where(F.col("first_event") < F.col("last_signup")).select("user_id")
-            early = quality.count_early_events(model.users, model.events, broken)
-        self.report = quality.report_table(counts, early)
-        # a row for an empty model, too
-        self.rollup = everyone.agg(
+            early = quality.count_early_events(self.model.users, self.model.events, broken)
+        return quality.report_table(counts, early)
+
+    @cached_property
+    def rollup(self) -> DataFrame:
+        """A row for an empty model, too."""
+        scored = F.sum(F.col("high") + F.col("medium") + F.col("low"))
+        return self._of("all").agg(
             *(F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_risk_count") for c in ("high", "medium", "low")),
-            F.coalesce(F.round(F.sum("risk") / F.nullif(F.sum(F.col("high") + F.col("medium") + F.col("low")), F.lit(0)), 1), F.lit(0.0)).alias("avg_churn_risk_pct"),
+            F.coalesce(F.round(F.sum("risk") / F.nullif(scored, F.lit(0)), 1), F.lit(0.0)).alias("avg_churn_risk_pct"),
         )
+
+    @cached_property
+    def at_risk(self) -> DataFrame:
         people = facts.scored(self.facts.where(F.col("dims").isNotNull()))
-        self.at_risk = churn.at_risk_users(people.withColumn("channel", F.col("one_channel")))
+        return churn.at_risk_users(people.withColumn("channel", F.col("one_channel")))
 
 
 def combine_rows(frames: Sequence[DataFrame]) -> DataFrame:
