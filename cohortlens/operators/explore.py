@@ -158,7 +158,8 @@ def user_journeys_events(users: DataFrame, events: DataFrame, subscriptions: Dat
     """The journeys of all users, one row per (user, event): profile, event with label, first plan.
 
     Flat and range-sorted by (user_id, event_date, event_name), so a user with very many events is spread
-    over several tasks and no list is built. Users without events have one row with NULL event columns.
+    over several tasks and no list is built. Users without events have one row with NULL event columns. The users' side is
+    stored while the plan is built.
     """
     first = first_subscriptions(subscriptions.where(F.col("user_id").isNotNull()))
     # copies of a users row collapse to one before the join with the log

@@ -122,7 +122,8 @@ def user_profile(users: DataFrame, events: DataFrame, subscriptions: DataFrame)
 
 
 def quality_report(users: DataFrame, events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """check_order, check_name, passed, details for the five checks, from one profile of all users."""
+    """check_order, check_name, passed, details for the five checks, from one profile of all users, which is stored
+    while the plan is built."""
     profile = user_profile(users, events, subscriptions)
     key = F.col("user_id").isNotNull()
     orphan = key & F.col("n_users").isNull()

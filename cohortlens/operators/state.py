@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.months import PREFIX, month_index, slots_in, slots_of
-from ..session import stored
+from ..session import run_folder, stored
 from ..sources import snapshots
 from ..sources.model import Model
 from ..sources.tables import MODEL_SCHEMAS
@@ -115,6 +115,10 @@ class ModelState:
 
     def update(self, base_dir: str) -> list[File]:
         """Bring the state to the files below ``base_dir``; returns those that were read."""
+        with run_folder(self.spark):
+            return self._update(base_dir)
+
+    def _update(self, base_dir: str) -> list[File]:
         now, known = listed(self.spark, base_dir), self.covered()
         fresh = bool(set(known) - set(now)) or not known
         kept = {name: None if fresh else self.part(name) for name in PARTS}

@@ -20,7 +20,8 @@ from . import churn, experiment, facts, funnel, quality, retention, revenue
 
 class Analyses:
     """The analyses of one model, from its facts and their sums. ``stored_facts`` and ``early`` (one row of
-    ``quality.count_early_events``): as kept by ``state.ModelState``, instead of a pass over the model."""
+    ``quality.count_early_events``): as kept by ``state.ModelState``, instead of a pass over the model. Making one runs the jobs that
+    store the facts and their sums."""
 
     def __init__(self, model: Model, stored_facts: DataFrame | None = None, early: DataFrame | None = None):
         self.model = model

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,18 +55,39 @@ def build_session(
     return spark
 
 
+_RUN_FOLDER: ContextVar[str | None] = ContextVar("run folder", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors share; where it is
-    unset, a folder below the warehouse, which they share too."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    unset, the context's checkpoint folder, or one below the warehouse, which they share too."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cohortlens-work"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path of the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path that no other run uses, in the shared folder or in the folder of the ``run_folder`` that is open."""
+    return f"{_RUN_FOLDER.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of the shared one for the tables that are stored while it is open; it is deleted in the end, so results
+    must be collected or written elsewhere before."""
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    before = _RUN_FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN_FOLDER.reset(before)
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Cohort retention, month buckets, curve, heatmap."""
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
 
 from model_rows import SF01, ts
@@ -74,3 +77,62 @@ def test_retention_on_test_tables(spark):
     assert sum(sizes.values()) == 1500
     for r in rows:
         assert r.retained_users <= r.cohort_users == sizes[r.cohort_month]
+
+
+def plain(users, events, months, days):
+    """Cells by walking over all rows."""
+    out = {}
+    for uid, signup, *_ in users:
+        if uid is None or signup is None:
+            continue
+        cohort = (signup.year, signup.month)
+        out.setdefault(cohort, (set(), {}))[0].add(uid)
+        start = signup.replace(day=1, hour=0, minute=0, second=0)
+        for who, name, date in events:
+            if who == uid and name == "app_open" and date is not None:
+                n = int((date.replace(day=1, hour=0, minute=0, second=0) - start).days / days)
+                if n in months:
+                    out[cohort][1].setdefault(n, set()).add(uid)
+    return sorted((f"{y:04d}-{m:02d}", len(who), n, len(active)) for (y, m), (who, cells) in out.items() for n, active in cells.items())
+
+
+@pytest.mark.parametrize("months,days", [((0, 1, 2, 3), 30.4), ((0, 1, 11, 12, 13, 36, 400), 30.4), ((0, 2, 5), 7.0), ((0, 1, 2), 61.0), ((-2, -1, 0), 30.4)])
+def test_bits_over_many_years(make, months, days):
+    """Signups and activity over 60 years: several longs a user, cohorts at their borders, leap years."""
+    rng = random.Random(3)
+
+    def moment():
+        return datetime(rng.randrange(1975, 2035), rng.randrange(1, 13), rng.randrange(1, 29), rng.randrange(24))
+
+    users, events = [], []
+    for uid in range(60):
+        start = moment()
+        users += [(uid, start, "referral", "iOS", "US", "control_self_serve")] * rng.choice([1, 1, 3])
+        if uid % 7 == 0:  # a key with two signups
+            users.append((uid, moment(), "referral", "iOS", "US", "control_self_serve"))
+        for _ in range(rng.randrange(12)):
+            events.append((uid, rng.choice(["app_open", "app_open", "signup"]), start + timedelta(days=rng.randrange(-120, 900) if rng.random() < 0.9 else 12_170)))
+    users += [(None, moment(), "referral", "iOS", "US", None), (99, None, "referral", "iOS", "US", None)]
+    events += [(None, "app_open", moment()), (5, "app_open", None), (99, "app_open", moment())]
+    events += [(3, "app_open", users[3][1] + timedelta(days=i % 40)) for i in range(800)]  # most of the events
+    found = R.cohort_retention(make("users", users), make("events", events), months=months, days=days)
+    assert sorted((r.cohort_month, r.cohort_users, r.month_number, r.retained_users) for r in found.collect()) == plain(users, events, months, days)
+
+
+def test_empty_relations(make):
+    one = [U(1, "2025-01-05")]
+    assert R.cohort_retention(make("users", []), make("events", [(1, "app_open", ts("2025-01-10"))])).collect() == []
+    assert R.cohort_retention(make("users", one), make("events", [])).collect() == []
+
+
+def test_four_exchanges(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        m = registry.load_model(spark, SF01)
+        stored = [spark.createDataFrame(df.collect(), df.schema) for df in (m.users, m.events)]  # without the derivation's own
+        plan = R.cohort_retention(*stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("Exchange ") <= 4 and "Expand" not in plan
