@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, mixed texts, odd rows."""
 
+import re
 import zlib
 
 import numpy as np
@@ -54,6 +55,52 @@ def test_odd_documents(spark):
     assert not {2, 3, 4} & {r.doc_id for r in kept.collect()}
 
 
+def plain(text, model, penalty=8.0):
+    """(language, share of letters) of a text word by word, from the model's tables."""
+    words = [w for w in text.lower().split()]
+    n, unseen = len(model.languages), len(model.row)
+    rows, letters, own, seen = [], [], [], []
+    for word in words:
+        total, size, of_scripts, known = np.zeros(n), 0, 0, np.zeros(n)
+        runs = re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() or not c.isalnum() else " " for c in word))
+        for run in runs:
+            size += len(run)
+            use = model.scripts.get(langid.script_of(run[0]), np.zeros(n, bool))
+            if not use.any():
+                continue
+            of_scripts += len(run)
+            at = [model.row.get(g, unseen) for g in langid.trigrams(run)]
+            sums = model.scores[at].astype(float).sum(axis=0)
+            known += (model.scores[at] > model.scores[-1]).sum(axis=0)
+            total += np.where(use, sums - sums[use].max(), langid.FOREIGN)
+        rows.append(total), letters.append(size), own.append(of_scripts), seen.append(known)
+    if not sum(letters):
+        return "und", 0.0
+    best, came = rows[0], []
+    for scores in rows[1:]:
+        top = int(best.argmax())
+        switch = best >= best[top] - penalty
+        came.append([i if switch[i] else top for i in range(n)])
+        best = np.maximum(best, best[top] - penalty) + scores
+    labels = [int(best.argmax())]
+    for back in reversed(came):
+        labels.insert(0, back[labels[0]])
+    held = np.array([sum(o for o, x in zip(own, labels) if x == i) for i in range(n)])
+    winner = int(held.argmax())
+    known = sum(s[winner] for s, x in zip(seen, labels) if x == winner)
+    return model.languages[winner], min(held[winner], known / model.expected[winner]) / sum(letters)
+
+
+def test_labels_and_scores_equal_a_plain_version(spark, model):
+    texts = [t or "" for _, t in rows_of()][:120]
+    texts += [a[:400] + " " + b[:300] for a, b in zip(texts[:20], texts[20:40])] + ["", "½", "東京 the and", "qqxz vvkj", "x", "the ² und der die"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.label(docs, model).select("doc_id", "lang_pred", "score").collect()}
+    for i, t in enumerate(texts):
+        lang, score = plain(t, model)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-6, (i, t[:80])
+
+
 def test_signs_that_are_no_letters(spark, model):
     signs = ["½ ²", "Ⅷ ① ⅔ ³", "12 34", "٣٤", "_"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(signs)] + [(100, "² the and ½ of")], "doc_id LONG, text STRING")

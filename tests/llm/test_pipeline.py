@@ -52,6 +52,15 @@ def test_stages_of_an_empty_table(spark):
         assert f(spark, no_docs(spark), SF).count() == 0, name
 
 
+def test_only_the_result_is_left(spark):
+    """Tables of the stages go; what remains in the shared folder is the last stage's result (and Spark's checkpoints)."""
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    result = corpus_pipeline.run(spark, SF)
+    left = {n for n in set(os.listdir(folder)) - before if n.startswith(("run-", *(s for s, _ in corpus_pipeline.STAGES)))}
+    assert len(left) == 1 and left.pop().startswith(corpus_pipeline.STAGES[-1][0]) and result.count() > 0
+
+
 def test_entry_registers_all(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op")]
