@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, near-duplicates, repeated passages, personal data, packing.
 
 ``run`` applies the stages to the ``documents`` table; each stage's result is written as Parquet in the shared
-folder and reread as the next one's documents. All stages but the last return the columns of
+folder and reread as the next one's documents. What a stage stores besides is deleted when its result is written, and
+that result when the next one's is; the last one's stays. All stages but the last return the columns of
 ``documents``; the last returns one row a piece of a document in a packed sequence.
 """
 
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import langid, packing, pii, simhash, substring
-from cohortlens.llm.common import stored
 from cohortlens.llm.encoder import vocabulary
+from cohortlens.session import delete, new_path, run_folder
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -62,6 +63,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with run_folder(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
