@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,39 @@ def test_recall_on_the_stored_vectors(spark):
     assert check_neighbours(got, [(i, v, 0) for i, v in rows_of("embeddings", "vec_id, embedding")], 100, 10) >= 0.9
 
 
+def test_recall_and_measured_rows_on_a_larger_table(spark):
+    """sf0.1: recall against brute force, and the share of all rows that a query is measured against."""
+    folder = "/root/testdata/sf0.1"
+    rows = [(i, v, 0) for i, v in rows_of("embeddings", "vec_id, embedding", sf=folder)]
+    assert check_neighbours(queries.op2_kmeans_tree(spark, folder).collect(), rows, 100, 10) >= 0.9
+
+    df = ann_tree.searchable(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    index = ann_tree.build(df, 10, 0.95, 20_000, 1024, 16, 100)
+    asked = ann_tree._chosen_cells(df.where("vec_id % 100 = 0"), index, 10)
+    first = ann_tree._first_found(asked, index, 10)
+
+    def pairs(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield pa.RecordBatch.from_pydict({"n": [int(ann_tree.allowed(batch, r).sum())]})
+
+    measured = 0
+    for some in (asked.where("first").withColumn("limit", F.lit(None).cast("double")), ann_tree.within_reach(asked, first, 10)):
+        packs = ann_tree.chosen_leaves(some, index, 10).join(index.blocks, "cell")
+        measured += packs.mapInArrow(pairs, "n long").agg(F.sum("n")).first()[0]
+    assert measured < 0.6 * df.where("vec_id % 100 = 0").count() * df.count()
+
+
+def test_a_very_common_vector(spark):
+    """A third of all rows are one vector: its queries find the smallest ids, others still reach their neighbours."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in (np.ones(8) if i % 3 == 0 else rng.normal(size=8))], 0) for i in range(3000)]
+    df = ann_tree.searchable(spark.createDataFrame(rows, VECTORS))
+    got = ann_tree.nearest_neighbours(df.where("vec_id % 100 = 0"), df, k=10).collect()
+    assert check_neighbours(got, rows, 100, 10) >= 0.9
+    assert sorted(r.vec_id for r in got if r.query_id == 300) == [3 * i for i in range(10)]
+
+
 def test_few_candidates_are_all_returned(spark):
     df = ann_tree.searchable(spark.createDataFrame([(i, [float(i + 1), 1.0], 0) for i in range(4)], VECTORS))
     got = ann_tree.nearest_neighbours(df.where("vec_id = 0"), df, k=10).collect()
