@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import stored
 
-SALTS = 32
-
 
 def user_pk_duplicates(users: DataFrame) -> DataFrame:
     """COUNT(user_id) - COUNT(DISTINCT user_id); NULL keys are not counted here."""
@@ -61,13 +59,13 @@ def events_before_signup(users: DataFrame, events: DataFrame) -> DataFrame:
 def count_early_events(users: DataFrame, events: DataFrame, broken: DataFrame) -> DataFrame:
     """One row, invalid_date_count, from the users who break the rule (a stored table of user_id).
 
-    Users without a breach need no second look: with none the count is 0. Else the breakers' events are salted by
-    their date and their signup dates repeated for each salt, so the events of one user meet in ``SALTS`` tasks.
+    Users without a breach need no second look: with none the count is 0. Else ``early_pairs`` counts the breakers'
+    events and signups by their dates.
     """
     if broken.isEmpty():
         return broken.agg(F.count(F.lit(1)).alias("invalid_date_count"))
     dates = (
-        users.join(broken, "user_id", "left_semi")
+        users.join(broken.hint("merge"), "user_id", "left_semi")
         .where(F.col("signup_date").isNotNull())
         .groupBy("user_id", "signup_date")
         .agg(F.count(F.lit(1)).alias("copies"))
@@ -77,12 +75,20 @@ def count_early_events(users: DataFrame, events: DataFrame, broken: DataFrame) -
 
 
 def early_pairs(dates: DataFrame, own: DataFrame) -> DataFrame:
-    """One row, invalid_date_count, from (user_id, signup_date, copies) and (user_id, event_date, n)."""
-    salt = F.pmod(F.xxhash64("event_date"), F.lit(SALTS)).cast("int")
-    spread = dates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    early = own.withColumn("salt", salt).join(spread, ["user_id", "salt"]).where(F.col("event_date") < F.col("signup_date"))
+    """One row, invalid_date_count, from (user_id, signup_date, copies) and (user_id, event_date, n).
+
+    Events of an earlier day are counted by days, so a user with very many events brings one row a day to the join by
+    user; those of the signup's own day meet it by user and day. Both sides may be as long as the users, and their
+    files say little about their rows: neither join may broadcast.
+    """
+    dates, own = dates.withColumn("day", F.to_date("signup_date")), own.withColumn("day", F.to_date("event_date"))
+    signup_days = dates.groupBy("user_id", F.col("day").alias("signup_day")).agg(F.sum("copies").alias("copies"))
+    event_days = own.groupBy("user_id", "day").agg(F.sum("n").alias("n"))
+    before = event_days.join(signup_days.hint("merge"), "user_id").where(F.col("day") < F.col("signup_day"))
+    same_day = own.join(dates.hint("merge"), ["user_id", "day"]).where(F.col("event_date") < F.col("signup_date"))
+    pairs = before.select("n", "copies").unionByName(same_day.select("n", "copies"))
     total = F.sum(F.col("n") * F.col("copies"))
-    return early.agg(F.coalesce(total, F.lit(0)).cast("bigint").alias("invalid_date_count"))
+    return pairs.agg(F.coalesce(total, F.lit(0)).cast("bigint").alias("invalid_date_count"))
 
 
 def _any_null(*cols: str) -> Column:

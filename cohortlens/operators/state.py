@@ -142,11 +142,12 @@ class ModelState:
         spark = self.spark
         people, acts = (snapshots.read(spark, self._table(n), made[n].number) for n in ("people", "acts"))
         last = people.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.max("last_signup").alias("last_signup"))
-        broken = last.join(acts.select("user_id", "first_event"), "user_id").where(F.col("first_event") < F.col("last_signup")).select("user_id")
+        # none of these is small: their files hold many rows in few bytes, so no join may broadcast one
+        broken = last.join(acts.select("user_id", "first_event").hint("merge"), "user_id").where(F.col("first_event") < F.col("last_signup")).select("user_id")
         broken = stored(broken, "broken-users")
         old = kept["early_signups"]
         before = broken.limit(0) if old is None else old.select("user_id").distinct()
-        newly = stored(broken.join(before, "user_id", "left_anti"), "newly-broken")
+        newly = stored(broken.join(before.hint("merge"), "user_id", "left_anti"), "newly-broken")
         dates = [(before, users, events)]
         if not newly.isEmpty():
             every = {r: _read(spark, r, now) for r in RELATIONS}
@@ -155,7 +156,7 @@ class ModelState:
         def detail(column: str, index: int, name: str) -> DataFrame:
             parts = [] if kept[name] is None else [kept[name]]
             for who, *relations in dates:
-                own = relations[index].where(F.col(column).isNotNull()).join(who, "user_id", "left_semi")
+                own = relations[index].where(F.col(column).isNotNull()).join(who.hint("merge"), "user_id", "left_semi")
                 parts.append(own.select("user_id", column, F.lit(1).cast("long").alias("n")))
             return _counted(_union(tuple(parts)), "user_id", column)
 

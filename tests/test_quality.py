@@ -3,6 +3,7 @@
 from model_rows import SF001, ts
 from cohortlens.operators import quality as Q
 from cohortlens.plans import registry
+from cohortlens.session import stored
 
 
 def dirty(make, event_1_date="2025-01-05"):
@@ -82,3 +83,16 @@ def test_many_copies_of_one_user(make):
     assert one(Q.user_pk_duplicates(users)) == 49
     assert one(Q.events_before_signup(users, events)) == 4 * 50
     assert one(Q.orphan_rows(events, users)) == 1
+
+
+def test_early_pairs_broadcast_nothing(spark):
+    """Pairs of an event and a later signup, on one day and on others, from stored rows; no side goes through the driver."""
+    signups = [(u, ts(f"2025-01-{d:02d} {h}:00:00"), c) for u in range(40) for d, h, c in ((10, "12", 1), (10, "08", 2), (12, "00", 1))]
+    events = [(u, ts(f"2025-01-{d:02d} {h}:00:00"), 1 + u % 3) for u in range(20, 60) for d in (9, 10, 12, 13) for h in ("00", "08", "11")]
+    dates = stored(spark.createDataFrame(signups + [(None, ts("2025-01-20"), 1)], "user_id long, signup_date timestamp_ntz, copies long"), "dates")
+    own = stored(spark.createDataFrame(events + [(None, ts("2025-01-01"), 1)], "user_id long, event_date timestamp_ntz, n long"), "own")
+    found = Q.early_pairs(dates, own)
+    want = sum(c * n for u, s, c in signups for v, e, n in events if u == v and e < s)
+    assert one(found) == want > 0
+    plan = found._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
