@@ -1,7 +1,7 @@
 """Users, events and subscriptions in buckets by user, so that joins and aggregates by user need no shuffle.
 
 ``write_model`` stores each relation in the same number of buckets by a hash of user_id, sorted within each; the number
-follows from the stored size of the largest relation. A session gets to know the stored tables by name
+follows from the rows and the stored size of the largest relation, so that a task, which sorts and joins a whole bucket, takes about as much memory however large they are. A session gets to know the stored tables by name
 (``register``, from a small file beside each), which reads no data. A scan then hands each bucket to one task, and Spark plans the funnel, the
 readout, revenue and churn without an exchange by user_id.
 
@@ -24,7 +24,9 @@ from . import snapshots
 from .model import Model
 from .tables import MODEL_SCHEMAS
 
-BUCKET_BYTES = 256 << 20
+# rows of few stored bytes take a task as much memory as others (about 160 bytes a row of events)
+BUCKET_ROWS, BUCKET_BYTES = 1 << 20, 64 << 20
+MOST_BUCKETS = "spark.sql.sources.bucketing.maxBuckets"
 SKEW = 4.0
 # Spark names a bucket's file by its number, before the ending
 _BUCKET_OF = re.compile(r"_(\d{5})(?:\.|$)")
@@ -92,14 +94,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_model(model: Model, base_dir: str, buckets: int | None = None) -> None:
-    """Store the three relations in equal buckets. Without ``buckets``, one for each ``BUCKET_BYTES`` of the largest
-    relation as plain files, which are written first."""
+    """Store the three relations in equal buckets. Without ``buckets``, one for each ``BUCKET_ROWS`` or ``BUCKET_BYTES`` of
+    the largest relation as plain files, which are written first; no more than Spark allows a table."""
     base, spark = base_dir.rstrip("/"), model.users.sparkSession
     if buckets is None:
         for name, df in zip(MODEL_SCHEMAS, model):
             df.write.parquet(f"{base}/_plain/{name}")
         model = Model(*(spark.read.parquet(f"{base}/_plain/{n}") for n in MODEL_SCHEMAS))
-        buckets = max(1, *(-(-input_bytes(spark, [f"{base}/_plain/{n}"]) // BUCKET_BYTES) for n in MODEL_SCHEMAS))
+        by_bytes = (-(-input_bytes(spark, [f"{base}/_plain/{n}"]) // BUCKET_BYTES) for n in MODEL_SCHEMAS)
+        by_rows = (-(-df.count() // BUCKET_ROWS) for df in model)  # from the files' footers
+        buckets = min(max(1, *by_bytes, *by_rows), int(spark.conf.get(MOST_BUCKETS, "100000")))
     for name, df in zip(MODEL_SCHEMAS, model):
         write(df, f"{base}/{name}", buckets)
 

@@ -1,6 +1,7 @@
 """The model in buckets by user."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.operators import churn, experiment, funnel, revenue
 from cohortlens.session import new_path
@@ -87,3 +88,14 @@ def test_number_of_buckets_follows_the_size(spark, monkeypatch):
     buckets.write_model(model, base)
     assert len(buckets.bucket_bytes(spark, f"{base}/events")) > 4
     assert [rows(df) for df in buckets.read_model(spark, base)] == [rows(df) for df in model]
+
+
+def test_number_of_buckets_follows_the_rows(spark):
+    """Rows that take hardly any stored bytes do not all come to one task."""
+    users, events, subs = (spark.createDataFrame([], d) for d in (USERS_DDL, EVENTS_DDL, SUBS_DDL))
+    many = spark.range(2_200_000).selectExpr("id % 1000 user_id", "'app_open' event_name", "timestamp_ntz'2024-01-01' event_date")
+    base = new_path(spark, "many-rows")
+    buckets.write_model(Model(users, many, subs), base)
+    assert buckets._about(spark, f"{base}/events")["buckets"] == 3
+    found = buckets.read_model(spark, base).events.groupBy("user_id").count().agg(F.min("count"), F.count("user_id")).first()
+    assert tuple(found) == (2200, 1000)
