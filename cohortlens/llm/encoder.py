@@ -34,11 +34,11 @@ class TextEncoder:
     """ids of texts, without special tokens; strings of special tokens are ordinary text.
 
     A plain byte-level BPE file is run on each new distinct word through the library's model,
-    and the ids of units that come again are taken from a bounded memo. Any other tokenizer
-    encodes the whole texts.
+    and the ids of units that come again are taken from a bounded memo: at most ``max_kept`` words and half as many
+    units, some 150 MB when full. Any other tokenizer encodes the whole texts.
     """
 
-    def __init__(self, path: str, max_kept: int = 200_000):
+    def __init__(self, path: str, max_kept: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,20 +63,28 @@ class TextEncoder:
         self.memo = UnitMemo(self._expand, max_kept // 2)
 
     def _expand(self, keys: list[str]) -> list[bytes]:
-        known, out = self.words, []
+        known, merged, out = self.words.get, self._merged, []
         for k in keys:
+            if k.isalpha():  # most units are one word
+                w = " " + k
+                found = known(w)
+                out.append(merged(w) if found is None else found)
+                continue
             ids = []
             for w in matches_of(unit_of(k)):
-                found = known.get(w)
-                if found is None:
-                    letters = w.encode().decode("latin-1").translate(self.letters)
-                    found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-                    if len(known) < self.max_kept and len(w) <= 64:
-                        known[w] = found
-                ids.append(found)
+                found = known(w)
+                ids.append(merged(w) if found is None else found)
             out.append(ids[0] if len(ids) == 1 else b"".join(ids))
         return out
 
+    def _merged(self, word: str) -> bytes:
+        """The ids of a word by the library's model; kept, where there is room."""
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(self.words) < self.max_kept and len(word) <= 64:
+            self.words[word] = found
+        return found
+
     def run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after another; number of ids of each text)."""
         if self.plain:

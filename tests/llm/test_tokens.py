@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from cohortlens.llm import bpe, packing, queries, token_store
 from cohortlens.llm.common import new_path
-from cohortlens.llm.encoder import text_encoder
+from cohortlens.llm.encoder import TextEncoder, text_encoder
 from cohortlens.llm.units import PATTERN, matches, matches_of
 from helpers import SF, no_docs, odd_docs, odd_texts, rows_of, tuples
 
@@ -223,3 +223,14 @@ def test_best_fit_never_overfills(lengths, max_open):
         assert used.get(at, 0) == offset
         used[at] = offset + n
         assert used[at] <= 20 and bins.n_open <= max_open
+
+
+def test_units_that_come_again_are_not_merged_again():
+    """Texts of more than 100,000 different units: the second time the memo has them all."""
+    encoder = TextEncoder(FILE)
+    texts = pa.array([" ".join(f"w{i:x}q" for i in range(k, k + 1000)) for k in range(0, 150_000, 1000)])
+    first = [x.tolist() for x in encoder.run(texts)]
+    expanded = []
+    original = encoder.memo.expand
+    encoder.memo.expand = lambda keys: expanded.extend(keys) or original(keys)
+    assert [x.tolist() for x in encoder.run(texts)] == first and expanded == []
